@@ -67,7 +67,7 @@ def latency_summary(
     lows = [int(p / 100 * (n - 1)) + 1 for p in percentiles]
     ranks = sorted({min(r + i, n) for r in lows for i in (0, 1)})
     targets = spark.createDataFrame([(0, r) for r in ranks], "grp int, rank long")
-    found = order_statistics(df, F.col(col).cast("double"), targets).collect()
+    found = order_statistics(df, F.col(col).cast("double"), targets, largest=n).collect()
     at = {row["rank"]: row["value"] for row in found}
     values = [_interpolated(p, n, at) for p in percentiles]
     return spark.createDataFrame([(n, mean, *values)], schema)

@@ -19,44 +19,53 @@ BINS = 1 << 16
 
 
 def order_statistics(
-    df: DataFrame, value: Column, targets: DataFrame, group: Column | None = None
+    df: DataFrame,
+    value: Column,
+    targets: DataFrame,
+    group: Column | None = None,
+    largest: int | None = None,
+    bins: int = BINS,
 ) -> DataFrame:
     """The value at each wanted rank, counting from 1 in ascending order.
 
     ``targets`` has ``grp`` and ``rank``; the result adds ``value``. ``grp`` is
-    compared with ``group``, or is constant when no group is given. A rank
-    beyond the rows of its group, or below 1, has no result row.
+    compared with ``group``, or is 0 when no group is given. A rank beyond the
+    rows of its group, or below 1, has no result row. ``largest`` is the row
+    count of the largest group, counted here when not known: groups that are no
+    larger than one histogram are simply ranked.
     """
     group = F.lit(0) if group is None else group
     rows = df.select(group.alias("grp"), value.alias("v")).where("v is not null")
+    wanted = targets.select("grp", F.col("rank").cast("long")).where("rank >= 1").distinct()
+    if largest is None:
+        largest = rows.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    if largest <= bins:
+        place = F.row_number().over(Window.partitionBy("grp").orderBy("v")).cast("long")
+        ranked = rows.withColumn("rank", place)
+        return ranked.join(wanted, ["grp", "rank"]).select("grp", "rank", F.col("v").alias("value"))
+
     span = rows.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    pending = stage(
-        targets.select("grp", F.col("rank").cast("long"))
-        .where("rank >= 1")
-        .distinct()
-        .join(span, "grp")
-        .withColumn("below", F.lit(0).cast("long")),
-        "ranks",
-    )
+    start = wanted.join(span, "grp").withColumn("below", F.lit(0).cast("long"))
+    pending = stage(start, "ranks")
     found = [pending.where("lo = hi")]
     while not pending.where("lo < hi").isEmpty():
-        pending = stage(_narrow(rows, pending.where("lo < hi")), "ranks")
+        pending = stage(_narrow(rows, pending.where("lo < hi"), bins), "ranks")
         found.append(pending.where("lo = hi"))
     done = reduce(DataFrame.unionByName, found)
     return done.select("grp", "rank", F.col("lo").alias("value"))
 
 
-def _narrow(rows: DataFrame, pending: DataFrame) -> DataFrame:
+def _narrow(rows: DataFrame, pending: DataFrame, width: int) -> DataFrame:
     """Replace the range of each rank by the one histogram bin that holds it."""
     ranges = pending.select("grp", "lo", "hi", "below").distinct()
     share = (F.col("v") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo"))
     bins = (
         rows.join(ranges, (rows["grp"] == ranges["grp"]) & F.col("v").between(F.col("lo"), F.col("hi")))
-        .select(ranges["grp"], "lo", "hi", "below", "v", F.floor(share * BINS).alias("bin"))
+        .select(ranges["grp"], "lo", "hi", "below", "v", F.floor(share * width).alias("bin"))
         .groupBy("grp", "lo", "hi", "below", "bin")
         .agg(F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
     )
-    # At most BINS + 1 rows per window, whatever the size of the group.
+    # At most width + 1 rows per window, whatever the size of the group.
     so_far = Window.partitionBy("grp", "lo", "hi").orderBy("bin")
     counted = bins.withColumn("upto", F.col("below") + F.sum("n").over(so_far)).drop("below")
     return (

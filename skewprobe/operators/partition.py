@@ -35,7 +35,7 @@ def random_shards(
     ends = np.cumsum(sizes)[:-1].tolist()
     spark = base.sparkSession
     targets = spark.createDataFrame([(0, e) for e in sorted(set(ends))], "grp int, rank long")
-    found = order_statistics(base, order_key(id, seed), targets).collect()
+    found = order_statistics(base, order_key(id, seed), targets, largest=rows).collect()
     cut = {row["rank"]: row["value"] for row in found}
     key = order_key(id, seed)
     steps = [(key > F.lit(cut[e])).cast("int") for e in ends if e in cut]

@@ -55,10 +55,10 @@ def stratified_split(
     compare keys.
     """
     counts = stage(df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")), "labels")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, largest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
     quotas = label_quotas(counts, total, math.ceil(fraction * total))
     targets = quotas.select(F.col("label").alias("grp"), F.col("quota").alias("rank"))
-    cuts = order_statistics(df, order_key(id, seed), targets, F.col(label))
+    cuts = order_statistics(df, order_key(id, seed), targets, F.col(label), largest)
     cuts = stage(cuts.select(F.col("grp").alias("__grp"), F.col("value").alias("__cut")), "cuts")
 
     keyed = df.join(cuts, F.col(label) == F.col("__grp"), "left")
@@ -77,12 +77,13 @@ def uniform_sample(
     """
     if size <= 0:
         return df.where(F.lit(False))
+    rows = df.count()
+    if rows <= size:
+        return df
     targets = df.sparkSession.range(1).select(
         F.lit(0).alias("grp"), F.lit(size).cast("long").alias("rank")
     )
-    cut = order_statistics(df, order_key(id, seed), targets).first()
-    if cut is None:
-        return df
+    cut = order_statistics(df, order_key(id, seed), targets, largest=rows).first()
     return df.where(order_key(id, seed) <= F.lit(cut["value"]))
 
 
@@ -90,9 +91,12 @@ def sample_per_group(
     df: DataFrame, group: str, id: str = "vec_id", size: int = 1000, seed: int = SEED
 ) -> DataFrame:
     """``min(size, n)`` rows of every group, without replacement."""
-    groups = df.select(F.col(group).alias("grp")).distinct()
-    targets = groups.select("grp", F.lit(size).cast("long").alias("rank"))
-    cuts = order_statistics(df, order_key(id, seed), targets, F.col(group))
+    counts = stage(df.groupBy(F.col(group).alias("grp")).agg(F.count("*").alias("n")), "groups")
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    if largest <= size:
+        return df
+    targets = counts.select("grp", F.lit(size).cast("long").alias("rank"))
+    cuts = order_statistics(df, order_key(id, seed), targets, F.col(group), largest)
     cuts = stage(cuts.select(F.col("grp").alias("__grp"), F.col("value").alias("__cut")), "cuts")
     within = F.coalesce(order_key(id, seed) <= F.col("__cut"), F.lit(True))
     joined = df.join(cuts, F.col(group) == F.col("__grp"), "left")
@@ -127,7 +131,8 @@ def skewed_sample(
         [(True, n_hot), (False, n_cold)], "grp boolean, rank long"
     )
     key = order_key(id, seed)
-    cuts = order_statistics(marked, key, targets, F.col("hot")).collect()
+    largest = max(sizes["hot"], sizes["cold"])
+    cuts = order_statistics(marked, key, targets, F.col("hot"), largest).collect()
     limit = {row["grp"]: row["value"] for row in cuts}
     return marked.where(
         F.when(F.col("hot"), key <= F.lit(limit.get(True)))

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skewprobe.session import broadcast_bytes
@@ -47,15 +47,25 @@ ARROW_SCHEMA = pa.schema(
 
 @dataclass
 class QueryBlock:
-    """Queries that fit one broadcast."""
+    """Queries that fit one broadcast: those whose id hashes to ``slot`` of ``slots``."""
 
     ids: np.ndarray
     vectors: np.ndarray
+    slot: int = 0
+    slots: int = 1
 
     def positions(self, ids: np.ndarray) -> np.ndarray:
         order = np.argsort(self.ids)
         return order[np.searchsorted(self.ids, ids, sorter=order)]
 
+    def own(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df`` whose ``q_id`` belongs to this block."""
+        return df if self.slots == 1 else df.where(_slot(self.slots) == self.slot)
+
+
+def _slot(slots: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("q_id").cast("long")), F.lit(slots))
+
 
 @dataclass
 class Probes:
@@ -76,6 +86,14 @@ class Probes:
         return np.arange(len(self.block.ids)), self.everywhere
 
 
+@dataclass(frozen=True)
+class Pruning:
+    blocks: Sequence[tuple[int, int]]
+    upto: int
+    bound: str
+    slack: float
+
+
 @dataclass
 class _Best:
     """The best ``k`` rows so far for each probe of one partition."""
@@ -114,19 +132,17 @@ def query_blocks(queries: DataFrame, id: str = "q_id", vector: str = "qv") -> It
     if not size["n"]:
         return
     most = max(1, broadcast_bytes(queries.sparkSession) // (8 * (size["dim"] + 1)))
-    blocks = -(-size["n"] // most)
-    slot = F.lit(0)
-    while blocks > 1:
-        slot = F.pmod(F.xxhash64("q_id"), F.lit(blocks))
-        largest = table.groupBy(slot.alias("s")).count().agg(F.max("count")).first()[0]
-        if largest <= most:
+    slots = -(-size["n"] // most)
+    while slots > 1:
+        sizes = table.groupBy(_slot(slots).alias("slot")).count()
+        if sizes.agg(F.max("count")).first()[0] <= most:
             break
-        blocks *= 2
-    for i in range(blocks):
-        part = table if blocks == 1 else table.where(slot == i)
+        slots *= 2
+    for slot in range(slots):
+        part = table if slots == 1 else table.where(_slot(slots) == slot)
         fetched = part.toArrow()
         if fetched.num_rows:
-            yield QueryBlock(fetched["q_id"].to_numpy(), matrix(fetched["qv"]))
+            yield QueryBlock(fetched["q_id"].to_numpy(), matrix(fetched["qv"]), slot, slots)
 
 
 def scan(
@@ -134,17 +150,18 @@ def scan(
     probes: Probes,
     k: int,
     blocks: Sequence[tuple[int, int]] | None = None,
+    upto: int | None = None,
     bound: str | None = None,
     slack: float = 0.0,
     counters: bool = False,
 ) -> DataFrame:
     """One pass over ``base`` (``vec_id``, ``embedding``, optionally ``part``).
 
-    Without ``bound`` the rows hold the local top-k by score over ``blocks`` (all
-    dimensions by default). With ``bound`` a pair is dropped before a block when
-    its score so far plus the bound of the remaining dimensions is below the
-    threshold the probe brings for that block. Fewer blocks than threshold
-    columns are scored when the thresholds of later blocks are not yet known.
+    Without ``bound`` the rows hold the local top-k by full score. With ``bound``
+    (``abs`` or ``norm``) a pair is dropped before a block when its score so far
+    plus the bound of the remaining dimensions is below the threshold the probe
+    brings for that block. Only the first ``upto`` blocks are scored when the
+    thresholds of later ones are not yet known; ``score`` is then partial.
 
     With ``counters`` there are also rows with ``block`` set, holding the pairs
     scored and dropped by that task; hits have ``block`` null.
@@ -157,10 +174,10 @@ def scan(
         # Reaches the files as a partition filter when the table is laid out by part.
         table = table.where(F.col("part").isin([int(p) for p in probes.by_part]))
     shared = base.sparkSession.sparkContext.broadcast(probes)
-    steps = [tuple(b) for b in blocks] if blocks is not None else None
+    prune = None if bound is None else Pruning([tuple(b) for b in blocks], upto or len(blocks), bound, slack)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scan_task(batches, shared.value, k, steps, bound, slack, counters)
+        yield from _scan_task(batches, shared.value, k, prune, counters)
 
     return table.mapInArrow(run, SCHEMA)
 
@@ -181,7 +198,8 @@ def counts_of(scanned: DataFrame) -> DataFrame:
 # --- inside a task ----------------------------------------------------------
 
 
-def _scan_task(batches, probes, k, blocks, bound, slack, counters):
+def _scan_task(batches, probes, k, prune, counters):
+    steps = prune.upto if prune else 1
     best: dict[int, _Best | None] = {}
     for batch in batches:
         if batch.num_rows == 0:
@@ -201,14 +219,11 @@ def _scan_task(batches, probes, k, blocks, bound, slack, counters):
                 best[part] = _Best(
                     np.full((len(queries), k), -np.inf),
                     np.full((len(queries), k), np.iinfo(np.int64).min),
-                    np.zeros(len(blocks) if blocks else 1, dtype=np.int64),
-                    np.zeros(len(blocks) if blocks else 1, dtype=np.int64),
+                    np.zeros(steps, dtype=np.int64),
+                    np.zeros(steps, dtype=np.int64),
                     queries,
                 )
-            _visit(
-                best[part], ids[rows], vectors[rows], probes.block.vectors,
-                thresholds, blocks, bound, slack,
-            )
+            _visit(best[part], ids[rows], vectors[rows], probes.block.vectors, thresholds, prune)
     for part, found in best.items():
         q, pos = np.nonzero(found.scores > -np.inf)
         yield _rows(
@@ -239,7 +254,7 @@ def _rows(n: int, **columns: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _visit(best, ids, vectors, all_queries, thresholds, blocks, bound, slack):
+def _visit(best, ids, vectors, all_queries, thresholds, prune):
     """Score one run of rows, all of one partition and in id order, tile by tile."""
     rows_per = min(len(ids), 4096)
     probes_per = max(1, TILE_PAIRS // rows_per)
@@ -249,29 +264,27 @@ def _visit(best, ids, vectors, all_queries, thresholds, blocks, bound, slack):
         limits = None if thresholds is None else thresholds[chosen]
         for start in range(0, len(ids), rows_per):
             rows = slice(start, start + rows_per)
-            if bound is None:
-                dims = slice(None) if blocks is None else slice(blocks[0][0], blocks[-1][1])
-                scores = np.round(q[:, dims] @ vectors[rows, dims].T, DECIMALS)
+            if prune is None:
+                scores = np.round(q @ vectors[rows].T, DECIMALS)
                 best.loads[0] += scores.size
                 picked = _promising(scores, ids[rows], best, chosen)
                 _keep(best, lo + picked[0], ids[rows][picked[1]], scores[picked])
             else:
-                scores, pairs = _pruned_tile(
-                    q, vectors[rows], limits, blocks, bound, slack, best.loads, best.drops
-                )
+                scores, pairs = _pruned_tile(q, vectors[rows], limits, prune, best)
                 if pairs is None:
                     pairs = _promising(scores, ids[rows], best, chosen)
                     scores = scores[pairs]
                 _keep(best, lo + pairs[0], ids[rows][pairs[1]], scores)
 
 
-def _pruned_tile(q, v, limits, blocks, bound, slack, loads, drops):
+def _pruned_tile(q, v, limits, prune, best):
     """Filter and partial product per block, over one tile.
 
     Returns the scores as a matrix, dropped pairs at minus infinity, or the
     scores of the pairs listed beside them.
     """
-    if bound == "abs":
+    blocks, by_abs, loads, drops = prune.blocks, prune.bound == "abs", best.loads, best.drops
+    if by_abs:
         aq, av = np.abs(q), np.abs(v)
     else:
         # Lengths per block: the inner product of the tails bounds the rest.
@@ -281,9 +294,9 @@ def _pruned_tile(q, v, limits, blocks, bound, slack, loads, drops):
     partial = np.zeros((len(q), len(v)))
     live = np.ones(partial.shape, dtype=bool)
     pairs = None  # (query, row, score) lists, once few pairs are left
-    for b, (s, e) in enumerate(blocks):
-        tail = slice(s, None) if bound == "abs" else slice(b, None)
-        limit = limits[:, b] - slack
+    for b, (s, e) in enumerate(blocks[: prune.upto]):
+        tail = slice(s, None) if by_abs else slice(b, None)
+        limit = limits[:, b] - prune.slack
         if pairs is None:
             if (limit > -np.inf).any():
                 optimistic = np.round(partial + aq[:, tail] @ av[:, tail].T, DECIMALS)

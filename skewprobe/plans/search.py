@@ -40,23 +40,27 @@ def union_or_empty(frames: Iterable[DataFrame], like: DataFrame, schema: str) ->
     return reduce(DataFrame.unionByName, frames)
 
 
+def search_block(
+    block: QueryBlock, base: DataFrame, k: int, by_part: dict | None = None
+) -> DataFrame:
+    """The best ``k`` rows of each (query, partition) of one block, one map and one shuffle.
+
+    ``by_part`` names the query positions that visit a partition; by default
+    every query visits every partition.
+    """
+    return topk(hits_of(scan(base, Probes(block, by_part), k)), ("q_id", "part"), k)
+
+
 def local_topk(queries: DataFrame, sharded: DataFrame, k: int = TOP_K) -> DataFrame:
     """The best ``k`` rows of every (query, partition), every query visiting every partition."""
-    found = [
-        topk(hits_of(scan(sharded, Probes(block), k)), ("q_id", "part"), k)
-        for block in query_blocks(queries)
-    ]
+    found = [search_block(block, sharded, k) for block in query_blocks(queries)]
     return union_or_empty(found, sharded, HITS)
 
 
 def full_search(queries: DataFrame, base: DataFrame, k: int = TOP_K) -> DataFrame:
     """The exact top-k of the whole table: one map over it and one small shuffle."""
     whole = base.select("vec_id", "embedding")
-    found = [
-        topk(hits_of(scan(whole, Probes(block), k)), ("q_id",), k)
-        for block in query_blocks(queries)
-    ]
-    return union_or_empty(found, base, HITS).drop("part")
+    return local_topk(queries, whole, k).drop("part")
 
 
 def sharded_search(queries: DataFrame, sharded: DataFrame, k: int = TOP_K) -> Search:
@@ -81,8 +85,7 @@ def route(queries: DataFrame, centroids: DataFrame, nprobe: int = NPROBE) -> Dat
     side needs to be small.
     """
     table = centroids.select(F.col("part").alias("vec_id"), F.col("c").alias("embedding"))
-    ranked = full_search(queries, table, nprobe)
-    return ranked.select(
+    return full_search(queries, table, nprobe).select(
         "q_id",
         F.col("vec_id").cast("int").alias("part"),
         F.col("score").alias("cscore"),
@@ -90,18 +93,18 @@ def route(queries: DataFrame, centroids: DataFrame, nprobe: int = NPROBE) -> Dat
     )
 
 
-def routed_probes(block: QueryBlock, routes: DataFrame) -> dict[int, tuple[np.ndarray, None]]:
-    """Query positions per partition; at most ``nprobe`` rows per query of the block."""
-    table = routes.select("q_id", "part").toArrow()
-    where = block.positions(table["q_id"].to_numpy())
-    parts = table["part"].to_numpy()
-    return {int(p): (np.sort(where[parts == p]), None) for p in np.unique(parts)}
+def route_block(
+    block: QueryBlock, centroids: DataFrame, nprobe: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query positions, partitions and probe ranks; ``nprobe`` rows per query of the block."""
+    table = centroids.select(F.col("part").alias("vec_id"), F.col("c").alias("embedding"))
+    found = search_block(block, table, nprobe).select("q_id", "vec_id", "rk").toArrow()
+    where = block.positions(found["q_id"].to_numpy())
+    return where, found["vec_id"].to_numpy(), found["rk"].to_numpy()
 
 
-def block_frame(like: DataFrame, block: QueryBlock) -> DataFrame:
-    """A query block as a table again."""
-    rows = [(int(i), v.tolist()) for i, v in zip(block.ids, block.vectors)]
-    return like.sparkSession.createDataFrame(rows, "q_id long, qv array<double>")
+def by_partition(where: np.ndarray, parts: np.ndarray) -> dict[int, tuple[np.ndarray, None]]:
+    return {int(p): (np.sort(where[parts == p]), None) for p in np.unique(parts)}
 
 
 def routed_topk(
@@ -114,9 +117,9 @@ def routed_topk(
     """
     found = []
     for block in query_blocks(queries):
-        mine = routes.join(block_frame(queries, block).select("q_id"), "q_id", "left_semi")
-        probes = Probes(block, routed_probes(block, mine))
-        found.append(topk(hits_of(scan(base, probes, k)), ("q_id", "part"), k))
+        table = block.own(routes).select("q_id", "part").toArrow()
+        where = block.positions(table["q_id"].to_numpy())
+        found.append(search_block(block, base, k, by_partition(where, table["part"].to_numpy())))
     return union_or_empty(found, base, HITS)
 
 
