@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skewprobe.operators.order import order_statistics
+from skewprobe.session import stage
 
 # Fixed value: the percentiles of a latency summary.
 PERCENTILES = (95, 99)
@@ -43,34 +44,53 @@ def throughput(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.coalesce(rate, F.lit(0.0)).alias("qps"))
 
 
-def _interpolated(p: float, n: int, at: dict[int, float]) -> float:
-    place = p / 100 * (n - 1)
-    low = int(place)
-    below, above = at[low + 1], at[min(low + 2, n)]
-    return below + (above - below) * (place - low)
-
-
 def latency_summary(
-    df: DataFrame, col: str, percentiles: Sequence[float] = PERCENTILES
+    df: DataFrame,
+    col: str,
+    by: str | None = None,
+    percentiles: Sequence[float] = PERCENTILES,
 ) -> DataFrame:
-    """Count, mean, and percentiles with linear interpolation.
+    """Count, mean, and percentiles with linear interpolation, optionally per group.
 
     The percentiles come from exact order statistics: the built-in exact
-    percentile gathers all distinct values in one task.
+    percentile gathers all distinct values of a group in one task. Everything
+    after the first aggregate has a few rows per group.
     """
-    spark = df.sparkSession
-    n, mean = df.agg(F.count(col), F.avg(col)).first()
-    names = [f"p{p:g}" for p in percentiles]
-    schema = "queries long, mean double, " + ", ".join(f"{x} double" for x in names)
-    if not n:
-        return spark.createDataFrame([(0, None, *[None] * len(names))], schema)
-    lows = [int(p / 100 * (n - 1)) + 1 for p in percentiles]
-    ranks = sorted({min(r + i, n) for r in lows for i in (0, 1)})
-    targets = spark.createDataFrame([(0, r) for r in ranks], "grp int, rank long")
-    found = order_statistics(df, F.col(col).cast("double"), targets, largest=n).collect()
-    at = {row["rank"]: row["value"] for row in found}
-    values = [_interpolated(p, n, at) for p in percentiles]
-    return spark.createDataFrame([(n, mean, *values)], schema)
+    group = F.lit(0) if by is None else F.col(by)
+    sizes = df.groupBy(group.alias("grp")).agg(
+        F.count(col).alias("queries"), F.avg(col).alias("mean")
+    )
+    sizes = stage(sizes, "sizes")
+    place = F.col("p") / 100 * (F.col("queries") - 1)
+    places = sizes.select(
+        "grp", "queries", F.explode(F.array(*[F.lit(float(p)) for p in percentiles])).alias("p")
+    ).select(
+        "grp",
+        "p",
+        (place - F.floor(place)).alias("share"),
+        (F.floor(place) + 1).alias("low"),
+        F.least(F.floor(place) + 2, F.col("queries")).alias("high"),
+    )
+    targets = places.select("grp", F.explode(F.array("low", "high")).alias("rank"))
+    largest = sizes.agg(F.max("queries")).first()[0] or 0
+    found = order_statistics(df, F.col(col).cast("double"), targets, group, largest)
+    found = stage(found, "percentiles")
+    below = found.select("grp", F.col("rank").alias("low"), F.col("value").alias("v0"))
+    above = found.select("grp", F.col("rank").alias("high"), F.col("value").alias("v1"))
+    value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")
+    points = (
+        places.join(below, ["grp", "low"])
+        .join(above, ["grp", "high"])
+        .groupBy("grp")
+        .agg(
+            *[
+                F.max(F.when(F.col("p") == float(p), value)).alias(f"p{p:g}")
+                for p in percentiles
+            ]
+        )
+    )
+    summary = sizes.join(points, "grp", "left")
+    return summary.drop("grp") if by is None else summary.withColumnRenamed("grp", by)
 
 
 def _fact(metric: str, value: Column, bucket: Column | None = None) -> list[Column]:

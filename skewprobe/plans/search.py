@@ -123,12 +123,20 @@ def routed_topk(
     return union_or_empty(found, base, HITS)
 
 
+def routed_candidates(routes: DataFrame, base: DataFrame) -> DataFrame:
+    """How many rows each routed (query, partition) has to look at.
+
+    The pairs themselves exist only inside the scan of :func:`routed_topk`.
+    """
+    rows = base.groupBy("part").agg(F.count("*").alias("candidates"))
+    return routes.join(rows, "part", "left").fillna(0, ["candidates"])
+
+
 def scan_loads(routes: DataFrame, base: DataFrame, centroids: DataFrame) -> DataFrame:
     """Pairs scanned per partition: visits times rows, without forming the pairs."""
     visits = routes.groupBy("part").agg(F.count("*").alias("visits"))
-    rows = base.groupBy("part").agg(F.count("*").alias("n"))
-    pairs = visits.join(rows, "part").select(
-        "part", (F.col("visits") * F.col("n")).alias("load")
+    pairs = routed_candidates(visits, base).select(
+        "part", (F.col("visits") * F.col("candidates")).alias("load")
     )
     return fill_loads(pairs, centroids, "part")
 
