@@ -47,7 +47,7 @@ def _block(v: str, b: int) -> str:
 
 
 def _tail(v: str, b: int) -> str:
-    return f"list_transform({v}[{b * WIDTH + 1}:{DIM}], x -> abs(x))"
+    return f"[abs(x) for x in {v}[{b * WIDTH + 1}:{DIM}]]"
 
 
 _BLOCK_COLUMNS = ", ".join(
@@ -450,7 +450,7 @@ _LINE = [
     (
         "li_mean",
         """SELECT label, dim, avg(x) AS m, count(*) AS n FROM (SELECT label,
-          unnest(list_transform(z, x -> x / len)) AS x, generate_subscripts(z, 1) AS dim
+          unnest([x / len for x in z]) AS x, generate_subscripts(z, 1) AS dim
           FROM li_unit) GROUP BY label, dim""",
     ),
 ]
@@ -577,7 +577,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT vec_id, dim, round(CASE WHEN len > 0 THEN x / len ELSE x END, 9) + 0.0 AS x FROM "
             "(SELECT vec_id, sqrt(list_inner_product(w, w)) AS len, unnest(w) AS x, "
             "generate_subscripts(w, 1)::INTEGER - 1 AS dim FROM "
-            "(SELECT vec_id, list_transform(v, y -> y * label::INTEGER) AS w FROM emb))"
+            "(SELECT vec_id, [y * label::INTEGER for y in v] AS w FROM emb))"
         ),
         "search_cast": _sql(
             "SELECT vec_id, dim, (x / 3)::FLOAT::DOUBLE AS x FROM (" + dims.format("v") + ")"
