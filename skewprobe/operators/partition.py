@@ -109,7 +109,7 @@ def assign_nearest(
 def _nearer(batch, parts, centres, vector):
     if batch.num_rows == 0:
         return batch
-    v = matrix(batch.column(batch.schema.get_field_index(vector)))
+    v = matrix(batch.column(batch.schema.get_field_index(vector))).astype(np.float64, copy=False)
     at, far = batch.schema.get_field_index("part"), batch.schema.get_field_index("__near")
     part = batch.column(at).fill_null(np.iinfo(np.int32).max).to_numpy(zero_copy_only=False).copy()
     near = batch.column(far).fill_null(np.inf).to_numpy(zero_copy_only=False).copy()

@@ -9,6 +9,9 @@ row is ever formed. What leaves a task is at most ``k`` rows per probe.
 Scores are rounded to ``DECIMALS`` places before they are compared. Summation
 order inside a matrix product depends on batch shape, and equal vectors must get
 equal scores if ties are to be broken by ``vec_id`` alone.
+
+Most pairs are settled by a single precision product with a proven error margin;
+only those within the margin of a decision, and the hits, are summed in double.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ SLACK = 1e-9
 # Pairs worked on at a time inside a task: bounds its memory, not its result.
 TILE_PAIRS = 1 << 21
 # Below this share of live pairs, single pairs are cheaper than a full product.
-SPARSE_SHARE = 0.1
+SPARSE_SHARE = 0.02
 
 SCHEMA = "q_id long, part int, vec_id long, score double, block int, load long, pruned long"
 ARROW_SCHEMA = pa.schema(
@@ -106,12 +109,12 @@ class _Best:
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """An Arrow list column as a rows x dimensions array of doubles."""
+    """An Arrow list column as a rows x dimensions array, in the stored precision."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
         return np.empty((0, 0))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
     dim = len(flat) // len(column)
     lengths = column.value_lengths()
     if lengths.null_count or not (lengths.to_numpy() == dim).all():
@@ -261,74 +264,146 @@ def _visit(best, ids, vectors, all_queries, thresholds, prune):
     for lo in range(0, len(best.queries), probes_per):
         chosen = slice(lo, lo + probes_per)
         q = all_queries[best.queries[chosen]]
-        limits = None if thresholds is None else thresholds[chosen]
         for start in range(0, len(ids), rows_per):
             rows = slice(start, start + rows_per)
+            tile = _Tile(q, vectors[rows])
             if prune is None:
-                scores = np.round(q @ vectors[rows].T, DECIMALS)
-                best.loads[0] += scores.size
-                picked = _promising(scores, ids[rows], best, chosen)
-                _keep(best, lo + picked[0], ids[rows][picked[1]], scores[picked])
+                best.loads[0] += len(q) * len(tile.v)
+                live = None
             else:
-                scores, pairs = _pruned_tile(q, vectors[rows], limits, prune, best)
-                if pairs is None:
-                    pairs = _promising(scores, ids[rows], best, chosen)
-                    scores = scores[pairs]
-                _keep(best, lo + pairs[0], ids[rows][pairs[1]], scores)
-
-
-def _pruned_tile(q, v, limits, prune, best):
-    """Filter and partial product per block, over one tile.
-
-    Returns the scores as a matrix, dropped pairs at minus infinity, or the
-    scores of the pairs listed beside them.
+                live = _live_pairs(tile, thresholds[chosen], prune, best)
+            for pq, pv, scores in _contenders(tile, ids[rows], best, chosen, live):
+                _keep(best, lo + pq, ids[rows][pv], scores)
+
+
+class _Tile:
+    """Some queries, some rows, and how far a rough score may be off."""
+
+    def __init__(self, q: np.ndarray, v: np.ndarray):
+        self.q, self.v = q, v
+        lengths = np.linalg.norm(q, axis=1)
+        longest = np.linalg.norm(v, axis=1).max(initial=0.0)
+        safe = lengths.max(initial=0.0) * longest < 1e30
+        self.type = np.float32 if safe else np.float64
+        # A sum of d products is off by at most about d roundings of |q||v|.
+        # Partial sums and bounds add a few more; the factor 4 covers them all.
+        self.margin = 4 * (q.shape[1] + 8) * 2.0**-24 * lengths * longest + 10.0**-DECIMALS
+        self.rq, self.rv = q.astype(self.type), v.astype(self.type, copy=False)
+
+    def exact(self, pq, pv, start=0, end=None, absolute=False):
+        """Double precision sums for single pairs, a slice of pairs at a time."""
+        out = np.empty(len(pq))
+        for lo in range(0, len(pq), 1 << 15):
+            some = slice(lo, lo + (1 << 15))
+            a, b = self.q[pq[some], start:end], self.v[pv[some], start:end].astype(np.float64)
+            if absolute:
+                a, b = np.abs(a), np.abs(b)
+            np.einsum("ij,ij->i", a, b, out=out[some])
+        return out
+
+
+def _contenders(tile, ids, best, chosen, live):
+    """Pairs that may enter the best rows of their probe, with exact rounded scores.
+
+    ``live`` restricts the pairs: None for all, a matrix, or lists with scores.
     """
-    blocks, by_abs, loads, drops = prune.blocks, prune.bound == "abs", best.loads, best.drops
+    if isinstance(live, tuple):
+        pq, pv, scores = live
+        yield _beating(pq, pv, np.round(scores, DECIMALS), ids, best, chosen)
+        return
+    k, n = best.scores.shape[1], len(tile.v)
+    end = tile.scored if live is not None else None
+    worst = best.scores[chosen, -1]
+    mask = tile.partial if live is not None else tile.rq @ tile.rv.T
+    mask = mask >= (worst - tile.margin).astype(tile.type)[:, None]
+    if live is not None:
+        mask &= live
+    pq, pv = np.divmod(np.flatnonzero(mask), n)
+    if len(pq) > mask.size // 64:
+        # A probe with many contenders, such as one near a group of copies or one
+        # that has no hits yet, is cheaper to score and select as a whole.
+        crowded = np.bincount(pq, minlength=len(tile.q)) > max(4 * k, n // 64)
+        whole = np.flatnonzero(crowded)
+        scores = np.round(tile.q[whole, :end] @ tile.v[:, :end].astype(np.float64).T, DECIMALS)
+        scores[~mask[whole]] = -np.inf
+        at, row = _promising(scores, ids, best.scores[chosen][whole], best.ids[chosen][whole])
+        yield whole[at], row, scores[at, row]
+        few = ~crowded[pq]
+        pq, pv = pq[few], pv[few]
+    yield _beating(pq, pv, np.round(tile.exact(pq, pv, 0, end), DECIMALS), ids, best, chosen)
+
+
+def _beating(pq, pv, scores, ids, best, chosen):
+    worst, worst_id = best.scores[chosen, -1][pq], best.ids[chosen, -1][pq]
+    better = (scores > worst) | ((scores == worst) & (ids[pv] < worst_id))
+    return pq[better], pv[better], scores[better]
+
+
+def _live_pairs(tile, limits, prune, best):
+    """Filter, then add a partial product, block by block.
+
+    Leaves the pairs that survive: a matrix beside ``tile.partial``, or lists of
+    queries, rows and exact scores once few are left.
+    """
+    blocks, by_abs = prune.blocks, prune.bound == "abs"
     if by_abs:
-        aq, av = np.abs(q), np.abs(v)
+        aq, av = np.abs(tile.rq), np.abs(tile.rv)
     else:
         # Lengths per block: the inner product of the tails bounds the rest.
-        aq = np.stack([np.linalg.norm(q[:, s:e], axis=1) for s, e in blocks], axis=1)
-        av = np.stack([np.linalg.norm(v[:, s:e], axis=1) for s, e in blocks], axis=1)
+        aq = np.stack([np.linalg.norm(tile.q[:, s:e], axis=1) for s, e in blocks], axis=1)
+        av = np.stack(
+            [np.linalg.norm(tile.v[:, s:e].astype(np.float64), axis=1) for s, e in blocks], axis=1
+        )
 
-    partial = np.zeros((len(q), len(v)))
-    live = np.ones(partial.shape, dtype=bool)
-    pairs = None  # (query, row, score) lists, once few pairs are left
+    def rest(pq, pv, b):
+        """Exact bound of the blocks from ``b`` on, for single pairs."""
+        if by_abs:
+            return tile.exact(pq, pv, blocks[b][0], None, absolute=True)
+        return np.einsum("ij,ij->i", aq[pq, b:], av[pv, b:])
+
+    shape = len(tile.q), len(tile.v)
+    tile.partial = np.zeros(shape, dtype=tile.type)
+    live = np.ones(shape, dtype=bool)
+    pairs = None
     for b, (s, e) in enumerate(blocks[: prune.upto]):
-        tail = slice(s, None) if by_abs else slice(b, None)
         limit = limits[:, b] - prune.slack
-        if pairs is None:
-            if (limit > -np.inf).any():
-                optimistic = np.round(partial + aq[:, tail] @ av[:, tail].T, DECIMALS)
-                keep = live & (optimistic >= limit[:, None])
-                drops[b] += int(live.sum() - keep.sum())
-                live = keep
+        if pairs is None and (limit > -np.inf).any():
+            cut = slice(s, None) if by_abs else slice(b, None)
+            rough = (aq[:, cut] @ av[:, cut].T).astype(tile.type, copy=False) + tile.partial
+            before = int(live.sum())
+            live &= rough >= (limit - tile.margin).astype(tile.type)[:, None]
+            unsure = live & (rough < (limit + tile.margin).astype(tile.type)[:, None])
+            pq, pv = np.divmod(np.flatnonzero(unsure), shape[1])
+            bound = np.round(tile.exact(pq, pv, 0, s) + rest(pq, pv, b), DECIMALS)
+            out = bound < limit[pq]
+            live[pq[out], pv[out]] = False
             left = int(live.sum())
-            loads[b] += left
+            best.drops[b] += before - left
             if left < SPARSE_SHARE * live.size:
-                pq, pv = np.nonzero(live)
-                pairs = pq, pv, partial[pq, pv] + np.einsum("ij,ij->i", q[pq, s:e], v[pv, s:e])
-            else:
-                partial += q[:, s:e] @ v[:, s:e].T
+                pq, pv = np.divmod(np.flatnonzero(live), shape[1])
+                pairs = pq, pv, tile.exact(pq, pv, 0, s)
+        elif pairs is not None:
+            pq, pv, score = pairs
+            keep = np.round(score + rest(pq, pv, b), DECIMALS) >= limit[pq]
+            best.drops[b] += len(pq) - int(keep.sum())
+            pairs = pq[keep], pv[keep], score[keep]
+        if pairs is None:
+            best.loads[b] += int(live.sum())
+            tile.partial += tile.rq[:, s:e] @ tile.rv[:, s:e].T
+            tile.scored = e
         else:
             pq, pv, score = pairs
-            rest = np.einsum("ij,ij->i", aq[pq, tail], av[pv, tail])
-            keep = np.round(score + rest, DECIMALS) >= limit[pq]
-            drops[b] += int(len(keep) - keep.sum())
-            pq, pv, score = pq[keep], pv[keep], score[keep]
-            loads[b] += len(pq)
-            pairs = pq, pv, score + np.einsum("ij,ij->i", q[pq, s:e], v[pv, s:e])
-        if pairs is not None and len(pairs[0]) == 0:
-            break
-    if pairs is None:
-        return np.where(live, np.round(partial, DECIMALS), -np.inf), None
-    return np.round(pairs[2], DECIMALS), pairs[:2]
+            best.loads[b] += len(pq)
+            pairs = pq, pv, score + tile.exact(pq, pv, s, e)
+            if len(pq) == 0:
+                break
+    return live if pairs is None else pairs
 
 
-def _promising(scores, ids, best, chosen):
+def _promising(scores, ids, kept, kept_ids):
     """At most ``k`` pairs per probe that can enter its best rows; ``ids`` ascend."""
-    k = best.scores.shape[1]
-    worst, worst_id = best.scores[chosen, -1:], best.ids[chosen, -1:]
+    k = kept.shape[1]
+    worst, worst_id = kept[:, -1:], kept_ids[:, -1:]
     mask = (scores > worst) | ((scores == worst) & (ids < worst_id))
     crowded = np.flatnonzero(mask.sum(axis=1) > k)
     if len(crowded):
@@ -337,7 +412,7 @@ def _promising(scores, ids, best, chosen):
         above, tied = some > kth, some == kth
         room = k - above.sum(axis=1, keepdims=True)
         mask[crowded] = above | (tied & (np.cumsum(tied, axis=1) <= room))
-    return np.nonzero(mask)
+    return np.divmod(np.flatnonzero(mask), scores.shape[1])
 
 
 def _keep(best, probes, ids, scores):
