@@ -66,9 +66,10 @@ def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
     return tuple(next(csv.reader([first.value.lstrip("\ufeff")])))
 
 
-def _parses(value: Column) -> Column:
+def _is_text(value: Column) -> Column:
     # Java also takes a trailing d or f as part of a number; a flow file does not.
-    return value.try_cast("double").isNotNull() & ~value.rlike(r"[0-9.][dDfF]\s*$")
+    number = value.try_cast("double").isNotNull() & ~value.rlike(r"[0-9.][dDfF]\s*$")
+    return value.isNotNull() & ~number
 
 
 def read_flows(
@@ -105,7 +106,7 @@ def read_flows(
     if numeric is None:
         is_text = merged.agg(
             *[
-                F.coalesce(F.bool_or(~_parses(quoted(n))), F.lit(False)).alias(n)
+                F.coalesce(F.bool_or(_is_text(quoted(n))), F.lit(False)).alias(n)
                 for n in merged.columns
             ]
         ).first()
