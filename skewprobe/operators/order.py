@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from skewprobe.session import stage
 
 BINS = 1 << 16
+# A group of at most this many (group, value) rows is ranked by one sort.
+DIRECT_ROWS = 1 << 20
 
 
 def order_statistics(
@@ -25,21 +27,22 @@ def order_statistics(
     group: Column | None = None,
     largest: int | None = None,
     bins: int = BINS,
+    direct: int = DIRECT_ROWS,
 ) -> DataFrame:
     """The value at each wanted rank, counting from 1 in ascending order.
 
     ``targets`` has ``grp`` and ``rank``; the result adds ``value``. ``grp`` is
     compared with ``group``, or is 0 when no group is given. A rank beyond the
     rows of its group, or below 1, has no result row. ``largest`` is the row
-    count of the largest group, counted here when not known: groups that are no
-    larger than one histogram are simply ranked.
+    count of the largest group, counted here when not known: if it is small, the
+    groups are simply ranked.
     """
     group = F.lit(0) if group is None else group
     rows = df.select(group.alias("grp"), value.alias("v")).where("v is not null")
     wanted = targets.select("grp", F.col("rank").cast("long")).where("rank >= 1").distinct()
     if largest is None:
         largest = rows.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    if largest <= bins:
+    if largest <= direct:
         place = F.row_number().over(Window.partitionBy("grp").orderBy("v")).cast("long")
         ranked = rows.withColumn("rank", place)
         return ranked.join(wanted, ["grp", "rank"]).select("grp", "rank", F.col("v").alias("value"))

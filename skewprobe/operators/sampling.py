@@ -83,7 +83,7 @@ def uniform_sample(
     targets = df.sparkSession.range(1).select(
         F.lit(0).alias("grp"), F.lit(size).cast("long").alias("rank")
     )
-    cut = order_statistics(df, order_key(id, seed), targets, largest=rows).first()
+    (cut,) = order_statistics(df, order_key(id, seed), targets, largest=rows).collect()
     return df.where(order_key(id, seed) <= F.lit(cut["value"]))
 
 

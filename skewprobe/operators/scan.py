@@ -29,10 +29,11 @@ from skewprobe.session import broadcast_bytes
 DECIMALS = 9
 # Tolerance of a sound bound against differently ordered sums.
 SLACK = 1e-9
-# Pairs worked on at a time inside a task: bounds its memory, not its result.
-TILE_PAIRS = 1 << 21
+# Pairs and rows worked on at a time inside a task: keeps the work in the cache
+# and bounds its memory, not its result.
+TILE_PAIRS, TILE_ROWS = 1 << 18, 1024
 # Below this share of live pairs, single pairs are cheaper than a full product.
-SPARSE_SHARE = 0.02
+SPARSE_SHARE = 0.05
 
 SCHEMA = "q_id long, part int, vec_id long, score double, block int, load long, pruned long"
 ARROW_SCHEMA = pa.schema(
@@ -122,6 +123,14 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), dim)
 
 
+def by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each partition with the indexes of its rows, in row order."""
+    order = np.argsort(parts, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
+        if len(rows):
+            yield int(parts[rows[0]]), rows
+
+
 def query_blocks(queries: DataFrame, id: str = "q_id", vector: str = "qv") -> Iterator[QueryBlock]:
     """The query set in blocks of at most the broadcast bound.
 
@@ -210,10 +219,9 @@ def _scan_task(batches, probes, k, prune, counters):
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         vectors = matrix(batch.column(1))
         parts = batch.column(2).to_numpy(zero_copy_only=False)
-        order = np.lexsort((ids, parts))
-        cuts = np.flatnonzero(np.diff(parts[order])) + 1
-        for rows in np.split(order, cuts):
-            part = int(parts[rows[0]])
+        in_order = np.argsort(ids, kind="stable")
+        ids, vectors, parts = ids[in_order], vectors[in_order], parts[in_order]
+        for part, rows in by_part(parts):
             visit = probes.of(part)
             if visit is None:
                 continue
@@ -259,7 +267,7 @@ def _rows(n: int, **columns: np.ndarray) -> pa.RecordBatch:
 
 def _visit(best, ids, vectors, all_queries, thresholds, prune):
     """Score one run of rows, all of one partition and in id order, tile by tile."""
-    rows_per = min(len(ids), 4096)
+    rows_per = min(len(ids), TILE_ROWS)
     probes_per = max(1, TILE_PAIRS // rows_per)
     for lo in range(0, len(best.queries), probes_per):
         chosen = slice(lo, lo + probes_per)
@@ -350,16 +358,16 @@ def _live_pairs(tile, limits, prune, best):
         aq, av = np.abs(tile.rq), np.abs(tile.rv)
     else:
         # Lengths per block: the inner product of the tails bounds the rest.
-        aq = np.stack([np.linalg.norm(tile.q[:, s:e], axis=1) for s, e in blocks], axis=1)
-        av = np.stack(
-            [np.linalg.norm(tile.v[:, s:e].astype(np.float64), axis=1) for s, e in blocks], axis=1
-        )
+        lq = np.stack([np.linalg.norm(tile.q[:, s:e], axis=1) for s, e in blocks], axis=1)
+        v = tile.v.astype(np.float64)
+        lv = np.stack([np.linalg.norm(v[:, s:e], axis=1) for s, e in blocks], axis=1)
+        aq, av = lq.astype(tile.type), lv.astype(tile.type)
 
     def rest(pq, pv, b):
         """Exact bound of the blocks from ``b`` on, for single pairs."""
         if by_abs:
             return tile.exact(pq, pv, blocks[b][0], None, absolute=True)
-        return np.einsum("ij,ij->i", aq[pq, b:], av[pv, b:])
+        return np.einsum("ij,ij->i", lq[pq, b:], lv[pv, b:])
 
     shape = len(tile.q), len(tile.v)
     tile.partial = np.zeros(shape, dtype=tile.type)
@@ -369,15 +377,17 @@ def _live_pairs(tile, limits, prune, best):
         limit = limits[:, b] - prune.slack
         if pairs is None and (limit > -np.inf).any():
             cut = slice(s, None) if by_abs else slice(b, None)
-            rough = (aq[:, cut] @ av[:, cut].T).astype(tile.type, copy=False) + tile.partial
-            before = int(live.sum())
+            rough = aq[:, cut] @ av[:, cut].T
+            rough += tile.partial
+            before = np.count_nonzero(live)
             live &= rough >= (limit - tile.margin).astype(tile.type)[:, None]
-            unsure = live & (rough < (limit + tile.margin).astype(tile.type)[:, None])
+            unsure = rough < (limit + tile.margin).astype(tile.type)[:, None]
+            unsure &= live
             pq, pv = np.divmod(np.flatnonzero(unsure), shape[1])
             bound = np.round(tile.exact(pq, pv, 0, s) + rest(pq, pv, b), DECIMALS)
             out = bound < limit[pq]
             live[pq[out], pv[out]] = False
-            left = int(live.sum())
+            left = np.count_nonzero(live)
             best.drops[b] += before - left
             if left < SPARSE_SHARE * live.size:
                 pq, pv = np.divmod(np.flatnonzero(live), shape[1])
@@ -388,7 +398,7 @@ def _live_pairs(tile, limits, prune, best):
             best.drops[b] += len(pq) - int(keep.sum())
             pairs = pq[keep], pv[keep], score[keep]
         if pairs is None:
-            best.loads[b] += int(live.sum())
+            best.loads[b] += np.count_nonzero(live)
             tile.partial += tile.rq[:, s:e] @ tile.rv[:, s:e].T
             tile.scored = e
         else:

@@ -29,6 +29,7 @@ from skewprobe.operators.scan import (
     SLACK,
     Probes,
     QueryBlock,
+    by_part,
     counts_of,
     hits_of,
     query_blocks,
@@ -38,8 +39,8 @@ from skewprobe.operators.topk import TOP_K, kth_threshold, topk
 from skewprobe.plans.search import (
     HITS,
     NPROBE,
-    by_partition,
     full_search,
+    open_visits,
     route_block,
     routed_topk,
     search_block,
@@ -55,6 +56,8 @@ WARMUP_VECTORS = 1000
 COUNTS = "part int, block int, load long, pruned long"
 THRESHOLDS = "q_id long, part int, thr double"
 
+Visits = dict[int, tuple[np.ndarray, np.ndarray]]
+
 
 @dataclass(frozen=True)
 class Pruned:
@@ -140,7 +143,7 @@ def prewarm_per_query(
         sample = uniform_sample(base, "vec_id", n_v, seed)
         return kth_threshold(full_search(queries, sample, k).drop("rk"), ("q_id",), k, strict=True)
     sample = sample_per_group(base, "part", "vec_id", n_v, seed)
-    hits = routed_topk(queries, sample, routes, k).drop("rk")
+    hits = routed_topk(queries, sample, routes, k, ("q_id",)).drop("rk")
     return kth_threshold(hits, ("q_id",), k, strict=True)
 
 
@@ -158,9 +161,8 @@ def _kth_by_pair(
     found = kth_threshold(hits_of(scanned), ("q_id", "part"), k, strict).toArrow()
     where = block.positions(found["q_id"].to_numpy())
     parts, values = found["part"].to_numpy(), found["thr"].to_numpy()
-    for p in np.unique(parts):
-        mine = parts == p
-        yield int(p), where[mine], values[mine]
+    for p, rows in by_part(parts):
+        yield p, where[rows], values[rows]
 
 
 def dimension_search(
@@ -211,33 +213,28 @@ def dimension_search(
 def _stage_pass(
     base: DataFrame,
     block: QueryBlock,
-    visits: dict[int, tuple[np.ndarray, np.ndarray]],
+    visits: Visits,
     ranges: list[tuple[int, int]],
     k: int,
     mode: str,
     bound: str,
     final: bool = True,
-) -> tuple[DataFrame, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Search the visited partitions; ``visits`` maps one to query positions and thresholds.
+) -> tuple[DataFrame, Visits]:
+    """Search the visited partitions.
 
     Returns the written scan and the thresholds afterwards, which never fall;
     without ``final`` they leave out what the last scores add.
     """
     n = len(ranges)
-    # Per partition a full-length column, so that results can be placed by position.
-    limits = {p: np.full((len(block.ids), n + 1), -np.inf) for p in visits}
-    for p, (where, thr) in visits.items():
-        limits[p][where] = thr[:, None]
+    limits = {p: np.repeat(thr[:, None], n + 1, axis=1) for p, (_, thr) in visits.items()}
 
     def probes() -> Probes:
-        return Probes(
-            block, {p: (where, limits[p][where, :n]) for p, (where, _) in visits.items()}
-        )
+        return Probes(block, {p: (where, limits[p][:, :n]) for p, (where, _) in visits.items()})
 
     def raise_from(scanned: DataFrame, b: int) -> None:
         for p, where, values in _kth_by_pair(scanned, block, k, strict=mode == "exact"):
-            raised = np.maximum(limits[p][where, b], values)
-            limits[p][where, b:] = np.maximum(limits[p][where, b:], raised[:, None])
+            at = np.searchsorted(visits[p][0], where)
+            limits[p][at, b:] = np.maximum(limits[p][at, b:], values[:, None])
 
     if mode == "compat":
         for b in range(1, n):
@@ -246,14 +243,16 @@ def _stage_pass(
     done = stage(scan(base, probes(), k, ranges, None, bound, slack, True), "scan")
     if final:
         raise_from(done, n)
-    return done, {p: (where, limits[p][where, n]) for p, (where, _) in visits.items()}
+    return done, {p: (where, limits[p][:, n]) for p, (where, _) in visits.items()}
 
 
-def _visits(block: QueryBlock, pairs: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    table = pairs.select("q_id", "part", "thr").toArrow()
-    where = block.positions(table["q_id"].to_numpy())
-    parts, thr = table["part"].to_numpy(), table["thr"].to_numpy()
-    return {int(p): (where[parts == p], thr[parts == p]) for p in np.unique(parts)}
+def _visits(where: np.ndarray, parts: np.ndarray, thr: np.ndarray) -> Visits:
+    """Ascending query positions and their thresholds, per partition."""
+    found = {}
+    for p, rows in by_part(parts):
+        rows = rows[np.argsort(where[rows])]
+        found[p] = where[rows], thr[rows]
+    return found
 
 
 def dimension_pipeline(
@@ -275,7 +274,9 @@ def dimension_pipeline(
     hits, counts, after = [], [], []
     for block in query_blocks(queries):
         ranges = dim_blocks(block.vectors.shape[1], n_blocks)
-        visits = _visits(block, block.own(probes))
+        table = block.own(probes).select("q_id", "part", "thr").toArrow()
+        where = block.positions(table["q_id"].to_numpy())
+        visits = _visits(where, table["part"].to_numpy(), table["thr"].to_numpy())
         done, final = _stage_pass(base, block, visits, ranges, k, mode, bound)
         hits.append(topk(hits_of(done), ("q_id", "part"), k))
         counts.append(counts_of(done))
@@ -360,21 +361,18 @@ def full_pipeline(
         where, parts, ranks = route_block(block, centroids, nprobe)
         thr = np.full(len(block.ids), -np.inf if pooled is None else pooled)
         if mode == "exact":
-            warm = search_block(block, sample, k, by_partition(where, parts)).drop("rk")
+            warm = search_block(block, sample, k, open_visits(where, parts)).drop("rk")
             _raise_by_query(thr, block, warm, k)
 
         found: list[DataFrame] = []
         last = ranks.max(initial=0)
         for rank in range(1, last + 1):
             now = ranks == rank
-            visits = {
-                int(p): (where[now & (parts == p)], thr[where[now & (parts == p)]])
-                for p in np.unique(parts[now])
-            }
+            visits = _visits(where[now], parts[now], thr[where[now]])
             # The k-th of the merged hits, below, covers that of the exact mode.
             carry = mode == "compat" and rank < last
             done, after = _stage_pass(base, block, visits, ranges, k, mode, bound, carry)
-            found.append(topk(hits_of(done), ("q_id", "part"), k).drop("rk"))
+            found.append(hits_of(done))
             counts.append(counts_of(done))
             if rank < last:
                 for positions, values in after.values():

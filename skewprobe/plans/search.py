@@ -7,7 +7,7 @@ rk``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,7 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skewprobe.operators.metrics import fill_loads
-from skewprobe.operators.scan import Probes, QueryBlock, hits_of, query_blocks, scan
+from skewprobe.operators.scan import (
+    Probes,
+    QueryBlock,
+    by_part,
+    hits_of,
+    query_blocks,
+    scan,
+)
 from skewprobe.operators.topk import TOP_K, topk
 
 # Fixed value: partitions a query visits.
@@ -41,35 +48,42 @@ def union_or_empty(frames: Iterable[DataFrame], like: DataFrame, schema: str) ->
 
 
 def search_block(
-    block: QueryBlock, base: DataFrame, k: int, by_part: dict | None = None
+    block: QueryBlock,
+    base: DataFrame,
+    k: int,
+    visits: dict | None = None,
+    keys: Sequence[str] = ("q_id",),
 ) -> DataFrame:
-    """The best ``k`` rows of each (query, partition) of one block, one map and one shuffle.
+    """The best ``k`` rows per key of one block: one map over the table and one shuffle.
 
-    ``by_part`` names the query positions that visit a partition; by default
-    every query visits every partition.
+    ``visits`` names the query positions that visit a partition; by default
+    every query visits every partition. A task keeps ``k`` rows per (query,
+    partition), so one ranking serves either key.
     """
-    return topk(hits_of(scan(base, Probes(block, by_part), k)), ("q_id", "part"), k)
+    return topk(hits_of(scan(base, Probes(block, visits), k)), keys, k)
 
 
 def local_topk(queries: DataFrame, sharded: DataFrame, k: int = TOP_K) -> DataFrame:
     """The best ``k`` rows of every (query, partition), every query visiting every partition."""
-    found = [search_block(block, sharded, k) for block in query_blocks(queries)]
-    return union_or_empty(found, sharded, HITS)
+    return _all_rows(queries, sharded, k, ("q_id", "part"))
+
+
+def _all_rows(queries: DataFrame, base: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+    found = [search_block(block, base, k, None, keys) for block in query_blocks(queries)]
+    return union_or_empty(found, base, HITS)
 
 
 def full_search(queries: DataFrame, base: DataFrame, k: int = TOP_K) -> DataFrame:
     """The exact top-k of the whole table: one map over it and one small shuffle."""
     whole = base.select("vec_id", "embedding")
-    return local_topk(queries, whole, k).drop("part")
+    return _all_rows(queries, whole, k, ("q_id",)).drop("part")
 
 
 def sharded_search(queries: DataFrame, sharded: DataFrame, k: int = TOP_K) -> Search:
-    """Search every shard, then merge the local hits."""
-    hits = topk(local_topk(queries, sharded, k).drop("rk"), ("q_id",), k)
-    visits = queries.agg(F.count("*").alias("visits"))
+    """Search every shard and merge the local hits."""
+    hits = _all_rows(queries, sharded, k, ("q_id",))
     rows = sharded.groupBy("part").agg(F.count("*").alias("n"))
-    n_queries = visits.first()[0]
-    loads = rows.select("part", (F.col("n") * F.lit(n_queries)).alias("load"))
+    loads = rows.select("part", (F.col("n") * F.lit(queries.count())).alias("load"))
     return Search(hits, loads)
 
 
@@ -103,14 +117,19 @@ def route_block(
     return where, found["vec_id"].to_numpy(), found["rk"].to_numpy()
 
 
-def by_partition(where: np.ndarray, parts: np.ndarray) -> dict[int, tuple[np.ndarray, None]]:
-    return {int(p): (np.sort(where[parts == p]), None) for p in np.unique(parts)}
+def open_visits(where: np.ndarray, parts: np.ndarray) -> dict[int, tuple[np.ndarray, None]]:
+    """Visits without thresholds."""
+    return {p: (np.sort(where[rows]), None) for p, rows in by_part(parts)}
 
 
 def routed_topk(
-    queries: DataFrame, base: DataFrame, routes: DataFrame, k: int = TOP_K
+    queries: DataFrame,
+    base: DataFrame,
+    routes: DataFrame,
+    k: int = TOP_K,
+    keys: Sequence[str] = ("q_id", "part"),
 ) -> DataFrame:
-    """The best ``k`` rows of each routed (query, partition).
+    """The best ``k`` rows of each routed (query, partition), or of each query.
 
     Pairs each query with the rows of its partitions only, inside the scan. The
     rows of a hot partition stay spread over the tasks that read it.
@@ -119,7 +138,8 @@ def routed_topk(
     for block in query_blocks(queries):
         table = block.own(routes).select("q_id", "part").toArrow()
         where = block.positions(table["q_id"].to_numpy())
-        found.append(search_block(block, base, k, by_partition(where, table["part"].to_numpy())))
+        visits = open_visits(where, table["part"].to_numpy())
+        found.append(search_block(block, base, k, visits, keys))
     return union_or_empty(found, base, HITS)
 
 
@@ -150,5 +170,5 @@ def ivf_search(
 ) -> Search:
     """Search the partitions each query is routed to; ``base`` carries ``part``."""
     routes = route(queries, centroids, nprobe)
-    hits = topk(routed_topk(queries, base, routes, k).drop("rk"), ("q_id",), k)
+    hits = routed_topk(queries, base, routes, k, ("q_id",))
     return Search(hits, scan_loads(routes, base, centroids))

@@ -11,9 +11,9 @@ from skewprobe.functions.vectors import search_cast
 WORKLOADS = ("uniform", "skewed")
 
 
-def write_clean(clean: DataFrame, path: str) -> None:
+def write_clean(clean: DataFrame, path: str, rows_per_file: int = 0) -> None:
     """Finite features and label as parquet."""
-    clean.write.mode("overwrite").parquet(path)
+    clean.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
 def export_labels(df: DataFrame, path: str, label: str = "label", id: str | None = None) -> None:
@@ -38,13 +38,26 @@ def workload_table(uniform: DataFrame, skewed: DataFrame) -> DataFrame:
 
 
 def write_sets(
-    path: str, base: DataFrame, query: DataFrame, uniform: DataFrame, skewed: DataFrame
+    path: str,
+    base: DataFrame,
+    query: DataFrame,
+    uniform: DataFrame,
+    skewed: DataFrame,
+    rows_per_file: int = 0,
 ) -> None:
-    """Base and query vectors, both workloads and the label exports below ``path``."""
+    """Base and query vectors, both workloads and the label exports below ``path``.
+
+    ``rows_per_file`` cuts large output files without a shuffle: a search costs
+    far more per byte than a scan, so its tasks may be smaller.
+    """
     for name, table in (("base", base), ("query", query)):
         vectors = search_cast(table.select("vec_id", "embedding", "label"), "embedding")
-        vectors.write.mode("overwrite").parquet(f"{path}/{name}")
-        export_labels(table, f"{path}/{name}_labels")
+        vectors.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(
+            f"{path}/{name}"
+        )
+        # From the written table, so that the vectors are not computed again.
+        written = table.sparkSession.read.parquet(f"{path}/{name}")
+        export_labels(written, f"{path}/{name}_labels")
     workload_table(uniform, skewed).write.mode("overwrite").partitionBy("workload").parquet(
         f"{path}/workloads"
     )

@@ -6,8 +6,8 @@ from skewprobe.operators.metrics import latency_summary
 from skewprobe.operators.order import order_statistics
 
 
-@pytest.mark.parametrize("bins", [2, 16, 1 << 16])
-def test_ranks_with_a_value_on_a_third_of_the_rows(spark, bins):
+@pytest.mark.parametrize(("bins", "direct"), [(2, 0), (16, 0), (1 << 16, 0), (16, 1000)])
+def test_ranks_with_a_value_on_a_third_of_the_rows(spark, bins, direct):
     rng = np.random.default_rng(0)
     values = np.round(rng.exponential(size=300) ** 6, 6)
     values[:100] = values[150]
@@ -15,7 +15,7 @@ def test_ranks_with_a_value_on_a_third_of_the_rows(spark, bins):
     df = spark.createDataFrame(rows, "g int, v double").repartition(4)
     wanted = [1, 2, 40, 75, 76, 149, 150, 151, 0]
     targets = spark.createDataFrame([(g, r) for g in (0, 1) for r in wanted], "grp int, rank long")
-    found = order_statistics(df, F.col("v"), targets, F.col("g"), bins=bins).collect()
+    found = order_statistics(df, F.col("v"), targets, F.col("g"), bins=bins, direct=direct).collect()
     got = {(r.grp, r.rank): r.value for r in found}
     expected = {}
     for g in (0, 1):
@@ -29,7 +29,7 @@ def test_large_integers_and_nulls(spark, bins):
     values = [i * 7919 % 1000 + (1 << 59) for i in range(200)] + [None] * 5
     df = spark.createDataFrame([(v,) for v in values], "v long")
     targets = spark.createDataFrame([(0, r) for r in (1, 100, 200)], "grp int, rank long")
-    found = {r.rank: r.value for r in order_statistics(df, F.col("v"), targets, bins=bins).collect()}
+    found = {r.rank: r.value for r in order_statistics(df, F.col("v"), targets, bins=bins, direct=0).collect()}
     ordered = sorted(v for v in values if v is not None)
     assert found == {r: ordered[r - 1] for r in (1, 100, 200)}
 
@@ -37,9 +37,9 @@ def test_large_integers_and_nulls(spark, bins):
 def test_constant_values_and_empty_table(spark):
     df = spark.createDataFrame([(1.5,)] * 50, "v double")
     targets = spark.createDataFrame([(0, 25)], "grp int, rank long")
-    for bins in (4, 1 << 16):
-        assert order_statistics(df, F.col("v"), targets, bins=bins).first().value == 1.5
-        assert order_statistics(df.limit(0), F.col("v"), targets, bins=bins).count() == 0
+    for direct in (0, 100):
+        assert order_statistics(df, F.col("v"), targets, direct=direct).first().value == 1.5
+        assert order_statistics(df.limit(0), F.col("v"), targets, direct=direct).count() == 0
 
 
 def test_percentiles_match_linear_interpolation(spark):

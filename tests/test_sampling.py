@@ -36,19 +36,19 @@ def quotas(labels, fraction):
     return shares
 
 
-@pytest.fixture(params=[4, 1 << 16])
-def bins(request, monkeypatch):
+@pytest.fixture(params=[0, 1000])
+def direct(request, monkeypatch):
     """Both ways to a rank: by histogram, and directly for small groups."""
     narrow = order.order_statistics
     for module in ("sampling", "partition"):
         monkeypatch.setattr(
             f"skewprobe.operators.{module}.order_statistics",
-            lambda *a, **k: narrow(*a, **k, bins=request.param),
+            lambda *a, **k: narrow(*a, **k, bins=4, direct=request.param),
         )
 
 
 @pytest.mark.parametrize("fraction", [0.1, 0.37])
-def test_split_keeps_label_shares(spark, bins, fraction):
+def test_split_keeps_label_shares(spark, direct, fraction):
     labels = ["a"] * 70 + ["b"] * 33 + ["c"] * 4 + ["only"]
     base, query = stratified_split(table(spark, labels), fraction=fraction)
     expected = set()
@@ -58,14 +58,14 @@ def test_split_keeps_label_shares(spark, bins, fraction):
     assert ids(base) == set(range(len(labels))) - expected
 
 
-def test_uniform_sample(spark, bins):
+def test_uniform_sample(spark, direct):
     df = table(spark, ["x"] * 90)
     assert ids(uniform_sample(df, size=25)) == set(by_key(range(90))[:25])
     assert ids(uniform_sample(df, size=900)) == set(range(90))
     assert ids(uniform_sample(df, size=0)) == set()
 
 
-def test_sample_per_group(spark, bins):
+def test_sample_per_group(spark, direct):
     labels = ["a"] * 50 + ["b"] * 3
     got = ids(sample_per_group(table(spark, labels), "label", size=7))
     assert got == set(by_key(range(50))[:7]) | {50, 51, 52}
@@ -81,7 +81,7 @@ def test_sample_per_group(spark, bins):
         (9, 9, 1, 0, 1),
     ],
 )
-def test_skewed_sample(spark, bins, hot, cold, size, n_hot, n_cold):
+def test_skewed_sample(spark, direct, hot, cold, size, n_hot, n_cold):
     labels = ["DDoS attack"] * (hot // 2) + ["dos Hulk"] * (hot - hot // 2) + ["BENIGN"] * cold
     got = ids(skewed_sample(table(spark, labels), size=size))
     assert got == set(by_key(range(hot))[:n_hot]) | set(by_key(range(hot, hot + cold))[:n_cold])
