@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property, lru_cache
 from pathlib import Path
@@ -34,16 +35,24 @@ from skewprobe.operators.topk import kth_threshold, topk  # noqa: E402
 from skewprobe.plans import pruned, search  # noqa: E402
 from skewprobe.plans.preprocess import build_sets  # noqa: E402
 from skewprobe.plans.report import Run, run_report  # noqa: E402
-from skewprobe.session import stage  # noqa: E402
-from skewprobe.sources import merge_by_name, select_workload, workload_table  # noqa: E402
+from skewprobe.session import shared_dir, stage  # noqa: E402
+from skewprobe.sources import (  # noqa: E402
+    load_index,
+    load_workload,
+    merge_by_name,
+    read_flows,
+    select_workload,
+    workload_table,
+    write_index,
+    write_sets,
+)
 
 LINE_IDS = ("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
 
 
 @lru_cache(maxsize=None)
-def _ship(app_id: str) -> None:
-    """Send the package to the executors, once per application."""
-    spark = SparkSession.getActiveSession()
+def _ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per session."""
     target = Path(tempfile.mkdtemp(prefix="skewprobe-zip-")) / "skewprobe"
     archive = shutil.make_archive(str(target), "zip", ROOT, "skewprobe")
     spark.sparkContext.addPyFile(archive)
@@ -102,7 +111,10 @@ class Fixture:
 
     @cached_property
     def parts(self) -> DataFrame:
-        return partition.assign_nearest(self.base, self.centroids)
+        """The base with its partitions, written and read as an index."""
+        path = f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}"
+        write_index(path, partition.assign_nearest(self.base, self.centroids), self.centroids)
+        return load_index(self.spark, path)[0]
 
     @cached_property
     def routes(self) -> DataFrame:
@@ -151,24 +163,38 @@ class Fixture:
     def lineitem(self) -> DataFrame:
         return self.table("lineitem")
 
+    @cached_property
+    def sets_path(self) -> str:
+        """Base, query set, workloads and labels, written as a search would find them."""
+        path = f"{shared_dir(self.spark)}/sets-{uuid.uuid4().hex}"
+        write_sets(path, self.base, self.held, self.uniform, self.skewed)
+        return path
+
+    @cached_property
+    def csv_path(self) -> str:
+        """The raw events as two CSV folders whose headers differ in order and spacing."""
+        path = f"{shared_dir(self.spark)}/flows-{uuid.uuid4().hex}"
+        early = F.col("event_id") <= self.events.agg(F.avg("event_id")).first()[0]
+        one = self.raw_events.where(early).toDF(" event_id", " Label", "value ")
+        two = self.raw_events.where(~early).select("value", "event_id", "label")
+        one.write.csv(f"{path}/one", header=True, ignoreTrailingWhiteSpace=False)
+        two.toDF("value", "event_id ", "Label").write.csv(f"{path}/day/two", header=True)
+        return path
+
     @cached_property
     def flows(self) -> DataFrame:
-        """Line items as a clean flow table with one text id."""
+        """Line items as a written clean flow table with one text id."""
         table = self.lineitem.withColumn(
             "flow_id", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
         )
-        return clean.clean_flows(table, "l_returnflag", LINE_IDS, ("flow_id",))
+        flows = clean.clean_flows(table, "l_returnflag", LINE_IDS, ("flow_id",))
+        return stage(flows, "flows", 1 << 16)
 
 
 @lru_cache(maxsize=None)
-def _fixture(app_id: str, sf_dir: str) -> Fixture:
-    return Fixture(SparkSession.getActiveSession(), sf_dir)
-
-
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
-    app_id = spark.sparkContext.applicationId
-    _ship(app_id)
-    return _fixture(app_id, str(sf_dir))
+    _ship(spark)
+    return Fixture(spark, str(sf_dir))
 
 
 def _hits(df: DataFrame, part: bool = True) -> DataFrame:
@@ -271,6 +297,34 @@ def _vectorise_chain(t: Fixture) -> DataFrame:
     )
 
 
+def _flow_search(t: Fixture) -> DataFrame:
+    """The ten line items closest to the mean direction of each label.
+
+    All components are kept, so scores do not depend on the projection.
+    """
+    table, _ = features.vectorise(t.flows, list(oracle.FEATURES))
+    code = F.array_position(F.array(*[F.lit(x) for x in oracle.FLAGS]), F.col("l_returnflag"))
+    base = table.select(F.xxhash64("flow_id").alias("vec_id"), "embedding", code.alias("flag"))
+    means = partition.mean_centroids(base, "flag")
+    q = means.select(F.col("part").cast("long").alias("q_id"), F.col("c").alias("qv"))
+    return search.full_search(q, base).select("q_id", "rk", F.round("score", 5).alias("score"))
+
+
+def _read_flows(t: Fixture) -> DataFrame:
+    table = clean.clean_flows(read_flows(t.spark, t.csv_path), carry=("event_id",))
+    return table.select(F.col("event_id").cast("long"), F.col("Label").alias("label"), "value")
+
+
+def _label_export(t: Fixture) -> DataFrame:
+    labels = t.spark.read.csv(f"{t.sets_path}/query_labels", header=True)
+    return metrics.load_by(labels, "label")
+
+
+def _load_workload(t: Fixture) -> DataFrame:
+    base, q = load_workload(t.spark, t.sets_path, "skewed")
+    return search.full_search(q, base).select("q_id", "vec_id", "score", "rk")
+
+
 def _pca_vectors(t: Fixture) -> DataFrame:
     table, _ = features.vectorise(t.flows, list(oracle.FEATURES), dims=3)
     return table.select("flow_id", "embedding")
@@ -292,7 +346,10 @@ def _latency(t: Fixture) -> DataFrame:
 
 def _preprocess_report(t: Fixture) -> DataFrame:
     sets = build_sets(t.flows, "flow_id", "l_returnflag", patterns=oracle.HOT_FLAGS)
-    return metrics.preprocess_report(t.flows, sets.base, sets.query, sets.uniform, sets.skewed)
+    files = len(t.lineitem.inputFiles())
+    return metrics.preprocess_report(
+        t.flows, sets.base, sets.query, sets.uniform, sets.skewed, files
+    )
 
 
 def _run_report(t: Fixture) -> DataFrame:
@@ -349,7 +406,9 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     ).select(F.round("imbalance", 6).alias("imbalance")),
     # partitions and routing
     "mean_centroids": lambda t: _elements(t.centroids, "c", "part"),
-    "nearest_centroid": lambda t: t.parts.select("vec_id", "part"),
+    "nearest_centroid": lambda t: partition.assign_nearest(t.base, t.centroids).select(
+        "vec_id", "part"
+    ),
     "centroid_scores": lambda t: search.centroid_scores(t.queries(), t.centroids),
     "probe_routing": lambda t: search.route(t.queries(), t.centroids, oracle.NPROBE),
     "routed_candidates": lambda t: search.routed_candidates(t.routes, t.parts).select(
@@ -428,6 +487,11 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
         "q_id", "label", "workload"
     ),
     "pca_vectors": _pca_vectors,
+    "flow_search": _flow_search,
+    # sources and sinks
+    "read_flows": _read_flows,
+    "label_export": _label_export,
+    "load_workload": _load_workload,
     "vectorise_chain": _vectorise_chain,
     # metrics
     "latency_summary": _latency,

@@ -14,6 +14,7 @@ SAMPLE_ROWS, SAMPLE_PER_PART, WARM_QUERIES = 100, 20, 32
 HOT_LABELS = ("0", "1", "2", "3", "4")
 HOT_EVENTS = ("error",)
 HOT_FLAGS = ("R",)
+FLAGS = ("A", "N", "R")
 
 WIDTH = DIM // BLOCKS
 
@@ -420,6 +421,8 @@ _EVENT = [
 
 FEATURES = ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
+_CODE = " ".join(f"WHEN '{flag}' THEN {i + 1}" for i, flag in enumerate(FLAGS))
+
 _LINE = [
     (
         "li",
@@ -453,6 +456,13 @@ _LINE = [
           unnest([x / len for x in z]) AS x, generate_subscripts(z, 1) AS dim
           FROM li_unit) GROUP BY label, dim""",
     ),
+    ("li_dir", "SELECT label, list(m ORDER BY dim) AS c FROM li_mean GROUP BY label"),
+    (
+        "li_close",
+        f"""SELECT (CASE d.label {_CODE} END)::BIGINT AS q_id, row_number() OVER (PARTITION BY d.label
+          ORDER BY list_inner_product(z, c) / len DESC)::INTEGER AS rk,
+          round(list_inner_product(z, c) / len, 5) AS score FROM li_unit, li_dir d""",
+    ),
 ]
 
 
@@ -602,6 +612,10 @@ def oracle_sql() -> dict[str, str]:
               FROM li_mean GROUP BY label""",
             _LINE,
         ),
+        "flow_search": _sql(f"SELECT q_id, rk, score FROM li_close WHERE rk <= {K}", _LINE),
+        "read_flows": _sql("SELECT * FROM finite_events WHERE value IS NOT NULL", _EVENT),
+        "label_export": _sql("SELECT label, count(*) AS load FROM held GROUP BY label"),
+        "load_workload": _sql(f"{hits} top_full", workload="skewed"),
         "latency_summary": """SELECT event_type, count(value) AS queries, round(avg(value), 6) AS mean,
             round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99
             FROM events GROUP BY event_type""",

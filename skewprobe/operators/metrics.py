@@ -137,7 +137,7 @@ def preprocess_report(
     rows = [
         clean.sparkSession.createDataFrame([("files", n_files)], "metric string, value long"),
         fact("clean_rows", clean, every),
-        fact("dims", base, F.max(F.size("embedding"))),
+        fact("dims", base.limit(1), F.max(F.size("embedding"))),
         fact("base_vectors", base, every),
         fact("query_vectors", query, every),
         fact("uniform_queries", uniform, every),
