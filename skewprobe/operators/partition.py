@@ -61,7 +61,8 @@ def fit_centroids(
     """k-means centroids ``part``, ``c``: the cheapest of several seeded runs.
 
     The outcome depends on how the input is partitioned, so write the centroids
-    and let queries read them.
+    and let queries read them. Each iteration passes over the whole input; on a
+    very large one, fit on a :func:`uniform_sample` of it.
     """
     points = base.select(
         array_to_vector(F.col(vector).cast("array<double>")).alias("features")

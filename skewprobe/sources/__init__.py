@@ -2,6 +2,7 @@ from skewprobe.sources.flows import merge_by_name, read_flows, trim_header
 from skewprobe.sources.sets import (
     export_labels,
     load_index,
+    load_warmup,
     load_workload,
     select_workload,
     workload_table,
@@ -13,6 +14,7 @@ from skewprobe.sources.sets import (
 __all__ = [
     "export_labels",
     "load_index",
+    "load_warmup",
     "load_workload",
     "merge_by_name",
     "read_flows",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skewprobe.functions.vectors import search_cast
+from skewprobe.operators.sampling import sample_per_group
 
 # The names of the query workloads.
 WORKLOADS = ("uniform", "skewed")
@@ -78,18 +79,31 @@ def load_workload(
     return search_cast(base, "embedding"), search_cast(queries, "qv")
 
 
-def write_index(path: str, base: DataFrame, centroids: DataFrame) -> None:
-    """The base laid out by ``part``, and its centroids.
+def write_index(
+    path: str, base: DataFrame, centroids: DataFrame, warmup_rows: int = 0
+) -> None:
+    """The base laid out by ``part``, its centroids, and rows to warm up pruned searches.
 
     The rebalance hint lets the adaptive planner split a hot partition over
     several files and merge small ones, so files stay even under skew. A search
-    that visits few partitions then reads only their folders.
+    that visits few partitions then reads only their folders. The warm-up rows,
+    ``warmup_rows`` per partition, take one more pass here and save one in every
+    pruned search.
     """
     base.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(
         f"{path}/parts"
     )
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+    if warmup_rows:
+        parts, _ = load_index(base.sparkSession, path)
+        sample = sample_per_group(parts, "part", "vec_id", warmup_rows)
+        sample.write.mode("overwrite").parquet(f"{path}/warmup")
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/parts"), spark.read.parquet(f"{path}/centroids")
+
+
+def load_warmup(spark: SparkSession, path: str) -> DataFrame:
+    """The ``sample`` of a pruned search over this index."""
+    return spark.read.parquet(f"{path}/warmup")

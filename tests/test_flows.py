@@ -12,6 +12,7 @@ from skewprobe.plans.report import Run, run_report
 from skewprobe.sources import (
     export_labels,
     load_index,
+    load_warmup,
     load_workload,
     merge_by_name,
     read_flows,
@@ -136,10 +137,12 @@ def test_index_round_trip(spark, tmp_path):
     rows = [(i, [float(i), 1.0], i % 3) for i in range(30)]
     base = spark.createDataFrame(rows, "vec_id long, embedding array<float>, part int")
     centroids = spark.createDataFrame([(0, [1.0, 0.0])], "part int, c array<double>")
-    write_index(str(tmp_path), base, centroids)
+    write_index(str(tmp_path), base, centroids, warmup_rows=4)
     parts, c = load_index(spark, str(tmp_path))
     assert {(r.vec_id, r.part) for r in parts.collect()} == {(i, i % 3) for i in range(30)}
     assert c.count() == 1
+    warm = load_warmup(spark, str(tmp_path))
+    assert [r["count"] for r in warm.groupBy("part").count().collect()] == [4, 4, 4]
     export_labels(base.selectExpr("vec_id", "part as label"), str(tmp_path / "l"), id="vec_id")
     assert spark.read.csv(str(tmp_path / "l"), header=True).count() == 30
 
