@@ -25,7 +25,7 @@ from skewprobe.functions.vectors import (  # noqa: E402
     block_bounds,
     block_scores,
     dim_blocks,
-    dot,
+    dot_scores,
     search_cast,
     suffix_bounds,
 )
@@ -33,7 +33,7 @@ from skewprobe.operators import clean, features, metrics, partition, sampling  #
 from skewprobe.operators.scan import DECIMALS  # noqa: E402
 from skewprobe.operators.topk import kth_threshold, topk  # noqa: E402
 from skewprobe.plans import pruned, search  # noqa: E402
-from skewprobe.plans.preprocess import build_sets  # noqa: E402
+from skewprobe.plans.preprocess import vectors_of  # noqa: E402
 from skewprobe.plans.report import Run, run_report  # noqa: E402
 from skewprobe.session import shared_dir, stage  # noqa: E402
 from skewprobe.sources import (  # noqa: E402
@@ -136,8 +136,7 @@ class Fixture:
     def explained(self) -> DataFrame:
         """The hits of the full search joined back to both vectors."""
         hits = search.full_search(self.queries(), self.base)
-        rows = self.base.select("vec_id", F.col("embedding").alias("bv"))
-        return hits.join(rows, "vec_id").join(self.queries(), "q_id")
+        return search.attach_vectors(hits, self.queries(), self.base)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -236,13 +235,13 @@ def _open_stage(t: Fixture) -> pruned.Stage:
 
 def _dot_scores(t: Fixture) -> DataFrame:
     pairs = t.base.join(t.centroids, F.col("label").cast("int") == F.col("part"))
-    return pairs.select("vec_id", F.round(dot("embedding", "c"), DECIMALS).alias("score"))
+    scored = dot_scores(pairs, "embedding", "c")
+    return scored.select("vec_id", F.round("score", DECIMALS).alias("score"))
 
 
 def _bound_filter(t: Fixture) -> DataFrame:
     hits = search.routed_topk(t.queries(), t.parts, t.routes)
-    rows = t.parts.select("vec_id", F.col("embedding").alias("bv"))
-    pairs = hits.join(rows, "vec_id").join(t.queries(), "q_id")
+    pairs = search.attach_vectors(hits, t.queries(), t.parts)
     ranges = dim_blocks(oracle.DIM, oracle.BLOCKS)
     pairs = suffix_bounds(block_bounds(block_scores(pairs, ranges), ranges), oracle.BLOCKS)
     thr = kth_threshold(hits.drop("rk"))
@@ -345,11 +344,12 @@ def _latency(t: Fixture) -> DataFrame:
 
 
 def _preprocess_report(t: Fixture) -> DataFrame:
-    sets = build_sets(t.flows, "flow_id", "l_returnflag", patterns=oracle.HOT_FLAGS)
+    vectors, _ = vectors_of(t.flows, "flow_id", "l_returnflag")
+    base, query = sampling.stratified_split(vectors)
+    uniform = sampling.uniform_sample(query)
+    skewed = sampling.skewed_sample(query, patterns=oracle.HOT_FLAGS)
     files = len(t.lineitem.inputFiles())
-    return metrics.preprocess_report(
-        t.flows, sets.base, sets.query, sets.uniform, sets.skewed, files
-    )
+    return metrics.preprocess_report(t.flows, base, query, uniform, skewed, files)
 
 
 def _run_report(t: Fixture) -> DataFrame:

@@ -4,6 +4,8 @@ from skewprobe.functions.vectors import (
     block_scores,
     dim_blocks,
     dot,
+    dot_scores,
+    scores_of,
     search_cast,
     suffix_bounds,
 )
@@ -13,8 +15,10 @@ __all__ = [
     "block_scores",
     "dim_blocks",
     "dot",
+    "dot_scores",
     "is_hot",
     "order_key",
+    "scores_of",
     "search_cast",
     "suffix_bounds",
 ]

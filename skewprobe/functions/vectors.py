@@ -39,6 +39,16 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, t: s + t)
 
 
+def dot_scores(pairs: DataFrame, a: str = "qv", b: str = "bv") -> DataFrame:
+    """Add ``score``, the inner product of two columns."""
+    return pairs.withColumn("score", dot(a, b))
+
+
+def scores_of(base: DataFrame, query: Sequence[float], vector: str = "embedding") -> DataFrame:
+    """Add ``score``: the inner product of every row with one query."""
+    return base.withColumn("score", dot(vector, F.lit([float(x) for x in query])))
+
+
 def _range(vector: str, block: tuple[int, int]) -> Column:
     start, end = block
     return F.slice(F.col(vector).cast("array<double>"), start + 1, end - start)

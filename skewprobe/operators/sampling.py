@@ -42,17 +42,16 @@ def label_quotas(counts: DataFrame, total: int, wanted: int) -> DataFrame:
     return shares.select("label", (F.col("base") + (place <= left).cast("long")).alias("quota"))
 
 
-def stratified_split(
+def split_roles(
     df: DataFrame,
     id: str = "vec_id",
     label: str = "label",
     fraction: float = QUERY_FRACTION,
     seed: int = SEED,
-) -> tuple[DataFrame, DataFrame]:
-    """Split into base and query rows, keeping the label proportions.
+) -> DataFrame:
+    """Add ``role``, ``base`` or ``query``, keeping the label proportions.
 
-    Both results are filters over ``df``: scan, join with one row per label,
-    compare keys.
+    A map over ``df``: join with one row per label, compare keys.
     """
     counts = stage(df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")), "labels")
     total, largest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
@@ -62,10 +61,20 @@ def stratified_split(
     cuts = stage(cuts.select(F.col("grp").alias("__grp"), F.col("value").alias("__cut")), "cuts")
 
     keyed = df.join(cuts, F.col(label) == F.col("__grp"), "left")
-    is_query = F.coalesce(order_key(id, seed) <= F.col("__cut"), F.lit(False))
-    base = keyed.where(~is_query).drop("__grp", "__cut")
-    query = keyed.where(is_query).drop("__grp", "__cut")
-    return base, query
+    role = F.when(order_key(id, seed) <= F.col("__cut"), "query").otherwise("base")
+    return keyed.withColumn("role", role).drop("__grp", "__cut")
+
+
+def stratified_split(
+    df: DataFrame,
+    id: str = "vec_id",
+    label: str = "label",
+    fraction: float = QUERY_FRACTION,
+    seed: int = SEED,
+) -> tuple[DataFrame, DataFrame]:
+    """Base and query rows of :func:`split_roles`, as two filters over ``df``."""
+    roles = split_roles(df, id, label, fraction, seed)
+    return roles.where("role = 'base'").drop("role"), roles.where("role = 'query'").drop("role")
 
 
 def uniform_sample(

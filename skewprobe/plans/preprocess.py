@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -19,49 +18,51 @@ from skewprobe.operators.sampling import (
     SKEW_RATIO,
     WORKLOAD_SIZE,
     skewed_sample,
-    stratified_split,
+    split_roles,
     uniform_sample,
 )
 from skewprobe.sources.flows import quoted, read_flows
-from skewprobe.sources.sets import write_clean, write_sets
+from skewprobe.sources.sets import (
+    load_vectors,
+    select_workload,
+    write_clean,
+    write_vectors,
+    write_workloads,
+)
 
 
-@dataclass(frozen=True)
-class Sets:
-    vectors: DataFrame
-    base: DataFrame
-    query: DataFrame
-    uniform: DataFrame
-    skewed: DataFrame
-    model: PipelineModel
+def vectors_of(
+    clean: DataFrame, id: str, label: str = LABEL, dims: int = PCA_DIMS
+) -> tuple[DataFrame, PipelineModel]:
+    """``vec_id, embedding, label`` of a clean table; every numeric column is a feature.
 
+    The model is fitted on all rows, before any split. ``clean`` should be a
+    written table: it is read several times, and its ids must not change.
+    """
+    table, model = vectorise(clean, numeric_columns(clean, (id, label)), dims)
+    vectors = table.select(quoted(id).alias("vec_id"), "embedding", quoted(label).alias("label"))
+    return search_cast(vectors, "embedding"), model
 
-def build_sets(
-    clean: DataFrame,
-    id: str,
-    label: str = LABEL,
-    dims: int = PCA_DIMS,
+
+def write_search_inputs(
+    vectors: DataFrame,
+    out: str,
     fraction: float = QUERY_FRACTION,
     size: int = WORKLOAD_SIZE,
     ratio: float = SKEW_RATIO,
     patterns: Sequence[str] = HOT_PATTERNS,
     seed: int = SEED,
-) -> Sets:
-    """Vectors of a clean table, split into base and query, with both workloads.
+    rows_per_file: int = 0,
+) -> None:
+    """Split, write, sample the written query set, write both workloads.
 
-    The model is fitted on all rows, before the split. ``clean`` should be a
-    written table: it is read several times, and its ids must not change.
+    The vectors are computed in one pass, which writes both roles.
     """
-    features = numeric_columns(clean, (id, label))
-    table, model = vectorise(clean, features, dims)
-    vectors = search_cast(
-        table.select(quoted(id).alias("vec_id"), "embedding", quoted(label).alias("label")),
-        "embedding",
-    )
-    base, query = stratified_split(vectors, "vec_id", "label", fraction, seed)
+    write_vectors(out, split_roles(vectors, "vec_id", "label", fraction, seed), rows_per_file)
+    _, query = load_vectors(vectors.sparkSession, out)
     uniform = uniform_sample(query, "vec_id", size, seed)
     skewed = skewed_sample(query, "vec_id", "label", size, ratio, patterns, seed)
-    return Sets(vectors, base, query, uniform, skewed, model)
+    write_workloads(out, uniform, skewed)
 
 
 def preprocess(
@@ -70,20 +71,23 @@ def preprocess(
     out: str,
     label: str = LABEL,
     drop: Sequence[str] = IDENTIFIERS,
+    dims: int = PCA_DIMS,
     **options,
 ) -> DataFrame:
     """Read, clean, vectorise, split, sample and write; returns the report.
 
-    Row ids are given once, when the clean table is written.
+    Row ids are given once, when the clean table is written. ``options`` are
+    those of :func:`write_search_inputs`.
     """
     flows = read_flows(spark, raw)
     clean = clean_flows(flows, label, drop)
-    write_clean(clean.withColumn("flow_id", F.monotonically_increasing_id()), f"{out}/clean")
+    rows_per_file = options.get("rows_per_file", 0)
+    numbered = clean.withColumn("flow_id", F.monotonically_increasing_id())
+    write_clean(numbered, f"{out}/clean", rows_per_file)
     clean = spark.read.parquet(f"{out}/clean")
-    sets = build_sets(clean, "flow_id", label, **options)
-    write_sets(out, sets.base, sets.query, sets.uniform, sets.skewed)
-    base, query = (spark.read.parquet(f"{out}/{name}") for name in ("base", "query"))
+    vectors, _ = vectors_of(clean, "flow_id", label, dims)
+    write_search_inputs(vectors, out, **options)
+    base, query = load_vectors(spark, out)
     workloads = spark.read.parquet(f"{out}/workloads")
-    uniform = workloads.where("workload = 'uniform'")
-    skewed = workloads.where("workload = 'skewed'")
+    uniform, skewed = (select_workload(workloads, w) for w in ("uniform", "skewed"))
     return preprocess_report(clean, base, query, uniform, skewed, len(flows.inputFiles()))

@@ -25,6 +25,7 @@ from skewprobe.operators.scan import (
     scan,
 )
 from skewprobe.operators.topk import TOP_K, topk
+from skewprobe.session import stage
 
 # Fixed value: partitions a query visits.
 NPROBE = 2
@@ -143,6 +144,16 @@ def routed_topk(
     return union_or_empty(found, base, HITS)
 
 
+def attach_vectors(hits: DataFrame, queries: DataFrame, base: DataFrame) -> DataFrame:
+    """Hits with both vectors, ``qv`` and ``bv``, for :mod:`skewprobe.functions.vectors`.
+
+    The hits are written first: they are few, and knowing so Catalyst sends them
+    to the rows instead of shuffling the stored vectors.
+    """
+    rows = base.select("vec_id", F.col("embedding").alias("bv"))
+    return stage(hits, "hits").join(rows, "vec_id").join(queries.select("q_id", "qv"), "q_id")
+
+
 def routed_candidates(routes: DataFrame, base: DataFrame) -> DataFrame:
     """How many rows each routed (query, partition) has to look at.
 

@@ -2,6 +2,7 @@ from skewprobe.sources.flows import merge_by_name, read_flows, trim_header
 from skewprobe.sources.sets import (
     export_labels,
     load_index,
+    load_vectors,
     load_warmup,
     load_workload,
     select_workload,
@@ -9,11 +10,14 @@ from skewprobe.sources.sets import (
     write_clean,
     write_index,
     write_sets,
+    write_vectors,
+    write_workloads,
 )
 
 __all__ = [
     "export_labels",
     "load_index",
+    "load_vectors",
     "load_warmup",
     "load_workload",
     "merge_by_name",
@@ -24,4 +28,6 @@ __all__ = [
     "write_clean",
     "write_index",
     "write_sets",
+    "write_vectors",
+    "write_workloads",
 ]

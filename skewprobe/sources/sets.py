@@ -38,6 +38,32 @@ def workload_table(uniform: DataFrame, skewed: DataFrame) -> DataFrame:
     return _workload(uniform, "uniform").unionByName(_workload(skewed, "skewed"))
 
 
+def write_vectors(path: str, roles: DataFrame, rows_per_file: int = 0) -> None:
+    """Base and query vectors in one pass, in a folder per ``role``, and their labels.
+
+    ``rows_per_file`` cuts large output files without a shuffle: a search costs
+    far more per byte than a scan, so its tasks may be smaller.
+    """
+    vectors = search_cast(roles.select("vec_id", "embedding", "label", "role"), "embedding")
+    writer = vectors.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+    writer.partitionBy("role").parquet(f"{path}/vectors")
+    base, query = load_vectors(roles.sparkSession, path)
+    export_labels(base, f"{path}/base_labels")
+    export_labels(query, f"{path}/query_labels")
+
+
+def load_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The base and the query vectors; each reads its own folder only."""
+    vectors = spark.read.parquet(f"{path}/vectors")
+    base, query = (vectors.where(F.col("role") == r).drop("role") for r in ("base", "query"))
+    return base, query
+
+
+def write_workloads(path: str, uniform: DataFrame, skewed: DataFrame) -> None:
+    table = workload_table(uniform, skewed)
+    table.write.mode("overwrite").partitionBy("workload").parquet(f"{path}/workloads")
+
+
 def write_sets(
     path: str,
     base: DataFrame,
@@ -46,22 +72,14 @@ def write_sets(
     skewed: DataFrame,
     rows_per_file: int = 0,
 ) -> None:
-    """Base and query vectors, both workloads and the label exports below ``path``.
-
-    ``rows_per_file`` cuts large output files without a shuffle: a search costs
-    far more per byte than a scan, so its tasks may be smaller.
-    """
-    for name, table in (("base", base), ("query", query)):
-        vectors = search_cast(table.select("vec_id", "embedding", "label"), "embedding")
-        vectors.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(
-            f"{path}/{name}"
-        )
-        # From the written table, so that the vectors are not computed again.
-        written = table.sparkSession.read.parquet(f"{path}/{name}")
-        export_labels(written, f"{path}/{name}_labels")
-    workload_table(uniform, skewed).write.mode("overwrite").partitionBy("workload").parquet(
-        f"{path}/workloads"
-    )
+    """Base and query vectors, both workloads and the label exports below ``path``."""
+    columns = ["vec_id", "embedding", "label"]
+    roles = [
+        table.select(*columns, F.lit(role).alias("role"))
+        for table, role in ((base, "base"), (query, "query"))
+    ]
+    write_vectors(path, roles[0].unionByName(roles[1]), rows_per_file)
+    write_workloads(path, uniform, skewed)
 
 
 def select_workload(table: DataFrame, query_set: str) -> DataFrame:
@@ -75,7 +93,7 @@ def load_workload(
 ) -> tuple[DataFrame, DataFrame]:
     """The base vectors and one workload; only that workload's files are read."""
     queries = select_workload(spark.read.parquet(f"{path}/workloads"), query_set)
-    base = spark.read.parquet(f"{path}/base")
+    base, _ = load_vectors(spark, path)
     return search_cast(base, "embedding"), search_cast(queries, "qv")
 
 

@@ -5,6 +5,7 @@ import pytest
 from helpers import brute, frame, hits, same_hits, vectors
 from pyspark.sql import functions as F
 
+from skewprobe.functions import scores_of
 from skewprobe.operators.partition import (
     assign_nearest,
     fit_centroids,
@@ -185,6 +186,13 @@ def test_thresholds_and_ranks(spark):
     assert strict == {1: 0.5, 2: float("-inf")}
 
 
+def test_scores_of_one_query(spark, data):
+    b, q = data
+    found = {r.vec_id: r.score for r in scores_of(frame(spark, b), q[1]).collect()}
+    want = dict(enumerate(b.astype(float) @ q[1].astype(float)))
+    assert found == pytest.approx(want, abs=1e-12)
+
+
 def test_scan_reads_two_columns_and_visited_partitions(spark, data, tmp_path):
     b, q = data
     table = frame(spark, b, np.arange(len(b)) % 4).withColumn("label", F.lit("x"))
