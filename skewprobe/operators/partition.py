@@ -64,17 +64,11 @@ def fit_centroids(
     and let queries read them. Each iteration passes over the whole input; on a
     very large one, fit on a :func:`uniform_sample` of it.
     """
-    points = base.select(
-        array_to_vector(F.col(vector).cast("array<double>")).alias("features")
-    ).persist()
-    try:
-        fits = (
-            KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4).fit(points)
-            for i in range(restarts)
-        )
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-    finally:
-        points.unpersist()
+    points = base.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    fits = (
+        KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4).fit(points) for i in range(restarts)
+    )
+    best = min(fits, key=lambda m: m.summary.trainingCost)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
     return base.sparkSession.createDataFrame(rows, "part int, c array<double>")
 

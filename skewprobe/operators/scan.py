@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,13 @@ class QueryBlock:
     vectors: np.ndarray
     slot: int = 0
     slots: int = 1
+    sent: Broadcast | None = field(default=None, repr=False)
+
+    def send(self, context: SparkContext) -> Broadcast:
+        """The block as a broadcast, made once however many passes use it."""
+        if self.sent is None:
+            self.sent = context.broadcast((self.ids, self.vectors))
+        return self.sent
 
     def positions(self, ids: np.ndarray) -> np.ndarray:
         order = np.argsort(self.ids)
@@ -185,11 +193,14 @@ def scan(
     if probes.by_part is not None:
         # Reaches the files as a partition filter when the table is laid out by part.
         table = table.where(F.col("part").isin([int(p) for p in probes.by_part]))
-    shared = base.sparkSession.sparkContext.broadcast(probes)
+    context = base.sparkSession.sparkContext
+    queries = probes.block.send(context)
+    visits = context.broadcast((probes.by_part, probes.everywhere))
     prune = None if bound is None else Pruning([tuple(b) for b in blocks], upto or len(blocks), bound, slack)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _scan_task(batches, shared.value, k, prune, counters)
+        mine = Probes(QueryBlock(*queries.value), *visits.value)
+        yield from _scan_task(batches, mine, k, prune, counters)
 
     return table.mapInArrow(run, SCHEMA)
 
