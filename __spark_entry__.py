@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import cached_property, lru_cache
@@ -35,7 +33,7 @@ from skewprobe.operators.topk import kth_threshold, topk  # noqa: E402
 from skewprobe.plans import pruned, search  # noqa: E402
 from skewprobe.plans.preprocess import vectors_of  # noqa: E402
 from skewprobe.plans.report import Run, run_report  # noqa: E402
-from skewprobe.session import shared_dir, stage  # noqa: E402
+from skewprobe.session import shared_dir, ship, stage  # noqa: E402
 from skewprobe.sources import (  # noqa: E402
     load_index,
     load_workload,
@@ -47,15 +45,15 @@ from skewprobe.sources import (  # noqa: E402
     write_sets,
 )
 
-LINE_IDS = ("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
-
+try:
+    from skewprobe.llm import registry as llm
+except ModuleNotFoundError as missing:
+    # The subpackage can be taken out; anything else that is missing is an error.
+    if missing.name not in ("skewprobe.llm", "skewprobe.llm.registry"):
+        raise
+    llm = None
 
-@lru_cache(maxsize=None)
-def _ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per session."""
-    target = Path(tempfile.mkdtemp(prefix="skewprobe-zip-")) / "skewprobe"
-    archive = shutil.make_archive(str(target), "zip", ROOT, "skewprobe")
-    spark.sparkContext.addPyFile(archive)
+LINE_IDS = ("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
 
 
 class Fixture:
@@ -192,7 +190,7 @@ class Fixture:
 
 @lru_cache(maxsize=None)
 def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
-    _ship(spark)
+    ship(spark)
     return Fixture(spark, str(sf_dir))
 
 
@@ -512,8 +510,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(run: Callable[[Fixture], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: run(fixture(spark, sf_dir))
 
-    return {name: bind(run) for name, run in QUERIES.items()}
+    own = {name: bind(run) for name, run in QUERIES.items()}
+    return own | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    return oracle.oracle_sql() | (llm.oracle_sql() if llm else {})

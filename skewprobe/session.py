@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +46,12 @@ def stage(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     path = f"{shared_dir(spark)}/skewprobe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@lru_cache(maxsize=None)
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per session."""
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="skewprobe-zip-")) / package.name
+    archive = shutil.make_archive(str(target), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
