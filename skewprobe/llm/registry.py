@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,10 @@ from skewprobe.llm.collision_search import search
 from skewprobe.llm.lines import dedup_lines
 from skewprobe.llm.metric_join import vector_groups
 from skewprobe.llm.mixing import mix
+from skewprobe.llm.pieces import decode_ids, encode_texts
 from skewprobe.llm.simhash import simhash_groups
+from skewprobe.llm.token_files import read_token_files, token_file_folder, write_token_files
+from skewprobe.llm.toxicity import score_docs, train
 from skewprobe.llm.urls import RULES, judge_urls
 from skewprobe.session import ship
 
@@ -25,6 +29,7 @@ URL_RULES = (
     ("org", "/fr/", "allow"),
 )
 WEIGHTS = (5.0, 2.0, 1.0)
+END_ID = 2
 ODD_TURN = "</s>[INST] ok [/INST]"
 CHATS = "conv_id long, turn long, role string, text string"
 
@@ -39,6 +44,28 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = token_file_folder(spark, "token-files")
+    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end=END_ID)
+    read = read_token_files(spark.read.parquet(path), with_ids=False)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = train(docs, labels.where(~held_out))
+    scored = score_docs(docs, model, score="score")
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_groups(docs, words=3).select("doc_id", "fingerprint", "component_id")
@@ -77,6 +104,20 @@ def op8_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(_table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = encode_texts(docs, model)
+    decoded = encoded.withColumn("back", decode_ids(F.col("ids"), model))
+    lossless = F.col("back").eqNullSafe(F.col("text"))
+    return decoded.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+        F.crc32(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_crc32"),
+        lossless.alias("lossless"),
+    )
+
+
 def op10_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     # The stated query set: every row whose id is divisible by 100.
@@ -85,11 +126,14 @@ def op10_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_token_files": op2_token_files,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_chat_format": op6_chat_format,
     "op7_line_dedup": op7_line_dedup,
     "op8_vector_groups": op8_vector_groups,
+    "op9_sampled_pieces": op9_sampled_pieces,
     "op10_collision_search": op10_collision_search,
     "pipeline": corpus_pipeline.run,
 }
