@@ -27,8 +27,10 @@ from skewprobe.session import broadcast_bytes, stage
 # Directions, half width of a window over the radius, standard deviations that
 # the collision threshold lies below the mean of a row at that radius.
 DIRECTIONS, HALF_WIDTH, SAFETY = 256, 1.25, 2.0
-# First radius over the typical distance of two rows, and its growth.
-FIRST, GROWTH = 0.1, 1.25
+# First radius over the distance of a near row of the block, and its growth.
+FIRST, GROWTH = 0.9, 1.12
+# That distance: the median over some rows of the block of their distance to the row at this place.
+PLACE, PROBES = 11, 16
 BLOCK_ROWS = 4096
 INDEX = "block long, n int, ids binary, rows binary, places binary, order binary, typical double"
 HITS = "query_id long, vec_id long, score double"
@@ -63,8 +65,9 @@ def _block(block: int, part: pd.DataFrame, count: int, seed: int) -> dict:
     rows = rows_of(part["v"])
     shadow = (rows @ directions(rows.shape[1], count, seed)).T.astype(np.float32)
     order = shadow.argsort(1, kind="stable").astype(np.uint16)
-    # Root mean square distance of two rows, from the spread around the mean.
-    typical = math.sqrt(2 * rows.var(0).sum())
+    probes = rows[:: max(1, len(rows) // PROBES)][:PROBES]
+    apart = np.sqrt(np.maximum(((probes[:, None] - rows[None]) ** 2).sum(2), 0))
+    typical = float(np.median(np.sort(apart, 1)[:, min(PLACE, len(rows)) - 1]))
     return {
         "block": block, "n": len(part), "ids": part["id"].to_numpy(np.int64).tobytes(),
         "rows": rows.tobytes(), "places": np.take_along_axis(shadow, order.astype(int), 1).tobytes(),
@@ -126,7 +129,7 @@ def _searcher(asked: pd.DataFrame, k: int, count: int, seed: int):
         for frame in frames:
             for block in frame.itertuples(index=False):
                 own = Block(block, count)
-                found = [own.nearest(*q, k) for q in zip(ids, rows, shadow, strict=True)]
+                found = own.nearest(ids, rows, shadow, k)
                 yield pd.DataFrame(
                     {
                         "query_id": np.repeat(ids, [len(near) for near, _ in found]),
@@ -146,36 +149,73 @@ class Block:
         self.ids = np.frombuffer(block.ids, np.int64)
         self.rows = np.frombuffer(block.rows, np.float64).reshape(n, -1)
         self.places = np.frombuffer(block.places, np.float32).reshape(count, n)
-        self.order = np.frombuffer(block.order, np.uint16).reshape(count, n)
+        self.order = np.frombuffer(block.order, np.uint16).reshape(count, n).astype(np.intp)
         self.typical = block.typical
         inside = 2 * NormalDist().cdf(HALF_WIDTH) - 1
         self.least = math.floor(count * inside - SAFETY * math.sqrt(count * inside * (1 - inside)))
 
-    def nearest(self, query: int, row: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.ids)
-        hits = np.zeros(n, np.int64)
-        seen = self.ids == query  # never a neighbour of itself
-        lower = [int(p.searchsorted(x)) for p, x in zip(self.places, places, strict=True)]
-        upper = lower.copy()
-        near, score = np.zeros(0, np.int64), np.zeros(0)
+    def nearest(
+        self, queries: np.ndarray, rows: np.ndarray, shadow: np.ndarray, k: int
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and distances found for each query, nearest first."""
         # Where all rows are equal, a millionth of the length of the query.
-        radius = max(self.typical * FIRST, 1e-6 * float(np.sqrt((row * row).sum())), 1e-300)
-        while True:
-            grown = []
-            for d, (p, x) in enumerate(zip(self.places, places, strict=True)):
-                a = int(p.searchsorted(x - HALF_WIDTH * radius))
-                b = int(p.searchsorted(x + HALF_WIDTH * radius, "right"))
-                grown += [self.order[d, a : lower[d]], self.order[d, upper[d] : b]]
-                lower[d], upper[d] = min(a, lower[d]), max(b, upper[d])
-            hits += np.bincount(np.concatenate(grown), minlength=n)
-            fresh = np.flatnonzero((hits >= self.least) & ~seen)
-            if len(fresh):
-                seen[fresh] = True
-                apart = self.rows[fresh] - row
-                near = np.concatenate([near, self.ids[fresh]])
-                score = np.concatenate([score, np.sqrt((apart * apart).sum(1))])
-                best = np.lexsort((near, score))[:k]
-                near, score = near[best], score[best]
-            if seen.all() or (len(score) == k and score[-1] <= radius):
-                return near, score
-            radius *= GROWTH
+        length = np.sqrt((rows * rows).sum(1))
+        radius = np.maximum(np.maximum(self.typical * FIRST, 1e-6 * length), 1e-300)
+        lower, upper = self._windows(shadow, radius)
+        states = [_State(self, *x) for x in zip(queries, rows, lower.T, upper.T, strict=True)]
+        live = [i for i, s in enumerate(states) if not s.verify(self, k, radius[i])]
+        while live:
+            radius[live] *= GROWTH
+            lower, upper = self._windows(shadow[live], radius[live])
+            for i, a, b in zip(live, lower.T, upper.T, strict=True):
+                states[i].grow(self, a, b)
+            live = [i for i in live if not states[i].verify(self, k, radius[i])]
+        return [(s.near, s.score) for s in states]
+
+    def _windows(self, shadow: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place, exclusive, of each window: a row for each direction."""
+        half = HALF_WIDTH * radius
+        lower = [p.searchsorted((x - half).astype(p.dtype)) for p, x in zip(self.places, shadow.T, strict=True)]
+        upper = [p.searchsorted((x + half).astype(p.dtype), "right") for p, x in zip(self.places, shadow.T, strict=True)]
+        return np.array(lower), np.array(upper)
+
+
+class _State:
+    """One query in one block: its windows, the collisions counted and the rows verified."""
+
+    def __init__(self, block: Block, query: int, row: np.ndarray, lower: np.ndarray, upper: np.ndarray):
+        count, n = block.order.shape
+        self.row, self.lower, self.upper = row, lower, upper
+        self.seen = block.ids == query  # never a neighbour of itself
+        self.near, self.score = np.zeros(0, np.int64), np.zeros(0)
+        ends = zip(block.order, lower.tolist(), upper.tolist(), strict=True)
+        if int((upper - lower).sum()) * 2 <= count * n:
+            self.hits = _count([o[a:b] for o, a, b in ends], n)
+        else:
+            # Most rows are inside: those outside are counted instead.
+            self.hits = count - _count([p for o, a, b in ends for p in (o[:a], o[b:])], n)
+
+    def grow(self, block: Block, lower: np.ndarray, upper: np.ndarray) -> None:
+        """Only what comes into the windows is counted."""
+        lower, upper = np.minimum(lower, self.lower), np.maximum(upper, self.upper)
+        ends = zip(
+            block.order, lower.tolist(), self.lower.tolist(), self.upper.tolist(), upper.tolist(), strict=True
+        )
+        self.hits += _count([p for o, a, b, c, d in ends for p in (o[a:b], o[c:d])], len(self.hits))
+        self.lower, self.upper = lower, upper
+
+    def verify(self, block: Block, k: int, radius: float) -> bool:
+        """Measure the rows that have collided often enough; whether the query is done."""
+        fresh = np.flatnonzero((self.hits >= block.least) & ~self.seen)
+        if len(fresh):
+            self.seen[fresh] = True
+            apart = block.rows[fresh] - self.row
+            near = np.concatenate([self.near, block.ids[fresh]])
+            score = np.concatenate([self.score, np.sqrt((apart * apart).sum(1))])
+            best = np.lexsort((near, score))[:k]
+            self.near, self.score = near[best], score[best]
+        return bool(self.seen.all() or (len(self.score) == k and self.score[-1] <= radius))
+
+
+def _count(parts: list[np.ndarray], n: int) -> np.ndarray:
+    return np.bincount(np.concatenate(parts), minlength=n)
