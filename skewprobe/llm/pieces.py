@@ -6,8 +6,9 @@ path from the end in proportion to its weight. The numbers drawn depend on a
 seed, the key of the row and the position alone, so reruns agree.
 
 Pieces hold white space at their start only, so the lattice falls apart before
-each run of spaces, and sampling the units apart is sampling the whole. A
-unit that occurs often in a batch is filtered once; all its occurrences draw together.
+each run of spaces, and also between letters and other characters if no piece of the model joins
+them. Sampling such units apart is sampling the whole. A unit that occurs often in a
+batch is filtered once; all its occurrences draw together.
 
 The weight of a piece is ``(1 + rank) ** -sharpness``, where the rank is its place in
 the order of merges, which is what a BPE model stores as its score.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import count
@@ -29,12 +31,23 @@ from pyspark.sql.functions import pandas_udf
 
 from skewprobe.llm.common import replaced
 
-UNIT = re.compile(r" *[^ \n]+|\n| +")
+# Units by spaces alone, and by letters and other characters as well.
+COARSE = r" *[^ \n]+|\n| +"
+LETTER = r"[^\W\d_]"
 SPACE_MARK = "▁"
 # Characters whose lattices are built at once; a longer text is taken whole.
-CHARS = 1 << 22
+CHARS = 1 << 21
+SIEVE = 18
+# Rows that are handed on at once.
+ROWS = 500
+# Positions that are filtered at once.
+CELLS = 1 << 15
+# Sums below this are scaled up; only their ratios over the longest piece matter.
+SMALL = 1e-150
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
-MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+# Fixed values of two well-known mixing functions of 32 and 64 bits.
+MIX32 = (np.uint32(0x7FEB352D), np.uint32(0x846CA68B))
+MIX64 = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 @dataclass(frozen=True)
@@ -42,11 +55,35 @@ class Pieces:
     """The model's pieces with spaces for their marks."""
 
     text: list[bytes]
-    single: dict[int, int]
     byte: np.ndarray
-    #: For each length: sorted hashes, ids and log weights.
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    #: For each length: place of the hash with certain first bits (-1: several), which of these
+    #: bits occur, sorted hashes, ids and weights.
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     byte_weight: float
+    unit: re.Pattern
+
+
+def unit_pattern(pieces: list[str]) -> re.Pattern:
+    """What cuts a text where no piece can reach over."""
+    letter = re.compile(LETTER)
+
+    def joined(own: Callable[[str], bool]) -> set[str]:
+        """Letters that stand next to another character in some piece."""
+        found = set()
+        for piece in pieces:
+            for a, b in zip(piece, piece[1:], strict=False):
+                if a != " " and own(a) != own(b):
+                    found.add(a if own(a) else b)
+        return found
+
+    # Letters that do so are put to the others; if more do then, spaces alone have to do.
+    odd = joined(lambda c: bool(letter.match(c)))
+    if joined(lambda c: bool(letter.match(c)) and c not in odd):
+        return re.compile(COARSE)
+    others = re.escape("".join(sorted(odd)))
+    own = rf"[^\W\d_{others}]"
+    rest = rf"(?:[^\w \n]|[\d_{others}])"
+    return re.compile(rf" *{own}+| *{rest}+|\n| +")
 
 
 @lru_cache(maxsize=4)
@@ -66,20 +103,27 @@ def load_pieces(path: str, sharpness: float) -> Pieces:
             piece = piece.replace(SPACE_MARK, " ")
             text[i] = piece.encode()
             rank = min(max(-model.get_score(i), 0.0), float(size))
-            weight = -sharpness * np.log1p(rank)
+            weight = (1 + rank) ** -sharpness
             by_length.setdefault(len(piece), []).append((piece, i, weight))
-    tables, single = {}, {}
+    tables = {}
     for length, found in by_length.items():
         codes = np.array([[ord(c) for c in p] for p, _, _ in found], np.uint64)
         keys = _hash(codes)
         order = keys.argsort()
+        there = np.bincount(_sieve(keys), minlength=1 << SIEVE)
+        place = np.zeros(1 << SIEVE, np.int32)
+        place[_sieve(keys[order])] = np.arange(len(keys))
+        place[there > 1] = -1
         tables[length] = (
-            keys[order], np.array([i for _, i, _ in found])[order],
+            place, there > 0, keys[order], np.array([i for _, i, _ in found])[order],
             np.array([w for _, _, w in found])[order],
         )
-        if length == 1:
-            single = {ord(p): i for p, i, _ in found}
-    return Pieces(text, single, byte, tables, -sharpness * np.log1p(float(size)))
+    unit = unit_pattern([t.decode() for i, t in enumerate(text) if t and not model.is_byte(i)])
+    return Pieces(text, byte, tables, float(size + 1) ** -sharpness, unit)
+
+
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    return ((keys * MULTIPLIER) >> np.uint64(64 - SIEVE)).astype(np.int64)
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:
@@ -107,71 +151,91 @@ class Lattice:
 def filter_forward(units: list[str], pieces: Pieces) -> Lattice:
     sizes = np.array([len(u) for u in units])
     base = np.cumsum(sizes) - sizes
-    found = []
+    first = np.zeros(int(sizes.sum()), np.int32)
+    found, done = [], 0
     for size in np.unique(sizes):
         members = np.flatnonzero(sizes == size)
-        text = "".join([units[m] for m in members])
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(members), size)
-        step = max(1, (1 << 18) // int(size))
+        step = max(1, CELLS // int(size))
         for at in range(0, len(members), step):
-            found.append(_filter(codes[at : at + step], base[members[at : at + step]], pieces))
-    place, upto, piece, length = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = place.argsort(kind="stable")
-    place = place[order]
-    upto = upto[order]
-    upto[np.append(place[1:] != place[:-1], True)] = 1.0
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1])).astype(np.int32)
-    return Lattice(base, first, upto, piece[order], length[order].astype(np.int8))
-
-
-def _filter(codes: np.ndarray, base: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, ...]:
-    n, size = codes.shape
+            some = members[at : at + step]
+            text = "".join([units[m] for m in some])
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(some), size)
+            ways, *edges = _filter(np.ascontiguousarray(codes.T), pieces)
+            # Ways come position by position, for all units of this size.
+            starts = np.cumsum(ways.ravel()) - ways.ravel() + done
+            first[base[some] + np.arange(size)[:, None]] = starts.reshape(ways.shape)
+            done += len(edges[0])
+            found.append(edges)
+    upto, piece, length = (np.concatenate(x) for x in zip(*found, strict=True))
+    return Lattice(base, first, upto, piece, length)
+
+
+def _filter(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, ...]:
+    """Of units of one size (a column each): ways into each position, and the ways themselves."""
+    size, n = codes.shape
     lengths = [k for k in sorted(pieces.tables) if k <= size]
-    # weight[k, :, j]: of the piece of the k-th length that ends after character j.
-    weight = np.full((len(lengths), n, size), -np.inf)
-    ids = np.zeros((len(lengths), n, size), np.int32)
-    rolled, wide = np.zeros((n, size), np.uint64), codes.astype(np.uint64)
+    # weight[k, j]: of the piece of the k-th length that ends after character j.
+    weight = np.zeros((len(lengths), size, n))
+    ids = np.zeros((len(lengths), size, n), np.int32)
+    rolled, wide = np.zeros((size, n), np.uint64), codes.astype(np.uint64)
     done = 0
     for k, length in enumerate(lengths):
         while done < length:
-            ahead = wide[:, done:]
-            rolled = rolled[:, : ahead.shape[1]] * MULTIPLIER + ahead + np.uint64(1)
+            rolled = rolled[: size - done] * MULTIPLIER + wide[done:] + np.uint64(1)
             done += 1
-        keys, own, weights = pieces.tables[length]
-        slot = np.minimum(keys.searchsorted(rolled), len(keys) - 1)
-        hit = keys[slot] == rolled
-        weight[k, :, length - 1 :] = np.where(hit, weights[slot], -np.inf)
-        ids[k, :, length - 1 :] = own[slot]
+        place, there, keys, own, weights = pieces.tables[length]
+        # Few strings are pieces: most are ruled out at once.
+        flat = rolled.ravel()
+        bits = _sieve(flat)
+        at = np.flatnonzero(there[bits])
+        slot = place[bits[at]]
+        several = np.flatnonzero(slot < 0)
+        slot[several] = np.minimum(keys.searchsorted(flat[at[several]]), len(keys) - 1)
+        hit = keys[slot] == flat[at]
+        at, slot = at[hit] + (length - 1) * n, slot[hit]
+        weight[k].ravel()[at] = weights[slot]
+        ids[k].ravel()[at] = own[slot]
     # A character without a piece is written as its bytes.
-    lone = np.isneginf(weight[0])
-    weight[0] = np.where(lone, pieces.byte_weight, weight[0])
-    code = codes.astype(np.int64)
-    ids[0] = np.where(lone, np.where(code < 128, pieces.byte[np.minimum(code, 127)], -code), ids[0])
-
-    forward = np.full((n, size + 1), -np.inf)
-    forward[:, 0] = 0
-    chance = np.zeros((n, size, len(lengths)))
+    lone = weight[0] == 0
+    if lone.any():
+        code = codes[lone].astype(np.int64)
+        weight[0][lone] = pieces.byte_weight
+        ids[0][lone] = np.where(code < 128, pieces.byte[np.minimum(code, 127)], -code)
+
+    # Sums of the weights of all paths; columns that get small are scaled up together.
+    forward = np.zeros((size + 1, n))
+    forward[0] = 1
+    reach = max(lengths)
     for j in range(size):
-        ways = [(k, x) for k, x in enumerate(lengths) if x <= j + 1]
-        into = np.stack([forward[:, j + 1 - x] + weight[k, :, j] for k, x in ways], 1)
-        most = into.max(1, keepdims=True)
-        share = np.exp(into - most)
-        total = share.sum(1, keepdims=True)
-        forward[:, j + 1] = most[:, 0] + np.log(total[:, 0])
-        chance[:, j, : len(ways)] = share / total
-    row, at, k = np.nonzero(chance > 0)
-    upto = np.cumsum(chance, 2)
-    return (
-        base[row] + at, upto[row, at, k], ids[k, row, at], np.array(lengths)[k],
-    )
+        for k, length in enumerate(lengths):
+            if length <= j + 1:
+                weight[k, j] *= forward[j + 1 - length]
+                forward[j + 1] += weight[k, j]
+        low = np.flatnonzero(forward[j + 1] < SMALL)
+        if len(low):
+            from_ = max(0, j + 2 - reach)
+            scale = 1 / forward[j + 1, low]
+            weight[:, j, low] *= scale
+            forward[from_ : j + 2, low] *= scale
+        weight[:, j] /= forward[j + 1]
+    chance = np.ascontiguousarray(weight.transpose(1, 2, 0))
+    there = chance > 0
+    every = np.broadcast_to(np.array(lengths, np.int8), chance.shape)
+    ways = there.sum(2)
+    upto = np.cumsum(chance, 2)[there]
+    # The last way has what is left of the chance.
+    upto[np.cumsum(ways.ravel()) - 1] = 1.0
+    return ways, upto, ids.transpose(1, 2, 0)[there], every[there]
 
 
 def random_unit(key: np.ndarray) -> np.ndarray:
-    """A number in [0, 1) for each 64-bit key."""
-    z = key * MULTIPLIER
-    z = (z ^ (z >> np.uint64(30))) * MIX[0]
-    z = (z ^ (z >> np.uint64(27))) * MIX[1]
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    """A number in (0, 1) for each 32-bit key."""
+    z = key ^ (key >> np.uint32(16))
+    z *= MIX32[0]
+    z ^= z >> np.uint32(15)
+    z *= MIX32[1]
+    z ^= z >> np.uint32(16)
+    return (z + 0.5) * 2.0**-32
 
 
 def sample_ids(texts: list[str], keys: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
@@ -190,49 +254,49 @@ def _sample(texts: list[str], keys: np.ndarray, pieces: Pieces) -> list[np.ndarr
     parts = []
     for text in texts:
         # The mark of the first word; an empty text has no pieces.
-        found = UNIT.findall(" " + text) if text else []
+        found = pieces.unit.findall(" " + text) if text else []
         parts.append(np.array(list(map(number.__getitem__, found)), np.int64))
     if not number:
         return [np.zeros(0, np.int32) for _ in texts]
     units = list(number)
     lattice = filter_forward(units, pieces)
-    size_of = np.array([len(u) for u in units])
     many = np.array([len(p) for p in parts])
     unit = np.concatenate(parts)
-    doc = np.repeat(np.arange(len(texts)), many)
-    sizes = size_of[unit]
-    # Where each occurrence starts in its own text.
-    start = np.cumsum(sizes) - sizes
+    left = np.array([len(u) for u in units], np.int32)[unit]
+    base = lattice.base[unit].astype(np.int32)
+    # Where each occurrence starts in its own text, mixed with the seed of the row.
+    start = np.cumsum(left) - left
     first = np.cumsum(many) - many
     start -= np.repeat(start[np.minimum(first, len(start) - 1)], many)
-    seed = random_seed(keys.astype(np.uint64))[doc]
+    key = np.repeat(random_seed(keys.astype(np.uint64)), many) + start.astype(np.uint32)
 
-    live, left = np.arange(len(unit)), sizes.copy()
-    taken, steps = [], np.zeros(len(unit), np.int64)
+    live = np.arange(len(unit))
+    taken, steps = [], np.zeros(len(unit), np.int32)
     while len(live):
-        place = lattice.base[unit[live]] + left[live] - 1
-        drawn = random_unit(seed[live] + (start[live] + left[live]).astype(np.uint64))
-        way = lattice.first[place]
+        drawn = random_unit(key + left.astype(np.uint32))
+        way = lattice.first[base + left - 1]
         over = np.flatnonzero(lattice.upto[way] <= drawn)
         while len(over):
             way[over] += 1
             over = over[lattice.upto[way[over]] <= drawn[over]]
         taken.append((live, lattice.piece[way]))
         steps[live] += 1
-        left[live] -= lattice.length[way]
-        live = live[left[live] > 0]
+        left -= lattice.length[way]
+        more = left > 0
+        live, left, base, key = live[more], left[more], base[more], key[more]
     # Drawn from the end: the last drawn piece of an occurrence is its first.
     to = np.cumsum(steps)
-    ids = np.zeros(int(to[-1]), np.int64)
+    ids = np.zeros(int(to[-1]), np.int32)
     for step, (who, piece) in enumerate(taken):
         ids[to[who] - 1 - step] = piece
-    total = np.bincount(doc, steps, len(texts)).astype(np.int64)
+    total = np.diff(np.append(0, to)[np.append(0, np.cumsum(many))])
     return [_bytes_out(x, pieces) for x in np.split(ids, np.cumsum(total)[:-1])]
 
 
 def random_seed(key: np.ndarray) -> np.ndarray:
-    z = (key ^ (key >> np.uint64(33))) * MIX[1]
-    return z ^ (z >> np.uint64(29))
+    z = (key ^ (key >> np.uint64(30))) * MIX64[0]
+    z = (z ^ (z >> np.uint64(27))) * MIX64[1]
+    return (z >> np.uint64(32)).astype(np.uint32)
 
 
 def _bytes_out(ids: np.ndarray, pieces: Pieces) -> np.ndarray:
@@ -262,11 +326,14 @@ def encode_texts(
     """
 
     @pandas_udf("array<int>")
-    def encode(texts: pd.Series, keys: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         loaded = load_pieces(model, sharpness)
-        full = [t or "" for t in texts]
-        found = sample_ids(full, keys.to_numpy(np.int64).view(np.uint64), loaded)
-        return pd.Series([None if t is None else x for t, x in zip(texts, found, strict=True)], dtype=object)
+        for texts, keys in batches:
+            # Ids are handed on slice by slice, so a batch of texts is never held with all its ids.
+            for a in range(0, max(len(texts), 1), ROWS):
+                some, seeds = texts.iloc[a : a + ROWS], keys.iloc[a : a + ROWS]
+                found = sample_ids([t or "" for t in some], seeds.to_numpy(np.int64).view(np.uint64), loaded)
+                yield pd.Series([None if t is None else x for t, x in zip(some, found, strict=True)], dtype=object)
 
     row = F.xxhash64(F.lit(seed), *[F.col(f"`{k}`").isNull() for k in key], *[F.col(f"`{k}`") for k in key])
     return replaced(docs, {ids: encode(F.col(f"`{text}`"), row)})
@@ -276,12 +343,14 @@ def decode_ids(ids: Column, model: str) -> Column:
     """The text of each id array, null for null; the inverse of :func:`encode_texts`."""
 
     @pandas_udf("string")
-    def decode(cells: pd.Series) -> pd.Series:
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         text = load_pieces(model, 1.0).text
-        out = []
-        for cell in cells:
-            joined = None if cell is None else b"".join([text[i] for i in cell.tolist()])
-            out.append(None if joined is None else joined[1:].decode())
-        return pd.Series(out, dtype=object)
+        for cells in batches:
+            for a in range(0, max(len(cells), 1), ROWS):
+                out = []
+                for cell in cells.iloc[a : a + ROWS]:
+                    joined = None if cell is None else b"".join(map(text.__getitem__, cell.tolist()))
+                    out.append(None if joined is None else joined[1:].decode())
+                yield pd.Series(out, dtype=object)
 
     return decode(ids)

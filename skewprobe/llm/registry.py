@@ -20,7 +20,7 @@ from skewprobe.llm.simhash import simhash_groups
 from skewprobe.llm.token_files import read_token_files, token_file_folder, write_token_files
 from skewprobe.llm.toxicity import score_docs, train
 from skewprobe.llm.urls import RULES, judge_urls
-from skewprobe.session import ship
+from skewprobe.session import ship, stage
 
 URL_RULES = (
     ("net", "/", "block"),
@@ -107,14 +107,16 @@ def op8_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode_texts(docs, model)
-    decoded = encoded.withColumn("back", decode_ids(F.col("ids"), model))
-    lossless = F.col("back").eqNullSafe(F.col("text"))
+    # Written in between, as a training set would be: ids and a digest of what they stand for.
+    encoded = encode_texts(docs, model).select("doc_id", "ids", F.sha2("text", 256).alias("digest"))
+    encoded = stage(encoded, "sampled-pieces")
+    back = F.sha2(decode_ids(F.col("ids"), model), 256)
+    decoded = encoded.withColumn("lossless", back.eqNullSafe(F.col("digest")))
     return decoded.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
-        F.crc32(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_crc32"),
-        lossless.alias("lossless"),
+        F.xxhash64("ids").alias("ids_hash"),
+        "lossless",
     )
 
 
