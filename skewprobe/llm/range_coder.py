@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SLOT_BITS = 12
+SLOT_BITS = 11
 #: Confidence of a context, from 0 to this.
 SURE = 7
 STATES = 2 * (SURE + 1) ** 2

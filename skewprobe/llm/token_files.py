@@ -21,7 +21,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -80,7 +80,7 @@ def _tokenize(texts: list[str], tokenizer, end: int | None) -> list[np.ndarray]:
         parts.append(np.array([number[head], *map(number.__getitem__, [" " + w for w in rest])], np.int64))
     encoded = [e.ids for e in tokenizer.encode_batch_fast(list(number), add_special_tokens=False)]
     sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-    flat = np.fromiter((i for ids in encoded for i in ids), np.int64, int(sizes.sum()))
+    flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum()))
     first = np.cumsum(sizes) - sizes
     out = []
     for part in parts:
@@ -95,7 +95,7 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], block: int = BLOCK_ID
     """One file of the ids of some documents."""
     docs = np.array([(d or 0, d is not None, len(x)) for d, x in zip(doc_ids, ids, strict=True)], DOCS)
     stream = np.concatenate([np.zeros(0, np.int64), *ids])
-    names, rank, seen = np.unique(stream, return_inverse=True, return_counts=True)
+    names, rank, seen = _ranked(stream)
     bits = max(16, int(len(names)).bit_length() + 3)
     ranks = np.zeros(len(names), RANKS)
     ranks["id"] = names
@@ -117,6 +117,17 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], block: int = BLOCK_ID
     return b"".join([head, *tables, *[w.astype("<u4").tobytes() for w in words]])
 
 
+def _ranked(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids, the place of each id among them, and how often each occurs."""
+    if not len(stream) or stream.max() >= 1 << 22:
+        return np.unique(stream, return_inverse=True, return_counts=True)
+    seen = np.bincount(stream)
+    names = np.flatnonzero(seen)
+    place = np.zeros(len(seen), np.int32)
+    place[names] = np.arange(len(names))
+    return names, place[stream], seen[names]
+
+
 def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The document table and all ids of a file; an error if a block was damaged."""
     magic, version, a, b, c, bits = HEAD.unpack_from(payload)
