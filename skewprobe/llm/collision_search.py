@@ -125,7 +125,9 @@ def _searcher(asked: pd.DataFrame, k: int, count: int, seed: int):
     rows = rows_of(asked["q"])
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shadow = rows @ directions(rows.shape[1], count, seed) if len(ids) else rows
+        if not len(ids):
+            return
+        shadow = rows @ directions(rows.shape[1], count, seed)
         for frame in frames:
             for block in frame.itertuples(index=False):
                 own = Block(block, count)

@@ -36,7 +36,7 @@ COARSE = r" *[^ \n]+|\n| +"
 LETTER = r"[^\W\d_]"
 SPACE_MARK = "▁"
 # Characters whose lattices are built at once; a longer text is taken whole.
-CHARS = 1 << 21
+CHARS = 1 << 20
 SIEVE = 18
 # Rows that are handed on at once.
 ROWS = 500

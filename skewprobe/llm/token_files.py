@@ -15,6 +15,7 @@ independently (see :mod:`range_coder`), and are checked on reading.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -48,6 +49,8 @@ ODD_SPACE = re.compile(r" \s| $")
 @lru_cache(maxsize=2)
 def load_tokenizer(path: str):
     """Read the tokenizer, which every worker finds under the same path."""
+    # One thread for each task: Spark runs a task on every core already.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -111,7 +114,9 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], block: int = BLOCK_ID
     blocks = np.zeros(len(sizes), BLOCKS)
     blocks["n"], blocks["words"] = sizes, [len(w) for w in words]
     raw = stream.astype("<u4")
-    blocks["crc"] = [zlib.crc32(raw[a : a + block].tobytes()) for a in range(0, len(raw), block)]
+    # Of the ids and of the words, so that damage without effect is seen too.
+    parts = [raw[a : a + block].tobytes() for a in range(0, len(raw), block)]
+    blocks["crc"] = [zlib.crc32(w.astype("<u4").tobytes(), zlib.crc32(x)) for w, x in zip(words, parts, strict=True)]
     tables = [zlib.compress(t.tobytes(), 6) for t in (docs, ranks, blocks)]
     head = HEAD.pack(MAGIC, VERSION, *map(len, tables), bits)
     return b"".join([head, *tables, *[w.astype("<u4").tobytes() for w in words]])
@@ -147,9 +152,10 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(found) and (found.max() >= len(ranks) or found.min() < 0):
         raise ValueError("a block holds an unknown rank")
     stream = ranks["id"][found]
-    ends = np.cumsum(sizes)
-    for k, (end, n) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
-        if zlib.crc32(stream[end - n : end].tobytes()) != blocks["crc"][k]:
+    ends, cuts = np.cumsum(sizes), np.cumsum(many)
+    for k, (end, n, to, size) in enumerate(zip(*(x.tolist() for x in (ends, sizes, cuts, many)), strict=True)):
+        crc = zlib.crc32(flat[to - size : to].tobytes(), zlib.crc32(stream[end - n : end].tobytes()))
+        if crc != blocks["crc"][k]:
             raise ValueError(f"block {k} of a token file is damaged")
     return docs, stream
 

@@ -21,6 +21,7 @@ texts of each class; class shares are counted on all labels.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -47,7 +48,8 @@ REGULAR = 1e-3
 TOGETHER = 0.5
 # Longer units are cut into windows.
 LONG, WINDOW, STRIDE = 24, 16, 8
-CHARS = 1 << 22
+CHARS = 1 << 20
+UNITS_AT_ONCE = 8192
 SYMBOLS = 64
 NOTHING = -2.0  # the margin of a unit that is not there
 APART = re.compile(r"(?<!\S)\w(?:[\W_]+\w){2,}(?!\S)")
@@ -147,7 +149,10 @@ class Model:
     prior: float
 
     def margins(self, units: list[str]) -> np.ndarray:
-        return self.kernel.values(units).astype(np.float64) @ self.weight + self.bias
+        # Kernel values of a few thousand units at a time.
+        blocks = [units[a : a + UNITS_AT_ONCE] for a in range(0, len(units), UNITS_AT_ONCE)]
+        found = [self.kernel.values(b).astype(np.float64) @ self.weight for b in blocks]
+        return np.concatenate([np.zeros(0), *found]) + self.bias
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """The margins of the two worst units of each text; a unit that occurs twice can be both."""
@@ -212,6 +217,8 @@ def train(
         for frame in frames:
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
                 found = [w for u in units_of(text) for w in windows(u)]
+                if not found:
+                    continue
                 first = dict(zip(reversed(found), reversed(["", *found[:-1]]), strict=True))
                 yield pd.DataFrame(
                     {"unit": list(first), "before": list(first.values()), "toxic": np.full(len(first), toxic, np.int32)}
@@ -223,11 +230,18 @@ def train(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
     )
     counted = stage(counted, "toxic-units")
-    rate_bad = (F.col("bad") + 0.5) / (sizes[1] + 1)
-    rate_good = (F.col("good") + 0.5) / (sizes[0] + 1)
-    # How much more frequent in toxic texts, weighed by how often it was seen.
-    telling = F.log(rate_bad / rate_good) * F.sqrt("bad")
-    best = counted.withColumn("telling", telling).where("bad >= 2").where(rate_bad > 4 * rate_good)
+    sums = counted.agg(F.count("*"), F.sum("bad"), F.sum("good")).first()
+    if not sums[1] or not sums[2]:
+        return Model(None, np.zeros(0), 0.0, np.zeros(3), prior)
+    share, n = sums[1] / (sums[1] + sums[2]), F.col("bad") + F.col("good")
+    # The Chernoff bound of seeing so many toxic contexts by chance, as -log: with that of all
+    # units together a unit has to be above chance, however few or many texts there are.
+    telling = F.col("bad") * F.log(F.col("bad") / n / share) + F.when(
+        F.col("good") > 0, F.col("good") * F.log(F.col("good") / n / (1 - share))
+    ).otherwise(0.0)
+    more = F.col("bad") > 2 * share * n
+    best = counted.where("bad > 0").withColumn("telling", telling)
+    best = best.where((F.col("telling") > math.log(sums[0])) & more)
     best = best.orderBy(F.desc("telling"), "unit").limit(POSITIVES).toPandas()
     other = counted.where("good > 0").orderBy(F.xxhash64(F.lit(seed), "unit"), "unit").limit(NEGATIVES).toPandas()
     if not len(best) or not len(other):
