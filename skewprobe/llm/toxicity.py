@@ -48,8 +48,10 @@ REGULAR = 1e-3
 TOGETHER = 0.5
 # Longer units are cut into windows.
 LONG, WINDOW, STRIDE = 24, 16, 8
-CHARS = 1 << 20
-UNITS_AT_ONCE = 8192
+CHARS = 1 << 22
+UNITS_AT_ONCE = 1 << 14
+# Texts that are scored at once.
+ROWS = 1000
 SYMBOLS = 64
 NOTHING = -2.0  # the margin of a unit that is not there
 APART = re.compile(r"(?<!\S)\w(?:[\W_]+\w){2,}(?!\S)")
@@ -239,7 +241,8 @@ def train(
     telling = F.col("bad") * F.log(F.col("bad") / n / share) + F.when(
         F.col("good") > 0, F.col("good") * F.log(F.col("good") / n / (1 - share))
     ).otherwise(0.0)
-    more = F.col("bad") > 2 * share * n
+    # And at least halfway from the share that chance gives to all of its contexts.
+    more = F.col("bad") > (1 + share) / 2 * n
     best = counted.where("bad > 0").withColumn("telling", telling)
     best = best.where((F.col("telling") > math.log(sums[0])) & more)
     best = best.orderBy(F.desc("telling"), "unit").limit(POSITIVES).toPandas()
@@ -346,8 +349,10 @@ def toxicity(text: Column, model: Model) -> Column:
     """The score of each text, 0 to 1. Null and empty texts have no units, so the lowest margins."""
 
     @pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([t or "" for t in texts]))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            for a in range(0, max(len(texts), 1), ROWS):
+                yield pd.Series(model.scores([t or "" for t in texts.iloc[a : a + ROWS]]))
 
     return score(text)
 

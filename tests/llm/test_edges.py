@@ -302,5 +302,9 @@ def test_toxicity(spark, docs, empty):
     out = toxicity.score_docs(docs.withColumn("TOXICITY", F.lit("a")), model)
     assert out.where("toxicity between 0 and 1").count() == len(ROWS)
     assert toxicity.score_docs(empty, model).count() == 0
+    # Mostly toxic labels must not hide what is telling.
+    more = labels.where("toxic = 1 or doc_id in (1, 2, 4, 7, 8, 10, 11, 13, 14, 16, 17, 19, 20, 22, 23)")
+    score = toxicity.train(table, more, landmarks=40).scores(["alderbirch nitwit cedar grumbler"])
+    assert score[0] > 0.5
     prior = toxicity.train(table, labels.where("toxic = 0"))
     assert prior.scores(["x"]).tolist() == [0.0]
