@@ -312,6 +312,40 @@ def _read_flows(t: Fixture) -> DataFrame:
     return table.select(F.col("event_id").cast("long"), F.col("Label").alias("label"), "value")
 
 
+def _read_quoted(t: Fixture) -> DataFrame:
+    """Events as CSV whose labels hold line breaks and quotes, read back."""
+    path = f"{shared_dir(t.spark)}/quoted-{uuid.uuid4().hex}"
+    label = F.concat("event_type", F.lit(', "a"\nb '), F.col("event_id").cast("string"))
+    written = t.events.select("event_id", label.alias("label"), "value")
+    written.write.csv(f"{path}/day[1]", header=True, escape='"', ignoreTrailingWhiteSpace=False)
+    table = read_flows(t.spark, path, numeric=("value",))
+    return table.select(F.col("event_id").cast("long"), "label", "value")
+
+
+def _dirty_search(t: Fixture) -> DataFrame:
+    """Every 50th stored vector holds a component that is no number."""
+    bad = F.transform(
+        "embedding", lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x).cast("float")
+    )
+    rows = F.when(F.col("vec_id") % 50 == 0, bad).otherwise(F.col("embedding"))
+    return _hits(search.full_search(t.queries(), t.base.withColumn("embedding", rows)), False)
+
+
+def _split_null_label(t: Fixture) -> DataFrame:
+    label = F.when(F.col("event_id") % 2 == 0, F.col("event_type"))
+    table = t.events.select("event_id", label.alias("label"))
+    return sampling.split_roles(table, "event_id", "label").select("event_id", "label", "role")
+
+
+def _latency_nonfinite(t: Fixture) -> DataFrame:
+    """Order statistics by histograms at every size; infinite and missing durations, no type for some."""
+    kind = F.when(F.col("event_id") % 3 != 0, F.col("event_type"))
+    value = F.when(F.col("value") < 5, float("-inf")).when(F.col("value") > 60, float("inf"))
+    table = t.events.select(kind.alias("event_type"), value.otherwise(F.col("value")).alias("value"))
+    found = metrics.latency_summary(table, "value", "event_type", (10, 50, 95), direct=0)
+    return found.select("event_type", "queries", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p95")])
+
+
 def _label_export(t: Fixture) -> DataFrame:
     labels = t.spark.read.csv(f"{t.sets_path}/query_labels", header=True)
     return metrics.load_by(labels, "label")
@@ -394,11 +428,14 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     # scoring, ranking and exact search
     "dot_scores": _dot_scores,
     "full_search": lambda t: _hits(search.full_search(t.queries(), t.base), False),
+    "full_search_dirty": _dirty_search,
     "random_shards": lambda t: t.shards.select("vec_id", "part"),
     "shard_topk": lambda t: _hits(search.local_topk(t.queries(), t.shards)),
     "topk_merge": lambda t: _hits(topk(search.local_topk(t.queries(), t.shards).drop("rk"))),
     "random_shard_search": lambda t: _hits(search.sharded_search(t.queries(), t.shards).hits),
-    "shard_scan_load": lambda t: search.sharded_search(t.queries(), t.shards).loads,
+    "shard_scan_load": lambda t: search.sharded_search(
+        t.queries(), t.shards, shards=partition.NUM_PARTS
+    ).loads,
     "imbalance_ratio": lambda t: metrics.imbalance(
         search.ivf_search(t.queries(), t.parts, t.centroids).loads
     ).select(F.round("imbalance", 6).alias("imbalance")),
@@ -476,6 +513,7 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
         [t.events.select("event_id", "value"), t.events.select("event_id", "event_type")]
     ),
     "stratified_split": _split_roles,
+    "split_null_label": _split_null_label,
     "uniform_sample": lambda t: sampling.uniform_sample(t.events, "event_id").select("event_id"),
     "hot_cold": lambda t: t.events.select(
         "event_id", is_hot("event_type", oracle.HOT_EVENTS).alias("hot")
@@ -488,11 +526,13 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     "flow_search": _flow_search,
     # sources and sinks
     "read_flows": _read_flows,
+    "read_flows_quoted": _read_quoted,
     "label_export": _label_export,
     "load_workload": _load_workload,
     "vectorise_chain": _vectorise_chain,
     # metrics
     "latency_summary": _latency,
+    "latency_nonfinite": _latency_nonfinite,
     "throughput": lambda t: metrics.throughput(t.events, "value").select(
         F.round("qps", 9).alias("qps")
     ),

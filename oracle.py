@@ -517,6 +517,9 @@ def oracle_sql() -> dict[str, str]:
               JOIN cent ON cent.part = base.label::INTEGER"""
         ),
         "full_search": _sql(f"{hits} top_full"),
+        "full_search_dirty": _sql(
+            f"{hits} (" + _top("(SELECT * FROM pairs WHERE vec_id % 50 <> 0)", "q_id") + ")"
+        ),
         "random_shards": _sql("SELECT vec_id, part FROM shards"),
         "shard_topk": _sql(
             part_hits + " (" + _top("(SELECT p.*, part FROM pairs p JOIN shards USING (vec_id))", "q_id, part", cols="part,") + ")"
@@ -598,6 +601,17 @@ def oracle_sql() -> dict[str, str]:
             "SELECT event_id, label, CASE WHEN rn <= quota THEN 'query' ELSE 'base' END AS role FROM ev_ranked",
             _EVENT,
         ),
+        "split_null_label": """WITH ev AS (SELECT event_id,
+              CASE WHEN event_id % 2 = 0 THEN event_type END AS label FROM events),
+            sizes AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total,
+              ceil(0.1::DOUBLE * sum(count(*)) OVER ())::HUGEINT AS wanted FROM ev GROUP BY label),
+            shares AS (SELECT label, wanted, (n * wanted) // total AS whole, (n * wanted) % total AS rest FROM sizes),
+            quotas AS (SELECT label, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC,
+              label NULLS FIRST) <= wanted - sum(whole) OVER () THEN 1 ELSE 0 END AS quota FROM shares),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY label
+              ORDER BY md5('42:' || event_id), event_id) AS rn FROM ev)
+            SELECT r.event_id, r.label, CASE WHEN rn <= quota THEN 'query' ELSE 'base' END AS role
+            FROM ranked r JOIN quotas q ON r.label IS NOT DISTINCT FROM q.label""",
         "uniform_sample": "SELECT event_id FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 5000",
         "hot_cold": _sql("SELECT event_id, hot FROM ev_marked", _EVENT),
         "skewed_sample": _sql(
@@ -614,11 +628,26 @@ def oracle_sql() -> dict[str, str]:
         ),
         "flow_search": _sql(f"SELECT q_id, rk, score FROM li_close WHERE rk <= {K}", _LINE),
         "read_flows": _sql("SELECT * FROM finite_events WHERE value IS NOT NULL", _EVENT),
+        "read_flows_quoted": """SELECT event_id, event_type || ', "a"' || chr(10) || 'b ' || event_id AS label,
+            value FROM events""",
         "label_export": _sql("SELECT label, count(*) AS load FROM held GROUP BY label"),
         "load_workload": _sql(f"{hits} top_full", workload="skewed"),
         "latency_summary": """SELECT event_type, count(value) AS queries, round(avg(value), 6) AS mean,
             round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99
             FROM events GROUP BY event_type""",
+        "latency_nonfinite": """WITH odd AS (SELECT CASE WHEN event_id % 3 <> 0 THEN event_type END
+              AS event_type, CASE WHEN value < 5 THEN '-infinity'::DOUBLE WHEN value > 60
+              THEN 'infinity'::DOUBLE ELSE value END AS v FROM events WHERE value IS NOT NULL),
+            placed AS (SELECT event_type, v, row_number() OVER (PARTITION BY event_type ORDER BY v) AS rn,
+              count(*) OVER (PARTITION BY event_type) AS n FROM odd),
+            ends AS (SELECT event_type, n, p, p / 100 * (n - 1) - floor(p / 100 * (n - 1)) AS share,
+              max(v) FILTER (rn = floor(p / 100 * (n - 1)) + 1) AS a,
+              max(v) FILTER (rn = least(floor(p / 100 * (n - 1)) + 2, n)) AS b
+              FROM placed, (VALUES (10::DOUBLE), (50::DOUBLE), (95::DOUBLE)) q(p) GROUP BY event_type, n, p),
+            points AS (SELECT *, CASE WHEN a = b OR share = 0 THEN a ELSE a + (b - a) * share END AS x FROM ends)
+            SELECT event_type, n AS queries, round(max(x) FILTER (p = 10), 6) AS p10,
+              round(max(x) FILTER (p = 50), 6) AS p50, round(max(x) FILTER (p = 95), 6) AS p95
+            FROM points GROUP BY event_type, n""",
         "throughput": "SELECT round(count(value) / sum(value), 9) AS qps FROM events",
         "preprocess_report": _sql(
             """SELECT * FROM (

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skewprobe.operators.order import order_statistics
+from skewprobe.operators.order import DIRECT_ROWS, null_safe_join, order_statistics
 from skewprobe.session import stage
 
 # Fixed value: the percentiles of a latency summary.
@@ -49,6 +49,7 @@ def latency_summary(
     col: str,
     by: str | None = None,
     percentiles: Sequence[float] = PERCENTILES,
+    direct: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Count, mean, and percentiles with linear interpolation, optionally per group.
 
@@ -73,14 +74,18 @@ def latency_summary(
     )
     targets = places.select("grp", F.explode(F.array("low", "high")).alias("rank"))
     largest = sizes.agg(F.max("queries")).first()[0] or 0
-    found = order_statistics(df, F.col(col).cast("double"), targets, group, largest)
+    found = order_statistics(df, F.col(col).cast("double"), targets, group, largest, direct=direct)
     found = stage(found, "percentiles")
     below = found.select("grp", F.col("rank").alias("low"), F.col("value").alias("v0"))
     above = found.select("grp", F.col("rank").alias("high"), F.col("value").alias("v1"))
-    value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")
+    # Equal neighbours need no step: infinite ones have no difference.
+    step = (F.col("v1") - F.col("v0")) * F.col("share")
+    value = F.when((F.col("v0") == F.col("v1")) | (F.col("share") == 0), F.col("v0")).otherwise(
+        F.col("v0") + step
+    )
+    placed = null_safe_join(places, below, ["grp", "low"])
     points = (
-        places.join(below, ["grp", "low"])
-        .join(above, ["grp", "high"])
+        null_safe_join(placed, above, ["grp", "high"])
         .groupBy("grp")
         .agg(
             *[
@@ -89,7 +94,7 @@ def latency_summary(
             ]
         )
     )
-    summary = sizes.join(points, "grp", "left")
+    summary = null_safe_join(sizes, points, ["grp"], "left")
     return summary.drop("grp") if by is None else summary.withColumnRenamed("grp", by)
 
 

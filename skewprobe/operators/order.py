@@ -8,6 +8,7 @@ counts are shuffled, and the passes read just the group and the value.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,11 +16,21 @@ from pyspark.sql import functions as F
 
 from skewprobe.session import stage
 
-BINS = 1 << 16
+BINS = 1 << 12
 # A group of at most this many (group, value) rows is ranked by one sort.
 DIRECT_ROWS = 1 << 20
 
 
+def null_safe_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Equi-join on columns of the same names in which null is a value like any other."""
+    other = {key: f"__right_{key}" for key in keys}
+    on = [F.col(key).eqNullSafe(F.col(name)) for key, name in other.items()]
+    joined = left.join(right.withColumnsRenamed(other), reduce(Column.__and__, on), how)
+    return joined.drop(*other.values())
+
+
 def order_statistics(
     df: DataFrame,
     value: Column,
@@ -32,10 +43,11 @@ def order_statistics(
     """The value at each wanted rank, counting from 1 in ascending order.
 
     ``targets`` has ``grp`` and ``rank``; the result adds ``value``. ``grp`` is
-    compared with ``group``, or is 0 when no group is given. A rank beyond the
-    rows of its group, or below 1, has no result row. ``largest`` is the row
-    count of the largest group, counted here when not known: if it is small, the
-    groups are simply ranked.
+    compared with ``group``, null with null, or is 0 when no group is given. A
+    rank beyond the rows of its group, or below 1, has no result row. Null values
+    have no rank; infinite ones come first and last, NaN after all. ``largest`` is
+    the row count of the largest group, counted here when not known: if it is
+    small, the groups are simply ranked.
     """
     group = F.lit(0) if group is None else group
     rows = df.select(group.alias("grp"), value.alias("v")).where("v is not null")
@@ -45,35 +57,56 @@ def order_statistics(
     if largest <= direct:
         place = F.row_number().over(Window.partitionBy("grp").orderBy("v")).cast("long")
         ranked = rows.withColumn("rank", place)
-        return ranked.join(wanted, ["grp", "rank"]).select("grp", "rank", F.col("v").alias("value"))
+        joined = null_safe_join(ranked, wanted, ["grp", "rank"])
+        return joined.select("grp", "rank", F.col("v").alias("value"))
 
-    span = rows.groupBy("grp").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    start = wanted.join(span, "grp").withColumn("below", F.lit(0).cast("long"))
-    pending = stage(start, "ranks")
+    # Values that no bin width fits are kinds of their own, each with one value.
+    v = F.col("v").cast("double")
+    infinite = v.isin(float("inf"), float("-inf"))
+    kind = F.when(F.isnan(v), 2).when(infinite, F.signum(v).cast("int")).otherwise(0)
+    kinds = rows.groupBy("grp", kind.alias("kind")).agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    )
+    # At most four rows per window.
+    upto = F.sum("n").over(Window.partitionBy("grp").orderBy("kind"))
+    spans = kinds.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("n"))
+    start = null_safe_join(wanted, spans, ["grp"]).where("rank > below and rank <= upto")
+    pending = stage(start.select("grp", "rank", "lo", "hi", "below"), "ranks")
+    # NaN equals NaN here, as in any comparison of the engine.
     found = [pending.where("lo = hi")]
-    while not pending.where("lo < hi").isEmpty():
-        pending = stage(_narrow(rows, pending.where("lo < hi"), bins), "ranks")
+    pending = pending.where("lo < hi")
+    finite = rows.where(kind == 0)
+    while not pending.isEmpty():
+        pending = stage(_narrow(finite, pending, bins), "ranks")
         found.append(pending.where("lo = hi"))
+        pending = pending.where("lo < hi")
     done = reduce(DataFrame.unionByName, found)
     return done.select("grp", "rank", F.col("lo").alias("value"))
 
 
 def _narrow(rows: DataFrame, pending: DataFrame, width: int) -> DataFrame:
-    """Replace the range of each rank by the one histogram bin that holds it."""
-    ranges = pending.select("grp", "lo", "hi", "below").distinct()
-    share = (F.col("v") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo"))
+    """Replace the range of each rank by the one histogram bin that holds it.
+
+    The ends of a range fall into different bins, so every pass narrows it.
+    """
+    ranges = pending.select(F.col("grp").alias("of"), "lo", "hi", "below").distinct()
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    share = (v - lo).cast("double") / (hi - lo)
+    if dict(rows.dtypes)["v"] in ("double", "float"):
+        # The distance of the ends may exceed the largest number.
+        halves = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+        share = F.when(hi - lo == float("inf"), halves).otherwise(share)
     bins = (
-        rows.join(ranges, (rows["grp"] == ranges["grp"]) & F.col("v").between(F.col("lo"), F.col("hi")))
-        .select(ranges["grp"], "lo", "hi", "below", "v", F.floor(share * width).alias("bin"))
-        .groupBy("grp", "lo", "hi", "below", "bin")
+        rows.join(ranges, F.col("grp").eqNullSafe(F.col("of")) & v.between(lo, hi))
+        .groupBy("of", "lo", "hi", "below", F.floor(share * width).alias("bin"))
         .agg(F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
+        .withColumnRenamed("of", "grp")
     )
     # At most width + 1 rows per window, whatever the size of the group.
     so_far = Window.partitionBy("grp", "lo", "hi").orderBy("bin")
     counted = bins.withColumn("upto", F.col("below") + F.sum("n").over(so_far)).drop("below")
     return (
-        pending.drop("below")
-        .join(counted, ["grp", "lo", "hi"])
+        null_safe_join(pending.drop("below"), counted, ["grp", "lo", "hi"])
         .where("rank > upto - n and rank <= upto")
         .select(
             "grp",

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -65,10 +66,13 @@ def fit_centroids(
     very large one, fit on a :func:`uniform_sample` of it.
     """
     points = base.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    # Every run passes over the same rows; kept on disk, they are computed once.
+    points.persist(StorageLevel.DISK_ONLY)
     fits = (
         KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4).fit(points) for i in range(restarts)
     )
     best = min(fits, key=lambda m: m.summary.trainingCost)
+    points.unpersist()
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
     return base.sparkSession.createDataFrame(rows, "part int, c array<double>")
 

@@ -49,7 +49,7 @@ def split_roles(
     fraction: float = QUERY_FRACTION,
     seed: int = SEED,
 ) -> DataFrame:
-    """Add ``role``, ``base`` or ``query``, keeping the label proportions.
+    """Add ``role``, ``base`` or ``query``, keeping the label proportions; null is a label too.
 
     A map over ``df``: join with one row per label, compare keys.
     """
@@ -60,7 +60,7 @@ def split_roles(
     cuts = order_statistics(df, order_key(id, seed), targets, F.col(label), largest)
     cuts = stage(cuts.select(F.col("grp").alias("__grp"), F.col("value").alias("__cut")), "cuts")
 
-    keyed = df.join(cuts, F.col(label) == F.col("__grp"), "left")
+    keyed = df.join(cuts, F.col(label).eqNullSafe(F.col("__grp")), "left")
     role = F.when(order_key(id, seed) <= F.col("__cut"), "query").otherwise("base")
     return keyed.withColumn("role", role).drop("__grp", "__cut")
 
@@ -108,7 +108,7 @@ def sample_per_group(
     cuts = order_statistics(df, order_key(id, seed), targets, F.col(group), largest)
     cuts = stage(cuts.select(F.col("grp").alias("__grp"), F.col("value").alias("__cut")), "cuts")
     within = F.coalesce(order_key(id, seed) <= F.col("__cut"), F.lit(True))
-    joined = df.join(cuts, F.col(group) == F.col("__grp"), "left")
+    joined = df.join(cuts, F.col(group).eqNullSafe(F.col("__grp")), "left")
     return joined.where(within).drop("__grp", "__cut")
 
 

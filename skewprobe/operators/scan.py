@@ -10,6 +10,9 @@ Scores are rounded to ``DECIMALS`` places before they are compared. Summation
 order inside a matrix product depends on batch shape, and equal vectors must get
 equal scores if ties are to be broken by ``vec_id`` alone.
 
+A stored vector with a null, NaN or infinite component is left out of the search,
+that row only; a query with one has no hits.
+
 Most pairs are settled by a single precision product with a proven error margin;
 only those within the margin of a decision, and the hits, are summed in double.
 """
@@ -162,7 +165,10 @@ def query_blocks(queries: DataFrame, id: str = "q_id", vector: str = "qv") -> It
         part = table if slots == 1 else table.where(_slot(slots) == slot)
         fetched = part.toArrow()
         if fetched.num_rows:
-            yield QueryBlock(fetched["q_id"].to_numpy(), matrix(fetched["qv"]), slot, slots)
+            vectors = matrix(fetched["qv"])
+            # All NaN beats no threshold, one infinite component might.
+            vectors = np.where(np.isfinite(vectors).all(axis=1, keepdims=True), vectors, np.nan)
+            yield QueryBlock(fetched["q_id"].to_numpy(), vectors, slot, slots)
 
 
 def scan(
@@ -231,6 +237,7 @@ def _scan_task(batches, probes, k, prune, counters):
         vectors = matrix(batch.column(1))
         parts = batch.column(2).to_numpy(zero_copy_only=False)
         in_order = np.argsort(ids, kind="stable")
+        in_order = in_order[np.isfinite(vectors).all(axis=1)[in_order]]
         ids, vectors, parts = ids[in_order], vectors[in_order], parts[in_order]
         for part, rows in by_part(parts):
             visit = probes.of(part)
@@ -306,7 +313,9 @@ class _Tile:
         self.type = np.float32 if safe else np.float64
         # A sum of d products is off by at most about d roundings of |q||v|.
         # Partial sums and bounds add a few more; the factor 4 covers them all.
-        self.margin = 4 * (q.shape[1] + 8) * 2.0**-24 * lengths * longest + 10.0**-DECIMALS
+        margin = 4 * (q.shape[1] + 8) * 2.0**-24 * lengths * longest + 10.0**-DECIMALS
+        # Zero times an overflowed length tells nothing, so every pair is to be summed.
+        self.margin = np.where(np.isnan(margin), np.inf, margin)
         self.rq, self.rv = q.astype(self.type), v.astype(self.type, copy=False)
 
     def exact(self, pq, pv, start=0, end=None, absolute=False):

@@ -80,11 +80,19 @@ def full_search(queries: DataFrame, base: DataFrame, k: int = TOP_K) -> DataFram
     return _all_rows(queries, whole, k, ("q_id",)).drop("part")
 
 
-def sharded_search(queries: DataFrame, sharded: DataFrame, k: int = TOP_K) -> Search:
-    """Search every shard and merge the local hits."""
+def sharded_search(
+    queries: DataFrame, sharded: DataFrame, k: int = TOP_K, shards: int | None = None
+) -> Search:
+    """Search every shard and merge the local hits.
+
+    Name the number of ``shards`` to have those without rows among the loads.
+    """
     hits = _all_rows(queries, sharded, k, ("q_id",))
     rows = sharded.groupBy("part").agg(F.count("*").alias("n"))
     loads = rows.select("part", (F.col("n") * F.lit(queries.count())).alias("load"))
+    if shards is not None:
+        every = sharded.sparkSession.range(shards).select(F.col("id").cast("int").alias("part"))
+        loads = fill_loads(loads, every, "part")
     return Search(hits, loads)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -60,7 +61,7 @@ def _list_csv(spark: SparkSession, path: str) -> list[str]:
 
 
 def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    first = spark.read.text(path).head()
+    first = spark.read.text(_literal(path)).head()
     if first is None:
         raise ValueError(f"no header line in {path}")
     return tuple(next(csv.reader([first.value.lstrip("\ufeff")])))
@@ -72,8 +73,36 @@ def _is_text(value: Column) -> Column:
     return value.isNotNull() & ~number
 
 
+def _literal(path: str) -> str:
+    """A path in which no character has a meaning for pattern matching."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _read_files(
+    spark: SparkSession, files: list[str], header: tuple[str, ...], multiline: bool
+) -> DataFrame:
+    """Files of one header as text columns; a row with more cells than the header is an error."""
+    names = unique_names(header)
+    broken = "__broken"
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, broken]])
+    # A reader that takes only some of the columns does not see that there are too many.
+    reader = spark.read.schema(schema).options(
+        header=True, multiLine=multiline, columnNameOfCorruptRecord=broken, escape='"',
+        columnPruning=False,
+    )
+    raw = reader.csv([_literal(f) for f in files])
+    # The reader also marks short rows, which are filled with nulls. It must be asked for a
+    # column of the file besides the mark, so a condition that always holds names one.
+    cells = F.size(F.split(F.regexp_replace(broken, '"[^"]*"', ""), ","))
+    asked = F.coalesce(F.length(quoted(names[0])), F.lit(0)) >= 0
+    over = F.col(broken).isNotNull() & (cells > len(names)) & asked
+    refusal = F.raise_error(F.concat(F.lit("row with more cells than its header: "), broken))
+    checked = raw.where(F.when(over, refusal.cast("boolean")).otherwise(True))
+    return checked.select(*[F.when(~quoted(n).isin(*MISSING), quoted(n)).alias(n) for n in names])
+
+
 def read_flows(
-    spark: SparkSession, path: str, numeric: Sequence[str] | None = None
+    spark: SparkSession, path: str, numeric: Sequence[str] | None = None, multiline: bool = True
 ) -> DataFrame:
     """All ``*.csv`` below ``path`` as one table, columns matched by trimmed name.
 
@@ -83,6 +112,11 @@ def read_flows(
 
     A column becomes double when every value present in every file is a number,
     which takes one extra pass; name the ``numeric`` columns to save it.
+
+    A row with more cells than its header is an error, one with fewer is filled
+    with nulls. Quoted cells may hold line breaks; for that a file is read in one
+    task. Without such cells, ``multiline=False`` lets large files be split. Files
+    whose name starts with ``_`` or ``.`` are hidden, as everywhere in Spark.
     """
     paths = _list_csv(spark, path)
     with ThreadPoolExecutor(max_workers=16) as pool:
@@ -91,16 +125,7 @@ def read_flows(
     for file, header in zip(paths, headers):
         groups.setdefault(header, []).append(file)
 
-    frames = []
-    for header, files in groups.items():
-        names = unique_names(header)
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        raw = spark.read.csv(files, schema=schema, header=True)
-        frames.append(
-            raw.select(
-                *[F.when(~quoted(n).isin(*MISSING), quoted(n)).alias(n) for n in names]
-            )
-        )
+    frames = [_read_files(spark, files, header, multiline) for header, files in groups.items()]
     merged = merge_by_name(frames)
 
     if numeric is None:

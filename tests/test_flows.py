@@ -51,6 +51,26 @@ def test_files_with_their_own_headers(spark, tree):
     assert dict(named.dtypes)["Rate/s"] == "string"
 
 
+def test_quoted_breaks_short_rows_and_pattern_names(spark, tmp_path):
+    (tmp_path / "x[1]{a}.csv").write_text('Dur,Note,Label\n1,"two\nlines, ""quoted""",A\n2,short\n3,,\n')
+    flows = read_flows(spark, str(tmp_path))
+    assert dict(flows.dtypes)["Dur"] == "double"
+    rows = {r["Dur"]: (r["Note"], r["Label"]) for r in flows.collect()}
+    assert rows == {1.0: ('two\nlines, "quoted"', "A"), 2.0: ("short", None), 3.0: (None, None)}
+    assert flows.count() == 3
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+@pytest.mark.parametrize("last", ["4", ""])
+def test_a_row_with_too_many_cells_is_an_error(spark, tmp_path, multiline, last):
+    (tmp_path / "x.csv").write_text(f'Dur,Note,Label\n1,a,A\n2,"b,""b""",,{last}\n')
+    for numeric in (None, ["Dur"]):
+        with pytest.raises(Exception, match="more cells than its header"):
+            read_flows(spark, str(tmp_path), numeric, multiline).select("Dur").collect()
+    with pytest.raises(Exception, match="more cells than its header"):
+        read_flows(spark, str(tmp_path), ["Dur"], multiline).count()
+
+
 def test_no_csv_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_flows(spark, str(tmp_path))

@@ -55,3 +55,27 @@ def test_percentiles_match_linear_interpolation(spark):
         assert found[g].p99 == pytest.approx(np.percentile(vs, 99))
     whole = latency_summary(df, "v").first()
     assert whole.p95 == pytest.approx(np.percentile([v for _, v in rows], 95))
+
+
+@pytest.mark.parametrize("direct", [0, 1000])
+@pytest.mark.parametrize("bins", [8, 1 << 12])
+def test_values_that_no_bin_width_fits(spark, bins, direct):
+    inf, nan = float("inf"), float("nan")
+    values = [inf, inf, -inf, nan, nan, 1e308, -1e308, 1.7e308, -1.7e308, 5e-324, 0.0, 1.0, 2.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    targets = spark.range(1, 20).selectExpr("0 as grp", "id as rank")
+    found = order_statistics(df, F.col("v"), targets, bins=bins, direct=direct).collect()
+    got = [r.value for r in sorted(found, key=lambda r: r["rank"])]
+    assert np.array_equal(got, np.sort(values), equal_nan=True)
+
+
+@pytest.mark.parametrize("direct", [0, 1000])
+def test_null_is_a_group(spark, direct):
+    rows = [(None if i % 2 else "a", float(i)) for i in range(40)] + [("b", float("inf"))] * 3
+    df = spark.createDataFrame(rows, "g string, v double")
+    targets = spark.createDataFrame([(None, 5), ("a", 5), ("b", 2)], "grp string, rank long")
+    found = order_statistics(df, F.col("v"), targets, F.col("g"), direct=direct).collect()
+    assert {r.grp: r.value for r in found} == {None: 9.0, "a": 8.0, "b": float("inf")}
+    summary = {r.g: r for r in latency_summary(df, "v", "g", direct=direct).collect()}
+    assert summary[None].p95 == pytest.approx(np.percentile(np.arange(1, 40, 2), 95))
+    assert summary["b"].p99 == float("inf")

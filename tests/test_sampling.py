@@ -97,3 +97,12 @@ def test_hot_labels(spark):
     rows = [("x DDOS y",), ("Dos",), ("benign",), (None,)]
     df = spark.createDataFrame(rows, "label string")
     assert [r.h for r in df.select(is_hot("label").alias("h")).collect()] == [True, True, False, False]
+
+
+def test_rows_without_a_label_have_their_quota(spark):
+    rows = [(i, None if i % 2 else "a") for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, label string")
+    base, query = stratified_split(df)
+    assert (base.count(), query.where("label is null").count(), query.count()) == (900, 50, 100)
+    sample = sample_per_group(df, "label", size=70)
+    assert (sample.where("label is null").count(), sample.count()) == (70, 140)

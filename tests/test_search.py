@@ -13,7 +13,7 @@ from skewprobe.operators.partition import (
     random_shards,
 )
 from skewprobe.operators.topk import kth_threshold, topk
-from skewprobe.plans import search
+from skewprobe.plans import pruned, search
 from skewprobe.plans.pruned import routing_load
 
 
@@ -205,3 +205,25 @@ def test_scan_reads_two_columns_and_visited_partitions(spark, data, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*part#\d+ = 2", plan)
     assert "Join" not in plan and "Cartesian" not in plan
     assert {r.vec_id % 4 for r in found.collect()} == {2}
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_a_row_with_a_bad_component_is_left_out_alone(spark, bad):
+    v, q = vectors(60, seed=3), vectors(5, seed=4)
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    for i in (7, 30):
+        rows[i][1][2] = bad
+    asked = [(i, [float(x) for x in row]) for i, row in enumerate(q)] + [(5, [bad] * v.shape[1])]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    asked = spark.createDataFrame(asked, "q_id long, qv array<double>")
+    kept = [i for i in range(len(v)) if i not in (7, 30)]
+    expected = {i: [(kept[j], s) for j, s in h] for i, h in brute(q, v[kept], 10).items()}
+    same_hits(hits(search.full_search(asked, base, 10)), expected)
+    found = pruned.dimension_search(asked, base, k=10, n_v=20).hits
+    same_hits(hits(found), expected)
+
+
+def test_shards_without_rows_have_a_load(spark):
+    q, sharded = frame(spark, vectors(4), id="q_id", vec="qv"), random_shards(frame(spark, vectors(3)), 5)
+    loads = search.sharded_search(q, sharded, shards=5).loads
+    assert {r.part: r.load for r in loads.collect()} == {0: 4, 1: 4, 2: 4, 3: 0, 4: 0}
