@@ -48,8 +48,10 @@ REGULAR = 1e-3
 TOGETHER = 0.5
 # Longer units are cut into windows.
 LONG, WINDOW, STRIDE = 24, 16, 8
-CHARS = 1 << 22
-UNITS_AT_ONCE = 1 << 14
+CHARS = 1 << 20
+UNITS_AT_ONCE = 1 << 13
+# Units whose margins a task remembers from earlier texts.
+REMEMBERED = 1 << 17
 # Texts that are scored at once.
 ROWS = 1000
 SYMBOLS = 64
@@ -149,6 +151,16 @@ class Model:
     bias: float
     curve: np.ndarray  # for the worst, the second and one
     prior: float
+    known: dict[str, float] = field(default_factory=dict, repr=False)
+
+    def _recalled(self, units: list[str]) -> np.ndarray:
+        """Margins, summed anew only for units not met lately; most words come again."""
+        new = [u for u in units if u not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = units
+        self.known.update(zip(new, self.margins(new).tolist(), strict=True))
+        return np.array([self.known[u] for u in units])
 
     def margins(self, units: list[str]) -> np.ndarray:
         # Kernel values of a few thousand units at a time.
@@ -175,7 +187,7 @@ class Model:
         owner = np.repeat(np.arange(len(cut)), [len(ws) for ws in cut])
         margin = np.full(len(cut), NOTHING)
         if len(flat):
-            np.maximum.at(margin, owner, self.margins(list(names))[flat])
+            np.maximum.at(margin, owner, self._recalled(list(names))[flat])
         out = np.full((len(texts), 2), NOTHING)
         for i, part in enumerate(parts):
             top = np.sort(margin[part])[-2:]
