@@ -362,7 +362,7 @@ def _pca_vectors(t: Fixture) -> DataFrame:
 
 
 def _kmeans(t: Fixture) -> DataFrame:
-    centroids = partition.fit_centroids(t.base, restarts=3)
+    centroids = partition.fit_centroids(t.base)
     return partition.assign_nearest(t.base, centroids).groupBy("part").agg(
         F.count("*").alias("n")
     )

@@ -167,6 +167,24 @@ def test_kmeans_beats_a_random_assignment(spark):
     assert dist[np.arange(300), part].sum() < dist[np.arange(300), shuffled].sum()
 
 
+def test_registered_kmeans_does_all_restarts(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import __spark_entry__ as entry
+    from skewprobe.operators import partition
+
+    seeds = []
+
+    class Counted(partition.KMeans):
+        def __init__(self, **settings):
+            seeds.append((settings["seed"], settings["maxIter"]))
+            super().__init__(**settings)
+
+    monkeypatch.setattr(partition, "KMeans", Counted)
+    entry._kmeans(SimpleNamespace(base=frame(spark, vectors(100, dim=4, seed=13))))
+    assert len(set(seeds)) == partition.RESTARTS == 10 and {n for _, n in seeds} == {300}
+
+
 def test_mean_centroids(spark):
     b = vectors(50, dim=3, seed=12)
     group = np.arange(50) % 4
