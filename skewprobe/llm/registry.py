@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skewprobe.llm import sql
+from skewprobe.llm.audit import audit
 from skewprobe.llm.chat import format_chats, read_chats, read_loss
 from skewprobe.llm.collision_search import search
 from skewprobe.llm.lines import dedup_lines
 from skewprobe.llm.metric_join import vector_groups
 from skewprobe.llm.mixing import mix
+from skewprobe.llm.pages import main_text
+from skewprobe.llm.phrases import collocations
 from skewprobe.llm.pieces import decode_ids, encode_texts
 from skewprobe.llm.simhash import simhash_groups
 from skewprobe.llm.token_files import read_token_files, token_file_folder, write_token_files
@@ -126,6 +129,20 @@ def op10_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
@@ -137,6 +154,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_groups": op8_vector_groups,
     "op9_sampled_pieces": op9_sampled_pieces,
     "op10_collision_search": op10_collision_search,
+    "op11_phrases": op11_phrases,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_main_text": op13_main_text,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -126,10 +126,99 @@ SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least.component_id, e.vec_id = lea
 FROM embeddings e JOIN least ON e.vec_id = least.u LEFT JOIN counts c ON e.vec_id = c.u
 """
 
+OP11 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]+')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), sizes AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), spans AS (
+  SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS start
+  FROM words, (VALUES (1), (2), (3), (4)) AS s(size) WHERE len(w) >= size
+), counts AS (
+  SELECT lang, list_slice(w, start, start + size - 1) AS phrase, size, CAST(count(*) AS BIGINT) AS a
+  FROM spans GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.size, c.a, k, l.a AS l, r.a AS r,
+    CAST((2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a) AS BIGINT) AS score
+  FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM counts WHERE size > 1) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = list_slice(c.phrase, 1, k)
+  JOIN counts r ON r.lang = c.lang AND r.phrase = list_slice(c.phrase, k + 1, c.size)
+), best AS (
+  SELECT lang, phrase, size, a, min(struct_pack(score := score, k := k, l := l, r := r)) AS cut FROM cuts GROUP BY ALL
+), around AS (
+  SELECT lang, list_slice(phrase, start, start + part - 1) AS phrase, max(a) AS a
+  FROM (SELECT *, unnest(generate_series(1, size - part + 1)) AS start
+        FROM (SELECT *, unnest(generate_series(2, size - 1)) AS part FROM counts WHERE size > 2))
+  GROUP BY ALL
+), kept AS (
+  SELECT b.lang, array_to_string(b.phrase, ' ') AS phrase, b.a, b.cut.l AS l, b.cut.r AS r, b.cut.score AS score
+  FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE o.a IS NULL OR 100::HUGEINT * o.a < 80::HUGEINT * b.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+# The failure conditions of the five filters, in their fixed order.
+_FAILS = (
+    "len(w) < 50",
+    "100 * len(list_distinct(w)) < 65 * len(w)",
+    "100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text)",
+    "regexp_matches(text, '[#$%&*|]')",
+    "doc_id > min(doc_id) OVER (PARTITION BY text)",
+)
+OP12 = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w
+  FROM documents
+), marks AS (
+  SELECT doc_id, part, {", ".join(f"({c}) AS {n}" for n, c in zip("ABCDE", _FAILS, strict=True))} FROM texts
+), known AS (
+  SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, A::INT + 2 * B::INT + 4 * C::INT + 8 * D::INT + 16 * coalesce(E, false)::INT AS mask, count(*) AS n,
+    count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM marks LEFT JOIN known USING (doc_id) GROUP BY ALL
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) a(x), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) b(x),
+       (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) c(x), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) d(x),
+       (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) e(x)
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS filter,
+    CAST(1 << (ascii(filter_order[step]) - 65) AS INT) AS one,
+    CAST(list_sum([1 << (ascii(x) - 65) FOR x IN string_split(filter_order[1:step - 1], '') IF x <> '']) AS INT) AS before
+  FROM orders, generate_series(1, 5) AS s(step)
+), counts AS (
+  SELECT part, filter_order, step, filter,
+    CAST(sum(n) FILTER (WHERE mask & (coalesce(before, 0) | one) = 0) AS BIGINT) AS kept,
+    CAST(sum(n) FILTER (WHERE mask & coalesce(before, 0) = 0 AND mask & one <> 0) AS BIGINT) AS removed,
+    CAST(sum(n) FILTER (WHERE mask & coalesce(before, 0) <> 0 AND mask & one <> 0) AS BIGINT) AS redundant,
+    CAST(sum(n) FILTER (WHERE mask = one) AS BIGINT) AS unique_fails,
+    CAST(sum(good) FILTER (WHERE mask & coalesce(before, 0) = 0 AND mask & one <> 0) AS BIGINT) AS good_lost,
+    CAST(sum(toxic) FILTER (WHERE mask & coalesce(before, 0) = 0 AND mask & one <> 0) AS BIGINT) AS toxic_lost
+  FROM masks, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed,
+  coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+  coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter), 0) AS BIGINT) AS shapley
+FROM counts
+"""
+
 ORACLE = {
     "op1_url_filter": OP1,
     "op5_mixing": OP5,
     "op6_chat_format": OP6,
     "op7_line_dedup": OP7,
     "op8_vector_groups": OP8,
+    "op11_phrases": OP11,
+    "op12_filter_audit": OP12,
 }
