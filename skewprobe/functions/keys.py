@@ -17,10 +17,12 @@ def order_key(id_col: str | Column, seed: int = SEED) -> Column:
     """Repeatable random order of ids: the first 60 bits of ``md5(seed:id)``.
 
     It depends on the id only, not on partitions or row order, so every pass
-    over the data and every retried task sees the same order.
+    over the data and every retried task sees the same order. Rows of one id tie; a null id
+    stands with the empty one.
     """
     ident = F.col(id_col) if isinstance(id_col, str) else id_col
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), ident.cast("string")))
+    text = F.coalesce(ident.cast("string"), F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), text))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 

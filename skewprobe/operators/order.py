@@ -42,7 +42,8 @@ def order_statistics(
 ) -> DataFrame:
     """The value at each wanted rank, counting from 1 in ascending order.
 
-    ``targets`` has ``grp`` and ``rank``; the result adds ``value``. ``grp`` is
+    ``targets`` has ``grp`` and ``rank``; the result adds ``value`` and how many rows of the
+    group are ``below`` it and ``tied`` with it, itself included. ``grp`` is
     compared with ``group``, null with null, or is 0 when no group is given. A
     rank beyond the rows of its group, or below 1, has no result row. Null values
     have no rank; infinite ones come first and last, NaN after all. ``largest`` is
@@ -55,10 +56,15 @@ def order_statistics(
     if largest is None:
         largest = rows.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
     if largest <= direct:
-        place = F.row_number().over(Window.partitionBy("grp").orderBy("v")).cast("long")
-        ranked = rows.withColumn("rank", place)
+        by_value = Window.partitionBy("grp").orderBy("v")
+        ranked = rows.select(
+            "*",
+            F.row_number().over(by_value).cast("long").alias("rank"),
+            (F.rank().over(by_value) - 1).cast("long").alias("below"),
+            F.count("*").over(Window.partitionBy("grp", "v")).alias("tied"),
+        )
         joined = null_safe_join(ranked, wanted, ["grp", "rank"])
-        return joined.select("grp", "rank", F.col("v").alias("value"))
+        return joined.select("grp", "rank", F.col("v").alias("value"), "below", "tied")
 
     # Values that no bin width fits are kinds of their own, each with one value.
     v = F.col("v").cast("double")
@@ -71,7 +77,7 @@ def order_statistics(
     upto = F.sum("n").over(Window.partitionBy("grp").orderBy("kind"))
     spans = kinds.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("n"))
     start = null_safe_join(wanted, spans, ["grp"]).where("rank > below and rank <= upto")
-    pending = stage(start.select("grp", "rank", "lo", "hi", "below"), "ranks")
+    pending = stage(start.select("grp", "rank", "lo", "hi", "below", "n"), "ranks")
     # NaN equals NaN here, as in any comparison of the engine.
     found = [pending.where("lo = hi")]
     pending = pending.where("lo < hi")
@@ -81,7 +87,8 @@ def order_statistics(
         found.append(pending.where("lo = hi"))
         pending = pending.where("lo < hi")
     done = reduce(DataFrame.unionByName, found)
-    return done.select("grp", "rank", F.col("lo").alias("value"))
+    # A range of one value holds all rows of that value.
+    return done.select("grp", "rank", F.col("lo").alias("value"), "below", F.col("n").alias("tied"))
 
 
 def _narrow(rows: DataFrame, pending: DataFrame, width: int) -> DataFrame:
@@ -106,7 +113,7 @@ def _narrow(rows: DataFrame, pending: DataFrame, width: int) -> DataFrame:
     so_far = Window.partitionBy("grp", "lo", "hi").orderBy("bin")
     counted = bins.withColumn("upto", F.col("below") + F.sum("n").over(so_far)).drop("below")
     return (
-        null_safe_join(pending.drop("below"), counted, ["grp", "lo", "hi"])
+        null_safe_join(pending.drop("below", "n"), counted, ["grp", "lo", "hi"])
         .where("rank > upto - n and rank <= upto")
         .select(
             "grp",
@@ -114,5 +121,68 @@ def _narrow(rows: DataFrame, pending: DataFrame, width: int) -> DataFrame:
             F.col("first").alias("lo"),
             F.col("last").alias("hi"),
             (F.col("upto") - F.col("n")).alias("below"),
+            "n",
         )
     )
+
+
+def numbered(df: DataFrame, groups: Sequence[str] = (), name: str = "number") -> DataFrame:
+    """``df``, written, with the column ``name``: a number from 1 among the rows of a group.
+
+    The rows are numbered where they were written, task by task, and the rows of the earlier
+    tasks are added, so no task holds a whole group. Null is a group like any other.
+    """
+    rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    # The upper bits are those of the task that wrote the row.
+    rows = rows.withColumn("__task", F.shiftright("__row", 33))
+    keys = [*groups, "__task"]
+    counts = stage(rows.groupBy(*keys).agg(F.count("*").alias("__n")), "numbered-counts")
+    earlier = Window.partitionBy(*groups).orderBy("__task")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__n").over(earlier), F.lit(0))
+    starts = counts.select(*keys, before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("__row"))
+    joined = null_safe_join(rows.withColumn("__inside", inside), starts, keys)
+    joined = joined.withColumn(name, F.col("__before") + F.col("__inside"))
+    return joined.drop("__row", "__task", "__inside", "__before")
+
+
+def mark_first(
+    df: DataFrame,
+    key: Column,
+    targets: DataFrame,
+    group: Column | None = None,
+    largest: int | None = None,
+    name: str = "first",
+) -> DataFrame:
+    """``df`` with ``name``: whether a row is among the first of its group in the order of ``key``.
+
+    ``targets`` has ``grp`` and ``rank``, the number of rows wanted; a group without a row there, or
+    with a rank below 1, has none, one with fewer rows has all of them. ``key`` must
+    not be null. Exactly so many rows are marked: where only some of the rows with the last key
+    fit, these are numbered. Otherwise this is a map over ``df``, joined with one row per group.
+    """
+    found = order_statistics(df, key, targets, group, largest)
+    cuts = null_safe_join(targets.select("grp", "rank").distinct(), found, ["grp", "rank"], "left")
+    cuts = stage(
+        cuts.select(
+            F.col("grp").alias("__grp"),
+            F.col("rank").alias("__rank"),
+            F.col("value").alias("__cut"),
+            # Of the rows at the cut so many fit, where not all do.
+            F.when(F.col("rank") - F.col("below") < F.col("tied"), F.col("rank") - F.col("below")).alias("__fit"),
+        ),
+        "cuts",
+    )
+    of = F.lit(0) if group is None else group
+    joined = df.withColumn("__key", key).join(cuts, of.eqNullSafe(F.col("__grp")), "left")
+    wanted = F.coalesce(F.col("__rank") >= 1, F.lit(False))
+    within = wanted & F.coalesce(F.col("__key") <= F.col("__cut"), F.lit(True))
+    helpers = ("__key", "__grp", "__rank", "__cut", "__fit")
+    if cuts.where("__fit is not null").isEmpty():
+        return joined.withColumn(name, within).drop(*helpers)
+    tied = F.col("__fit").isNotNull() & (F.col("__key") == F.col("__cut"))
+    some = numbered(joined.where(tied), ["__grp"], "__number")
+    some = some.withColumn(name, F.col("__number") <= F.col("__fit")).drop("__number")
+    rest = joined.where(~F.coalesce(tied, F.lit(False))).withColumn(name, within)
+    return rest.unionByName(some).drop(*helpers)

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +39,16 @@ def random_shards(
     found = order_statistics(base, order_key(id, seed), targets, largest=rows).collect()
     cut = {row["rank"]: row["value"] for row in found}
     key = order_key(id, seed)
-    steps = [(key > F.lit(cut[e])).cast("int") for e in ends if e in cut]
-    return base.withColumn("part", reduce(lambda a, b: a + b, steps, F.lit(0)))
+    cuts = [cut[e] for e in ends if e in cut]
+
+    def place(low: int, high: int) -> Column:
+        """How many of the cuts from ``low`` to ``high`` are below the key, by bisection."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key > F.lit(cuts[middle]), place(middle + 1, high)).otherwise(place(low, middle))
+
+    return base.withColumn("part", place(0, len(cuts)))
 
 
 def mean_centroids(base: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
@@ -66,12 +74,17 @@ def fit_centroids(
     very large one, fit on a :func:`uniform_sample` of it.
     """
     points = base.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    # Every run passes over the same rows; kept on disk, they are computed once.
-    points.persist(StorageLevel.DISK_ONLY)
-    fits = (
-        KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4).fit(points) for i in range(restarts)
-    )
-    best = min(fits, key=lambda m: m.summary.trainingCost)
+    # Every run passes over the same rows; kept by the executors, they are computed once, and
+    # again where an executor is lost.
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    points.count()
+
+    def fit(i: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4).fit(points)
+
+    # Most of a pass is waiting for its tasks, so the runs go on side by side.
+    with ThreadPoolExecutor(max_workers=restarts) as pool:
+        best = min(pool.map(fit, range(restarts)), key=lambda m: m.summary.trainingCost)
     points.unpersist()
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
     return base.sparkSession.createDataFrame(rows, "part int, c array<double>")

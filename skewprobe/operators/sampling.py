@@ -1,9 +1,10 @@
 """Base/query split and query workloads.
 
 Every sample is "the first rows in a seeded random order of ids". The last key
-that still belongs to it is found by :func:`order_statistics`; taking the sample
+that still belongs to it is found by order statistics; taking the sample
 is then a filter on the key, so no vector is ever shuffled and a class that
-holds most rows costs no more than a small one.
+holds most rows costs no more than a small one. Samples have exactly the size asked for, also where
+rows share an id or have none: of the rows that tie at the end, as many are taken as fit.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewprobe.functions.keys import HOT_PATTERNS, SEED, is_hot, order_key
-from skewprobe.operators.order import order_statistics
+from skewprobe.operators.order import mark_first
 from skewprobe.session import stage
 
 # Share of queries, workload size, hot share of a skewed workload.
@@ -51,18 +52,16 @@ def split_roles(
 ) -> DataFrame:
     """Add ``role``, ``base`` or ``query``, keeping the label proportions; null is a label too.
 
-    A map over ``df``: join with one row per label, compare keys.
+    A map over ``df``: join with one row per label, compare keys. Of each label the query set has
+    exactly its quota.
     """
     counts = stage(df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")), "labels")
     total, largest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
     quotas = label_quotas(counts, total, math.ceil(fraction * total))
     targets = quotas.select(F.col("label").alias("grp"), F.col("quota").alias("rank"))
-    cuts = order_statistics(df, order_key(id, seed), targets, F.col(label), largest)
-    cuts = stage(cuts.select(F.col("grp").alias("__grp"), F.col("value").alias("__cut")), "cuts")
-
-    keyed = df.join(cuts, F.col(label).eqNullSafe(F.col("__grp")), "left")
-    role = F.when(order_key(id, seed) <= F.col("__cut"), "query").otherwise("base")
-    return keyed.withColumn("role", role).drop("__grp", "__cut")
+    marked = mark_first(df, order_key(id, seed), targets, F.col(label), largest, "__first")
+    role = F.when(F.col("__first"), "query").otherwise("base")
+    return marked.withColumn("role", role).drop("__first")
 
 
 def stratified_split(
@@ -92,8 +91,8 @@ def uniform_sample(
     targets = df.sparkSession.range(1).select(
         F.lit(0).alias("grp"), F.lit(size).cast("long").alias("rank")
     )
-    (cut,) = order_statistics(df, order_key(id, seed), targets, largest=rows).collect()
-    return df.where(order_key(id, seed) <= F.lit(cut["value"]))
+    marked = mark_first(df, order_key(id, seed), targets, largest=rows, name="__first")
+    return marked.where("__first").drop("__first")
 
 
 def sample_per_group(
@@ -105,11 +104,8 @@ def sample_per_group(
     if largest <= size:
         return df
     targets = counts.select("grp", F.lit(size).cast("long").alias("rank"))
-    cuts = order_statistics(df, order_key(id, seed), targets, F.col(group), largest)
-    cuts = stage(cuts.select(F.col("grp").alias("__grp"), F.col("value").alias("__cut")), "cuts")
-    within = F.coalesce(order_key(id, seed) <= F.col("__cut"), F.lit(True))
-    joined = df.join(cuts, F.col(group).eqNullSafe(F.col("__grp")), "left")
-    return joined.where(within).drop("__grp", "__cut")
+    marked = mark_first(df, order_key(id, seed), targets, F.col(group), largest, "__first")
+    return marked.where("__first").drop("__first")
 
 
 def skewed_sample(
@@ -139,11 +135,6 @@ def skewed_sample(
     targets = df.sparkSession.createDataFrame(
         [(True, n_hot), (False, n_cold)], "grp boolean, rank long"
     )
-    key = order_key(id, seed)
     largest = max(sizes["hot"], sizes["cold"])
-    cuts = order_statistics(marked, key, targets, F.col("hot"), largest).collect()
-    limit = {row["grp"]: row["value"] for row in cuts}
-    return marked.where(
-        F.when(F.col("hot"), key <= F.lit(limit.get(True)))
-        .otherwise(key <= F.lit(limit.get(False)))
-    )
+    first = mark_first(marked, order_key(id, seed), targets, F.col("hot"), largest, "__first")
+    return first.where("__first").drop("__first")

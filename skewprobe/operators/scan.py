@@ -3,8 +3,9 @@
 The stored table is read where it lies and never shuffled, whatever its layout
 and however many rows one partition or one group of copies holds. A block of
 queries of checked size is broadcast; each task multiplies its Arrow batches
-with it and keeps only the best ``k`` rows per (query, partition), so no pair
-row is ever formed. What leaves a task is at most ``k`` rows per probe.
+with it and keeps only the best ``k`` rows per (query, partition), or per query where the
+partitions do not matter, so no pair row is ever formed. A task whose best rows outgrow
+the bound of its memory hands them on and starts anew; the ranking afterwards sorts that out.
 
 Scores are rounded to ``DECIMALS`` places before they are compared. Summation
 order inside a matrix product depends on batch shape, and equal vectors must get
@@ -28,7 +29,7 @@ from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skewprobe.session import broadcast_bytes
+from skewprobe.session import STATE_BYTES, broadcast_bytes, state_bytes
 
 DECIMALS = 9
 # Tolerance of a sound bound against differently ordered sums.
@@ -88,7 +89,8 @@ class Probes:
 
     ``by_part`` maps a partition to query positions and a thresholds array of one
     row per query and one column per block; None means every query visits every
-    partition with the thresholds in ``everywhere``.
+    partition with the thresholds in ``everywhere``. A search without blocks takes the first
+    column: rows that score less are of no use.
     """
 
     block: QueryBlock
@@ -109,15 +111,19 @@ class Pruning:
     slack: float
 
 
-@dataclass
 class _Best:
-    """The best ``k`` rows so far for each probe of one partition."""
+    """The best ``k`` rows so far for each probe of one partition, or of all (``part`` None)."""
 
-    scores: np.ndarray
-    ids: np.ndarray
-    loads: np.ndarray
-    drops: np.ndarray
-    queries: np.ndarray = field(repr=False)
+    def __init__(self, queries: np.ndarray, k: int, steps: int, part: int | None):
+        self.queries, self.part = queries, part
+        self.scores = np.full((len(queries), k), -np.inf)
+        self.ids = np.full((len(queries), k), np.iinfo(np.int64).min)
+        self.parts = np.zeros((len(queries), k), np.int32) if part is None else None
+        self.loads, self.drops = np.zeros(steps, dtype=np.int64), np.zeros(steps, dtype=np.int64)
+
+    @property
+    def bytes(self) -> int:
+        return self.scores.nbytes + self.ids.nbytes + (self.parts.nbytes if self.part is None else 0)
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -142,11 +148,16 @@ def by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(parts[rows[0]]), rows
 
 
-def query_blocks(queries: DataFrame, id: str = "q_id", vector: str = "qv") -> Iterator[QueryBlock]:
+def query_blocks(
+    queries: DataFrame, id: str = "q_id", vector: str = "qv",
+    visits: DataFrame | None = None, visit_bytes: int = 16, extra: int = 0,
+) -> Iterator[QueryBlock]:
     """The query set in blocks of at most the broadcast bound.
 
     Normally one block. A larger set is cut by a hash of the id, with the block
-    sizes counted before any of them is fetched.
+    sizes counted before any of them is fetched. ``visits`` (``q_id``) are sent along with the
+    queries, ``visit_bytes`` each, and count as well, as do ``extra`` bytes for each query. Only a single
+    query may be over the bound.
     """
     table = queries.select(
         F.col(id).cast("long").alias("q_id"), F.col(vector).cast("array<double>").alias("qv")
@@ -154,11 +165,18 @@ def query_blocks(queries: DataFrame, id: str = "q_id", vector: str = "qv") -> It
     size = table.agg(F.count("*").alias("n"), F.max(F.size("qv")).alias("dim")).first()
     if not size["n"]:
         return
-    most = max(1, broadcast_bytes(queries.sparkSession) // (8 * (size["dim"] + 1)))
-    slots = -(-size["n"] // most)
+    most = broadcast_bytes(queries.sparkSession)
+    row_bytes = 8 * (size["dim"] + 1) + extra
+    total = row_bytes * size["n"]
+    rows = table.select("q_id", F.lit(1).alias("query"), F.lit(row_bytes).cast("long").alias("bytes"))
+    if visits is not None:
+        total += visit_bytes * visits.count()
+        more = visits.select("q_id", F.lit(0).alias("query"), F.lit(visit_bytes).cast("long").alias("bytes"))
+        rows = rows.unionByName(more)
+    slots = max(1, -(-total // most))
     while slots > 1:
-        sizes = table.groupBy(_slot(slots).alias("slot")).count()
-        if sizes.agg(F.max("count")).first()[0] <= most:
+        sizes = rows.groupBy(_slot(slots).alias("slot")).agg(F.sum("query").alias("n"), F.sum("bytes").alias("bytes"))
+        if sizes.where((F.col("n") > 1) & (F.col("bytes") > most)).isEmpty():
             break
         slots *= 2
     for slot in range(slots):
@@ -180,6 +198,7 @@ def scan(
     bound: str | None = None,
     slack: float = 0.0,
     counters: bool = False,
+    merged: bool = False,
 ) -> DataFrame:
     """One pass over ``base`` (``vec_id``, ``embedding``, optionally ``part``).
 
@@ -190,8 +209,11 @@ def scan(
     thresholds of later ones are not yet known; ``score`` is then partial.
 
     With ``counters`` there are also rows with ``block`` set, holding the pairs
-    scored and dropped by that task; hits have ``block`` null.
+    scored and dropped by that task; hits have ``block`` null. With ``merged``, for a search in which
+    every query visits every partition, a task keeps ``k`` rows per query over all partitions.
     """
+    if merged and (counters or probes.by_part is not None):
+        raise ValueError("partitions can be merged only in a plain search of all of them")
     part = F.col("part").cast("int") if "part" in base.columns else F.lit(0)
     table = base.select(
         F.col("vec_id").cast("long").alias("vec_id"), "embedding", part.alias("part")
@@ -203,10 +225,11 @@ def scan(
     queries = probes.block.send(context)
     visits = context.broadcast((probes.by_part, probes.everywhere))
     prune = None if bound is None else Pruning([tuple(b) for b in blocks], upto or len(blocks), bound, slack)
+    limit = state_bytes(base.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Probes(QueryBlock(*queries.value), *visits.value)
-        yield from _scan_task(batches, mine, k, prune, counters)
+        yield from _scan_task(batches, mine, k, prune, counters, merged, limit)
 
     return table.mapInArrow(run, SCHEMA)
 
@@ -227,9 +250,10 @@ def counts_of(scanned: DataFrame) -> DataFrame:
 # --- inside a task ----------------------------------------------------------
 
 
-def _scan_task(batches, probes, k, prune, counters):
+def _scan_task(batches, probes, k, prune, counters, merged=False, limit=STATE_BYTES):
     steps = prune.upto if prune else 1
-    best: dict[int, _Best | None] = {}
+    best: dict[int | None, _Best] = {}
+    held = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -239,26 +263,28 @@ def _scan_task(batches, probes, k, prune, counters):
         in_order = np.argsort(ids, kind="stable")
         in_order = in_order[np.isfinite(vectors).all(axis=1)[in_order]]
         ids, vectors, parts = ids[in_order], vectors[in_order], parts[in_order]
-        for part, rows in by_part(parts):
+        for part, rows in [(None, slice(None))] if merged else by_part(parts):
             visit = probes.of(part)
-            if visit is None:
+            if visit is None or not len(ids):
                 continue
             queries, thresholds = visit
             if part not in best:
-                best[part] = _Best(
-                    np.full((len(queries), k), -np.inf),
-                    np.full((len(queries), k), np.iinfo(np.int64).min),
-                    np.zeros(steps, dtype=np.int64),
-                    np.zeros(steps, dtype=np.int64),
-                    queries,
-                )
-            _visit(best[part], ids[rows], vectors[rows], probes.block.vectors, thresholds, prune)
+                state = _Best(queries, k, steps, part)
+                if best and held + state.bytes > limit:
+                    yield from _handed_on(best, probes, counters)
+                    best, held = {}, 0
+                best[part], held = state, held + state.bytes
+            _visit(best[part], ids[rows], vectors[rows], parts[rows], probes.block.vectors, thresholds, prune)
+    yield from _handed_on(best, probes, counters)
+
+
+def _handed_on(best, probes, counters):
     for part, found in best.items():
         q, pos = np.nonzero(found.scores > -np.inf)
         yield _rows(
             len(q),
             q_id=probes.block.ids[found.queries[q]],
-            part=np.full(len(q), part, dtype=np.int32),
+            part=found.parts[q, pos] if part is None else np.full(len(q), part, dtype=np.int32),
             vec_id=found.ids[q, pos],
             score=found.scores[q, pos],
         )
@@ -283,8 +309,8 @@ def _rows(n: int, **columns: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _visit(best, ids, vectors, all_queries, thresholds, prune):
-    """Score one run of rows, all of one partition and in id order, tile by tile."""
+def _visit(best, ids, vectors, parts, all_queries, thresholds, prune):
+    """Score one run of rows, in id order, tile by tile."""
     rows_per = min(len(ids), TILE_ROWS)
     probes_per = max(1, TILE_PAIRS // rows_per)
     for lo in range(0, len(best.queries), probes_per):
@@ -293,13 +319,16 @@ def _visit(best, ids, vectors, all_queries, thresholds, prune):
         for start in range(0, len(ids), rows_per):
             rows = slice(start, start + rows_per)
             tile = _Tile(q, vectors[rows])
+            floor = None
             if prune is None:
                 best.loads[0] += len(q) * len(tile.v)
                 live = None
+                if thresholds is not None:
+                    floor = thresholds[chosen, 0]
             else:
                 live = _live_pairs(tile, thresholds[chosen], prune, best)
-            for pq, pv, scores in _contenders(tile, ids[rows], best, chosen, live):
-                _keep(best, lo + pq, ids[rows][pv], scores)
+            for pq, pv, scores in _contenders(tile, ids[rows], best, chosen, live, floor):
+                _keep(best, lo + pq, ids[rows][pv], scores, parts[rows][pv])
 
 
 class _Tile:
@@ -330,10 +359,11 @@ class _Tile:
         return out
 
 
-def _contenders(tile, ids, best, chosen, live):
+def _contenders(tile, ids, best, chosen, live, floor=None):
     """Pairs that may enter the best rows of their probe, with exact rounded scores.
 
-    ``live`` restricts the pairs: None for all, a matrix, or lists with scores.
+    ``live`` restricts the pairs: None for all, a matrix, or lists with scores. Pairs below
+    ``floor`` may be left out.
     """
     if isinstance(live, tuple):
         pq, pv, scores = live
@@ -342,6 +372,8 @@ def _contenders(tile, ids, best, chosen, live):
     k, n = best.scores.shape[1], len(tile.v)
     end = tile.scored if live is not None else None
     worst = best.scores[chosen, -1]
+    if floor is not None:
+        worst = np.maximum(worst, floor)
     mask = tile.partial if live is not None else tile.rq @ tile.rv.T
     mask = mask >= (worst - tile.margin).astype(tile.type)[:, None]
     if live is not None:
@@ -445,7 +477,7 @@ def _promising(scores, ids, kept, kept_ids):
     return np.divmod(np.flatnonzero(mask), scores.shape[1])
 
 
-def _keep(best, probes, ids, scores):
+def _keep(best, probes, ids, scores, parts):
     """Merge pairs into the best rows: highest score first, then lowest id."""
     if len(probes) == 0:
         return
@@ -460,3 +492,6 @@ def _keep(best, probes, ids, scores):
     first = order[place < k]
     best.scores[touched] = score[first].reshape(-1, k)
     best.ids[touched] = ident[first].reshape(-1, k)
+    if best.parts is not None:
+        part = np.concatenate([parts, best.parts[touched].ravel()])
+        best.parts[touched] = part[first].reshape(-1, k)

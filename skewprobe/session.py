@@ -15,11 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_SETTING = "skewprobe.broadcast.bytes"
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Most bytes of best rows a search task holds before it hands them on.
+STATE_SETTING = "skewprobe.state.bytes"
+STATE_BYTES = 256 * 1024 * 1024
+
 
 def broadcast_bytes(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_SETTING, str(BROADCAST_BYTES)))
 
 
+def state_bytes(spark: SparkSession) -> int:
+    return int(spark.conf.get(STATE_SETTING, str(STATE_BYTES)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
