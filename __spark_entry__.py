@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent
@@ -28,6 +28,7 @@ from skewprobe.functions.vectors import (  # noqa: E402
     suffix_bounds,
 )
 from skewprobe.operators import clean, features, metrics, partition, sampling  # noqa: E402
+from skewprobe.operators.groups import BLOCKS  # noqa: E402
 from skewprobe.operators.scan import DECIMALS  # noqa: E402
 from skewprobe.operators.topk import kth_threshold, topk  # noqa: E402
 from skewprobe.plans import pruned, search  # noqa: E402
@@ -35,6 +36,7 @@ from skewprobe.plans.preprocess import vectors_of  # noqa: E402
 from skewprobe.plans.report import Run, run_report  # noqa: E402
 from skewprobe.session import shared_dir, ship, stage  # noqa: E402
 from skewprobe.sources import (  # noqa: E402
+    load_groups,
     load_index,
     load_workload,
     merge_by_name,
@@ -47,10 +49,9 @@ from skewprobe.sources import (  # noqa: E402
 
 try:
     from skewprobe.llm import registry as llm
-except ModuleNotFoundError as missing:
-    # The subpackage can be taken out; anything else that is missing is an error.
-    if missing.name not in ("skewprobe.llm", "skewprobe.llm.registry"):
-        raise
+except ImportError as missing:
+    # Without the subpackage, or something that it needs, the other queries are still there.
+    print(f"corpus queries left out: {missing}", file=sys.stderr)
     llm = None
 
 LINE_IDS = ("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
@@ -114,6 +115,13 @@ class Fixture:
         write_index(path, partition.assign_nearest(self.base, self.centroids), self.centroids)
         return load_index(self.spark, path)[0]
 
+    @cached_property
+    def grouped(self) -> tuple[DataFrame, DataFrame]:
+        """The same partitions as an index with groups, and the summaries of these."""
+        path = f"{shared_dir(self.spark)}/grouped-{uuid.uuid4().hex}"
+        write_index(path, self.parts, self.centroids, groups=oracle.GROUPS)
+        return load_index(self.spark, path)[0], load_groups(self.spark, path)
+
     @cached_property
     def routes(self) -> DataFrame:
         return stage(search.route(self.queries(), self.centroids, oracle.NPROBE), "routes")
@@ -225,6 +233,39 @@ def _pipeline(t: Fixture, mode: str, workload: str = "uniform") -> pruned.Pruned
     )
 
 
+def _pipeline_groups(t: Fixture) -> pruned.Pruned:
+    base, groups = t.grouped
+    return pruned.full_pipeline(t.queries(), base, t.centroids, groups=groups)
+
+
+def _dim_groups(t: Fixture) -> pruned.Pruned:
+    base, groups = t.grouped
+    return pruned.dimension_search(t.queries(), base, n_v=oracle.SAMPLE_ROWS, groups=groups)
+
+
+def _group_pairs(t: Fixture) -> DataFrame:
+    """Pairs of a query and a row that were scored or dropped, by partition: all routed ones."""
+    found = _pipeline_groups(t).counts.where("block = 0")
+    return found.select("part", (F.col("load") + F.col("pruned")).alias("load"))
+
+
+def _group_cover(t: Fixture) -> DataFrame:
+    """Rows of each partition, and those that are within the radii and lengths of their group."""
+    base, groups = t.grouped
+    away = F.transform(F.arrays_zip("embedding", "c"), lambda x: x["embedding"].cast("double") - x["c"])
+    rows = base.select("vec_id", "part", "cell", "embedding").join(groups.drop("part", "n"), "cell")
+    rows = rows.withColumn("away", away).withColumn("v", F.col("embedding").cast("array<double>"))
+
+    def length(x: str, s: int, e: int) -> Column:
+        return F.sqrt(F.aggregate(F.slice(x, s + 1, e - s), F.lit(0.0), lambda a, y: a + y * y))
+
+    inside = length("away", 0, oracle.DIM) <= F.col("radius") + 1e-9
+    for b, (s, e) in enumerate(dim_blocks(oracle.DIM, BLOCKS)):
+        inside &= length("away", s, e) <= F.col("radii")[b] + 1e-9
+        inside &= length("v", s, e).between(F.col("shortest")[b] - 1e-9, F.col("longest")[b] + 1e-9)
+    return rows.groupBy("part").agg(F.count("*").alias("n"), F.count_if(inside).alias("covered"))
+
+
 def _open_stage(t: Fixture) -> pruned.Stage:
     """Every routed pair in the compatible mode, without a threshold to start from."""
     probes = t.routes.select("q_id", "part", F.lit(float("-inf")).alias("thr"))
@@ -347,8 +388,12 @@ def _latency_nonfinite(t: Fixture) -> DataFrame:
 
 
 def _label_export(t: Fixture) -> DataFrame:
-    labels = t.spark.read.csv(f"{t.sets_path}/query_labels", header=True)
-    return metrics.load_by(labels, "label")
+    roles = [
+        t.spark.read.csv(f"{t.sets_path}/{role}_labels", header=True).withColumn("role", F.lit(role))
+        for role in ("base", "query")
+    ]
+    labels = roles[0].unionByName(roles[1])
+    return labels.groupBy("role", "label").agg(F.count("*").alias("load"))
 
 
 def _load_workload(t: Fixture) -> DataFrame:
@@ -492,6 +537,10 @@ QUERIES: dict[str, Callable[[Fixture], DataFrame]] = {
     ),
     "full_pipeline_exact": lambda t: _hits(_pipeline(t, "exact").hits),
     "full_pipeline_compat": lambda t: _hits(_pipeline(t, "compat").hits),
+    "full_pipeline_groups": lambda t: _hits(_pipeline_groups(t).hits),
+    "dim_search_groups": lambda t: _hits(_dim_groups(t).hits, False),
+    "group_pairs": _group_pairs,
+    "group_cover": _group_cover,
     "pipeline_counts_exact": lambda t: _pipeline(t, "exact").counts,
     "pipeline_counts_compat": lambda t: _pipeline(t, "compat").counts,
     "partition_compute_load": lambda t: _pipeline(t, "exact").partitions(t.centroids),

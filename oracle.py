@@ -10,6 +10,7 @@ import re
 
 # Settings shared with the registered queries.
 DIM, BLOCKS, K, NPROBE = 64, 4, 10, 2
+GROUPS = 5
 SAMPLE_ROWS, SAMPLE_PER_PART, WARM_QUERIES = 100, 20, 32
 HOT_LABELS = ("0", "1", "2", "3", "4")
 HOT_EVENTS = ("error",)
@@ -576,6 +577,10 @@ def oracle_sql() -> dict[str, str]:
         "probe_carry": _sql("SELECT q_id, thr FROM x1_thr"),
         "full_pipeline_exact": _sql(f"{part_hits} x_hits"),
         "full_pipeline_compat": _sql(f"{part_hits} y_hits"),
+        "full_pipeline_groups": _sql(f"{part_hits} x_hits"),
+        "dim_search_groups": _sql(f"{hits} de_hits"),
+        "group_pairs": _sql("SELECT part, load FROM ivf_load WHERE load > 0"),
+        "group_cover": _sql("SELECT part, count(*) AS n, count(*) AS covered FROM assigned GROUP BY part"),
         "pipeline_counts_exact": _sql("SELECT part, block, load, pruned FROM x_counts"),
         "pipeline_counts_compat": _sql("SELECT part, block, load, pruned FROM y_counts"),
         "partition_compute_load": _sql("SELECT part, load FROM x_parts"),
@@ -630,7 +635,10 @@ def oracle_sql() -> dict[str, str]:
         "read_flows": _sql("SELECT * FROM finite_events WHERE value IS NOT NULL", _EVENT),
         "read_flows_quoted": """SELECT event_id, event_type || ', "a"' || chr(10) || 'b ' || event_id AS label,
             value FROM events""",
-        "label_export": _sql("SELECT label, count(*) AS load FROM held GROUP BY label"),
+        "label_export": _sql(
+            """SELECT 'query' AS role, label, count(*) AS load FROM held GROUP BY label
+              UNION ALL SELECT 'base', label, count(*) FROM base GROUP BY label"""
+        ),
         "load_workload": _sql(f"{hits} top_full", workload="skewed"),
         "latency_summary": """SELECT event_type, count(value) AS queries, round(avg(value), 6) AS mean,
             round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skewprobe.functions.keys import HOT_PATTERNS, SEED
 from skewprobe.functions.vectors import search_cast
@@ -21,7 +20,7 @@ from skewprobe.operators.sampling import (
     split_roles,
     uniform_sample,
 )
-from skewprobe.sources.flows import quoted, read_flows
+from skewprobe.sources.flows import FILE, PIECE, number_records, quoted, read_flows
 from skewprobe.sources.sets import (
     load_vectors,
     select_workload,
@@ -76,14 +75,13 @@ def preprocess(
 ) -> DataFrame:
     """Read, clean, vectorise, split, sample and write; returns the report.
 
-    Row ids are given once, when the clean table is written. ``options`` are
-    those of :func:`write_search_inputs`.
+    Row ids number the clean rows by file and place in it, so a rerun gives the same ids, splits and
+    workloads, however files are split and tasks are made. ``options`` are those of :func:`write_search_inputs`.
     """
-    flows = read_flows(spark, raw)
-    clean = clean_flows(flows, label, drop)
+    flows = read_flows(spark, raw, places=True)
+    clean = clean_flows(flows, label, drop, (FILE, PIECE))
     rows_per_file = options.get("rows_per_file", 0)
-    numbered = clean.withColumn("flow_id", F.monotonically_increasing_id())
-    write_clean(numbered, f"{out}/clean", rows_per_file)
+    write_clean(number_records(clean), f"{out}/clean", rows_per_file)
     clean = spark.read.parquet(f"{out}/clean")
     vectors, _ = vectors_of(clean, "flow_id", label, dims)
     write_search_inputs(vectors, out, **options)

@@ -5,6 +5,9 @@ score, so hits equal those of the unpruned search. Every threshold is fixed
 before a pass starts, hence hits and counters do not depend on how rows are
 spread over tasks, and one pass suffices.
 
+Where the index has group summaries, the exact searches compare them first: a group whose bound is
+below a query's threshold is not scored for that query, and not read if no query needs it.
+
 ``mode="compat"`` takes the k-th best *partial* score after each block as the
 next threshold, and one pooled threshold for all queries. That may drop answers;
 it exists to compare pruning counts. A threshold depends on all rows of a
@@ -17,11 +20,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skewprobe.functions.keys import SEED
 from skewprobe.functions.vectors import dim_blocks
+from skewprobe.operators.groups import group_bounds
 from skewprobe.operators.metrics import fill_loads, load_by
 from skewprobe.operators.sampling import sample_per_group, uniform_sample
 from skewprobe.operators.scan import (
@@ -46,7 +51,7 @@ from skewprobe.plans.search import (
     search_block,
     union_or_empty,
 )
-from skewprobe.session import stage
+from skewprobe.session import broadcast_bytes, stage
 
 # Dimension blocks, and the sizes of the warm-up sample.
 NUM_BLOCKS = 4
@@ -55,16 +60,24 @@ WARMUP_VECTORS = 1000
 
 COUNTS = "part int, block int, load long, pruned long"
 THRESHOLDS = "q_id long, part int, thr double"
+PART_HITS = "q_id long, part int, vec_id long, score double"
+# Bytes of a fetched pair of a query and a group.
+PAIR_BYTES = 40
 
 Visits = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
 class Pruned:
-    """Hits, and pairs scored (``load``) and dropped per partition and block."""
+    """Hits, and pairs scored (``load``) and dropped per partition and block.
+
+    A search by groups drops pairs before the first block only. ``groups`` then counts, for each partition, the
+    pairs of a query and a group that were ``seen`` and ``skipped``.
+    """
 
     hits: DataFrame
     counts: DataFrame
+    groups: DataFrame | None = None
 
     def blocks(self) -> DataFrame:
         return self.counts.groupBy("block").agg(
@@ -84,11 +97,13 @@ class Stage:
     thresholds: DataFrame
 
 
-def _check(mode: str, bound: str) -> None:
+def _check(mode: str, bound: str, groups: DataFrame | None = None) -> None:
     if mode not in ("exact", "compat"):
         raise ValueError("mode must be 'exact' or 'compat'")
     if bound not in ("abs", "norm"):
         raise ValueError("bound must be 'abs' or 'norm'")
+    if groups is not None and mode != "exact":
+        raise ValueError("groups prune in the exact mode only")
 
 
 def bound_filter(pairs: DataFrame, thr: DataFrame, block: int, slack: float = 0.0) -> DataFrame:
@@ -147,24 +162,117 @@ def prewarm_per_query(
     return kth_threshold(hits, ("q_id",), k, strict=True)
 
 
+def _raise(thr: np.ndarray, block: QueryBlock, found: DataFrame) -> None:
+    """Raise thresholds by those of ``found``, at most one row for each query."""
+    table = found.select("q_id", "thr").toArrow()
+    where = block.positions(table["q_id"].to_numpy())
+    thr[where] = np.maximum(thr[where], table["thr"].to_numpy())
+
+
 def _raise_by_query(thr: np.ndarray, block: QueryBlock, hits: DataFrame, k: int) -> None:
     """Raise each query's threshold to the k-th score among ``hits``, once it has ``k``."""
-    found = kth_threshold(hits, ("q_id",), k, strict=True).toArrow()
-    where = block.positions(found["q_id"].to_numpy())
-    thr[where] = np.maximum(thr[where], found["thr"].to_numpy())
-
-
-def _kth_by_pair(
-    scanned: DataFrame, block: QueryBlock, k: int, strict: bool
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """k-th local score per partition, as query positions and values; one number per pair."""
-    found = kth_threshold(hits_of(scanned), ("q_id", "part"), k, strict).toArrow()
-    where = block.positions(found["q_id"].to_numpy())
-    parts, values = found["part"].to_numpy(), found["thr"].to_numpy()
-    for p, rows in by_part(parts):
+    _raise(thr, block, kth_threshold(hits, ("q_id",), k, strict=True))
+
+
+def _kth_by_pair(scanned: DataFrame, k: int, strict: bool) -> DataFrame:
+    """k-th local score of each (query, partition), written: one number per pair."""
+    return stage(kth_threshold(hits_of(scanned), ("q_id", "part"), k, strict), "kth")
+
+
+def _by_pair(found: DataFrame, block: QueryBlock) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Thresholds per partition, as query positions and values."""
+    table = found.select("q_id", "part", "thr").toArrow()
+    where = block.positions(table["q_id"].to_numpy())
+    values = table["thr"].to_numpy()
+    for p, rows in by_part(table["part"].to_numpy()):
         yield p, where[rows], values[rows]
 
 
+@dataclass(frozen=True)
+class _Groups:
+    """What a search by groups of one block of queries gives; the counts are per partition."""
+
+    hits: list[DataFrame]
+    counts: list[DataFrame]
+    groups: list[pd.DataFrame]
+
+
+def _search_groups(
+    block: QueryBlock,
+    base: DataFrame,
+    groups: DataFrame,
+    pairs: DataFrame,
+    thr: np.ndarray | None,
+    k: int,
+    n_blocks: int,
+) -> _Groups:
+    """Score the groups of ``pairs`` (see :func:`group_bounds`) that can reach a query's threshold.
+
+    Without ``thr``, each query first searches the group whose pivot it is nearest to; its k-th score there is
+    the threshold for all others. The pairs are fetched in pieces within the broadcast bound.
+    """
+    pairs = stage(pairs, "pairs")
+    pieces = max(1, -(-pairs.count() * PAIR_BYTES // broadcast_bytes(base.sparkSession)))
+    units = base.select("vec_id", "embedding", F.col("cell").alias("part"))
+    out = _Groups([], [], [])
+    for piece in range(pieces):
+        own = pairs if pieces == 1 else pairs.where(F.pmod("q", F.lit(pieces)) == piece)
+        table = own.toArrow().to_pandas()
+        if table.empty:
+            continue
+        q, cell = table["q"].to_numpy(), table["cell"].to_numpy()
+        scored = np.ones(len(table), bool)
+        scans, limits = [], thr
+        if thr is None:
+            order = np.lexsort((cell, -table["near"].to_numpy(), q))
+            first = order[np.unique(q[order], return_index=True)[1]]
+            warm = scan(units, Probes(block, open_visits(q[first], cell[first])), k, counters=True)
+            scans.append(stage(warm, "scan"))
+            limits = np.full(len(block.ids), -np.inf)
+            _raise_by_query(limits, block, hits_of(scans[0]), k)
+            scored = table["bound"].to_numpy() >= limits[q]
+            scored[first] = False
+        if scored.any():
+            at, where = cell[scored], q[scored]
+            visits = _visits(where, at, limits[where])
+            visits = {c: (i, t[:, None]) for c, (i, t) in visits.items()}
+            scans.append(stage(scan(units, Probes(block, visits), k, counters=True), "scan"))
+        if thr is None:
+            scored[first] = True
+        rows = table.assign(skipped=~scored, pairs=np.where(scored, 0, table["n"]))
+        out.groups.append(
+            rows.groupby("part", as_index=False).agg(
+                seen=("q", "size"), rows=("n", "sum"), skipped=("skipped", "sum"), pruned=("pairs", "sum")
+            )
+        )
+        for scanned in scans:
+            found = _with_parts(scanned, groups)
+            out.hits.append(hits_of(found))
+            loads = counts_of(found).select("part", "load", F.lit(0).cast("long").alias("pruned"))
+            every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
+            out.counts.append(loads.select("part", every, "load", "pruned"))
+    return out
+
+
+def _with_parts(scanned: DataFrame, groups: DataFrame) -> DataFrame:
+    """A scan of cells with the partition of each."""
+    cells = groups.select(F.col("cell").alias("__cell"), F.col("part").alias("__part"))
+    joined = scanned.join(cells, scanned["part"] == cells["__cell"])
+    return joined.withColumn("part", F.col("__part")).drop("__cell", "__part")
+
+
+def _group_counts(found: list[pd.DataFrame], base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dropped pairs as counts of the first block, and pairs of queries and groups, per partition."""
+    columns = ["part", "seen", "skipped", "pruned"]
+    empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
+    table = pd.concat([empty, *[f[columns] for f in found]]).groupby("part", as_index=False).sum().astype("int64")
+    rows = base.sparkSession.createDataFrame(table, "part long, seen long, skipped long, pruned long")
+    rows = rows.withColumn("part", F.col("part").cast("int"))
+    zero = F.lit(0).cast("long")
+    counts = rows.select("part", F.lit(0).alias("block"), zero.alias("load"), "pruned")
+    return counts, rows.select("part", "seen", "skipped")
+
+
 def dimension_search(
     queries: DataFrame,
     base: DataFrame,
@@ -175,17 +283,19 @@ def dimension_search(
     n_v: int = WARMUP_VECTORS,
     seed: int = SEED,
     sample: DataFrame | None = None,
+    groups: DataFrame | None = None,
 ) -> Pruned:
     """Top-k of the whole table, by blocks; the first block is scored for every row.
 
     ``sample`` replaces the warm-up rows of the exact mode; any rows of ``base``
-    will do, and writing them once saves a pass per workload.
+    will do, and writing them once saves a pass per workload. With ``groups``, the summaries of an index
+    whose rows have ``part`` and ``cell``, the exact mode prunes by groups instead of by pairs.
     """
-    _check(mode, bound)
+    _check(mode, bound, groups)
     whole = base.select("vec_id", "embedding")
     if mode == "exact" and sample is None:
         sample = stage(uniform_sample(whole, "vec_id", n_v, seed), "sample")
-    hits, counts = [], []
+    hits, counts, skipped = [], [], []
     for block in query_blocks(queries):
         ranges = dim_blocks(block.vectors.shape[1], n_blocks)
         limits = np.full((len(block.ids), n_blocks), -np.inf)
@@ -197,19 +307,56 @@ def dimension_search(
         else:
             for b in range(1, n_blocks):
                 partial = scan(whole, Probes(block, None, limits), k, ranges, b, bound)
-                for _, where, values in _kth_by_pair(partial, block, k, strict=False):
+                for _, where, values in _by_pair(_kth_by_pair(partial, k, strict=False), block):
                     limits[where, b] = values
+        if groups is not None:
+            # Pairs below the threshold never leave the tasks, so they are counted from the summaries.
+            found = _search_groups(
+                block, base, groups, group_bounds(block, groups, None, thr), thr, k, n_blocks
+            )
+            hits.append(topk(union_or_empty(found.hits, base, PART_HITS), ("q_id",), k))
+            counts += found.counts
+            skipped.append(_skipped(found.groups, groups, len(block.ids)))
+            continue
         slack = SLACK if mode == "exact" else 0.0
         done = stage(
             scan(whole, Probes(block, None, limits), k, ranges, None, bound, slack, True), "scan"
         )
         hits.append(topk(hits_of(done), ("q_id",), k))
         counts.append(counts_of(done))
+    if groups is not None:
+        dropped, seen = _group_counts(skipped, base)
+        summed = _summed([*counts, dropped], base)
+        return Pruned(union_or_empty(hits, base, HITS).drop("part"), summed, seen)
     return Pruned(
         union_or_empty(hits, base, HITS).drop("part"), union_or_empty(counts, base, COUNTS)
     )
 
 
+def _skipped(found: list[pd.DataFrame], summaries: DataFrame, queries: int) -> pd.DataFrame:
+    """All pairs of queries and groups per partition, those searched taken off."""
+    every = summaries.groupBy("part").agg(F.count("*").alias("groups"), F.sum("n").alias("rows")).toPandas()
+    mine = pd.concat(found).groupby("part").sum() if found else pd.DataFrame(columns=["seen", "rows"])
+    every = every.set_index("part")
+    searched = mine["seen"].reindex(every.index).fillna(0) if found else 0
+    rows = mine["rows"].reindex(every.index).fillna(0) if found else 0
+    table = pd.DataFrame(
+        {
+            "seen": every["groups"] * queries,
+            "skipped": every["groups"] * queries - searched,
+            "pruned": every["rows"] * queries - rows,
+        }
+    )
+    return table.reset_index()
+
+
+def _summed(counts: list[DataFrame], base: DataFrame) -> DataFrame:
+    """Counts of several passes over a partition add up."""
+    return union_or_empty(counts, base, COUNTS).groupBy("part", "block").agg(
+        F.sum("load").alias("load"), F.sum("pruned").alias("pruned")
+    )
+
+
 def _stage_pass(
     base: DataFrame,
     block: QueryBlock,
@@ -219,31 +366,31 @@ def _stage_pass(
     mode: str,
     bound: str,
     final: bool = True,
-) -> tuple[DataFrame, Visits]:
+) -> tuple[DataFrame, list[DataFrame]]:
     """Search the visited partitions.
 
-    Returns the written scan and the thresholds afterwards, which never fall;
+    Returns the written scan, and written tables ``q_id, part, thr`` of what the thresholds rise to;
     without ``final`` they leave out what the last scores add.
     """
     n = len(ranges)
-    limits = {p: np.repeat(thr[:, None], n + 1, axis=1) for p, (_, thr) in visits.items()}
+    limits = {p: np.repeat(thr[:, None], n, axis=1) for p, (_, thr) in visits.items()}
+    raised: list[DataFrame] = []
 
     def probes() -> Probes:
-        return Probes(block, {p: (where, limits[p][:, :n]) for p, (where, _) in visits.items()})
-
-    def raise_from(scanned: DataFrame, b: int) -> None:
-        for p, where, values in _kth_by_pair(scanned, block, k, strict=mode == "exact"):
-            at = np.searchsorted(visits[p][0], where)
-            limits[p][at, b:] = np.maximum(limits[p][at, b:], values[:, None])
+        return Probes(block, {p: (where, limits[p]) for p, (where, _) in visits.items()})
 
     if mode == "compat":
         for b in range(1, n):
-            raise_from(scan(base, probes(), k, ranges, b, bound), b)
+            partial = scan(base, probes(), k, ranges, b, bound)
+            raised.append(_kth_by_pair(partial, k, strict=False))
+            for p, where, values in _by_pair(raised[-1], block):
+                at = np.searchsorted(visits[p][0], where)
+                limits[p][at, b:] = np.maximum(limits[p][at, b:], values[:, None])
     slack = SLACK if mode == "exact" else 0.0
     done = stage(scan(base, probes(), k, ranges, None, bound, slack, True), "scan")
     if final:
-        raise_from(done, n)
-    return done, {p: (where, limits[p][:, n]) for p, (where, _) in visits.items()}
+        raised.append(_kth_by_pair(done, k, strict=mode == "exact"))
+    return done, raised
 
 
 def _visits(where: np.ndarray, parts: np.ndarray, thr: np.ndarray) -> Visits:
@@ -271,21 +418,21 @@ def dimension_pipeline(
     threshold.
     """
     _check(mode, bound)
+    probes = probes.select("q_id", F.col("part").cast("int").alias("part"), F.col("thr").cast("double").alias("thr"))
     hits, counts, after = [], [], []
-    for block in query_blocks(queries):
+    # A visit is sent along with a threshold for each block.
+    for block in query_blocks(queries, visits=probes, visit_bytes=8 * (n_blocks + 1)):
         ranges = dim_blocks(block.vectors.shape[1], n_blocks)
-        table = block.own(probes).select("q_id", "part", "thr").toArrow()
+        own = block.own(probes)
+        table = own.toArrow()
         where = block.positions(table["q_id"].to_numpy())
         visits = _visits(where, table["part"].to_numpy(), table["thr"].to_numpy())
-        done, final = _stage_pass(base, block, visits, ranges, k, mode, bound)
+        done, raised = _stage_pass(base, block, visits, ranges, k, mode, bound)
         hits.append(topk(hits_of(done), ("q_id", "part"), k))
         counts.append(counts_of(done))
-        rows = [
-            (int(block.ids[w]), p, float(t))
-            for p, (where, thr) in final.items()
-            for w, t in zip(where, thr)
-        ]
-        after.append(base.sparkSession.createDataFrame(rows, THRESHOLDS))
+        rises = union_or_empty(raised, base, THRESHOLDS).groupBy("q_id", "part").agg(F.max("thr").alias("__to"))
+        risen = own.join(rises, ["q_id", "part"], "left")
+        after.append(risen.select("q_id", "part", F.greatest("thr", "__to").alias("thr")))
     return Stage(
         union_or_empty(hits, base, HITS),
         union_or_empty(counts, base, COUNTS),
@@ -344,19 +491,27 @@ def full_pipeline(
     n_v: int = WARMUP_VECTORS,
     seed: int = SEED,
     sample: DataFrame | None = None,
+    groups: DataFrame | None = None,
 ) -> Pruned:
     """Prewarm, route, then search the routed partitions best first with carried thresholds.
 
     ``base`` carries ``part``. ``sample`` replaces the warm-up rows of the exact
     mode; any rows of ``base``, with their ``part``, will do.
+
+    With ``groups``, the summaries of an index whose rows also have ``cell``, the exact mode warms up on the group that a
+    query is nearest to, and one more pass searches those of its other routed groups that can
+    still reach the threshold found there; two passes, whatever ``nprobe``.
     """
-    _check(mode, bound)
+    _check(mode, bound, groups)
+    if groups is not None:
+        return _full_by_groups(queries, base, centroids, k, nprobe, n_blocks, groups)
     pooled = prewarm_pooled(queries, base, k, n_q, n_v, seed) if mode == "compat" else None
     if mode == "exact" and sample is None:
         sample = stage(sample_per_group(base, "part", "vec_id", n_v, seed), "sample")
 
     hits, counts = [], []
-    for block in query_blocks(queries):
+    # A query has a threshold for each block and visit of a pass, and its routes.
+    for block in query_blocks(queries, extra=8 * (n_blocks + 1) + 24 * nprobe):
         ranges = dim_blocks(block.vectors.shape[1], n_blocks)
         where, parts, ranks = route_block(block, centroids, nprobe)
         thr = np.full(len(block.ids), -np.inf if pooled is None else pooled)
@@ -371,20 +526,32 @@ def full_pipeline(
             visits = _visits(where[now], parts[now], thr[where[now]])
             # The k-th of the merged hits, below, covers that of the exact mode.
             carry = mode == "compat" and rank < last
-            done, after = _stage_pass(base, block, visits, ranges, k, mode, bound, carry)
+            done, raised = _stage_pass(base, block, visits, ranges, k, mode, bound, carry)
             found.append(hits_of(done))
             counts.append(counts_of(done))
             if rank < last:
-                for positions, values in after.values():
-                    thr[positions] = np.maximum(thr[positions], values)
-                _raise_by_query(thr, block, union_or_empty(found, base, HITS), k)
+                merged = kth_threshold(union_or_empty(found, base, HITS), ("q_id",), k, strict=True)
+                rises = [merged, *[r.select("q_id", "thr") for r in raised]]
+                rises = union_or_empty(rises, base, "q_id long, thr double")
+                _raise(thr, block, rises.groupBy("q_id").agg(F.max("thr").alias("thr")))
         if found:
             hits.append(topk(union_or_empty(found, base, HITS), ("q_id",), k))
-    # A partition is searched at several ranks; its counts add up.
-    summed = union_or_empty(counts, base, COUNTS).groupBy("part", "block").agg(
-        F.sum("load").alias("load"), F.sum("pruned").alias("pruned")
-    )
-    return Pruned(union_or_empty(hits, base, HITS), summed)
+    return Pruned(union_or_empty(hits, base, HITS), _summed(counts, base))
+
+
+def _full_by_groups(
+    queries: DataFrame, base: DataFrame, centroids: DataFrame, k: int, nprobe: int, n_blocks: int, groups: DataFrame
+) -> Pruned:
+    hits, counts, seen = [], [], []
+    for block in query_blocks(queries, extra=24 * nprobe):
+        where, parts, _ = route_block(block, centroids, nprobe)
+        pairs = group_bounds(block, groups, open_visits(where, parts))
+        found = _search_groups(block, base, groups, pairs, None, k, n_blocks)
+        hits.append(topk(union_or_empty(found.hits, base, PART_HITS), ("q_id",), k))
+        counts += found.counts
+        seen += found.groups
+    dropped, seen = _group_counts(seen, base)
+    return Pruned(union_or_empty(hits, base, HITS), _summed([*counts, dropped], base), seen)
 
 
 def routing_load(routes: DataFrame, centroids: DataFrame) -> DataFrame:

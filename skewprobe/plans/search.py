@@ -58,10 +58,11 @@ def search_block(
     """The best ``k`` rows per key of one block: one map over the table and one shuffle.
 
     ``visits`` names the query positions that visit a partition; by default
-    every query visits every partition. A task keeps ``k`` rows per (query,
-    partition), so one ranking serves either key.
+    every query visits every partition. A task keeps ``k`` rows per (query, partition), or per query if
+    that is all that is asked for.
     """
-    return topk(hits_of(scan(base, Probes(block, visits), k)), keys, k)
+    merged = visits is None and tuple(keys) == ("q_id",)
+    return topk(hits_of(scan(base, Probes(block, visits), k, merged=merged)), keys, k)
 
 
 def local_topk(queries: DataFrame, sharded: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -144,7 +145,8 @@ def routed_topk(
     rows of a hot partition stay spread over the tasks that read it.
     """
     found = []
-    for block in query_blocks(queries):
+    # The visits of a block are sent along with its queries, so they count for its size.
+    for block in query_blocks(queries, visits=routes):
         table = block.own(routes).select("q_id", "part").toArrow()
         where = block.positions(table["q_id"].to_numpy())
         visits = open_visits(where, table["part"].to_numpy())
@@ -188,6 +190,6 @@ def ivf_search(
     nprobe: int = NPROBE,
 ) -> Search:
     """Search the partitions each query is routed to; ``base`` carries ``part``."""
-    routes = route(queries, centroids, nprobe)
+    routes = stage(route(queries, centroids, nprobe), "routes")
     hits = routed_topk(queries, base, routes, k, ("q_id",))
     return Search(hits, scan_loads(routes, base, centroids))

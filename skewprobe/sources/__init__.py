@@ -1,6 +1,7 @@
 from skewprobe.sources.flows import merge_by_name, read_flows, trim_header
 from skewprobe.sources.sets import (
     export_labels,
+    load_groups,
     load_index,
     load_vectors,
     load_warmup,
@@ -16,6 +17,7 @@ from skewprobe.sources.sets import (
 
 __all__ = [
     "export_labels",
+    "load_groups",
     "load_index",
     "load_vectors",
     "load_warmup",

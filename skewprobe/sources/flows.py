@@ -5,13 +5,19 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skewprobe.session import stage
+
+# Where a record was read: its file, and the place in it at which the piece of the file begins
+# that was read with it.
+FILE, PIECE = "__file", "__piece"
 # Cell texts that mean "missing" in a flow file.
 MISSING = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -45,26 +51,38 @@ def merge_by_name(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _list_csv(spark: SparkSession, path: str) -> list[str]:
-    # Only the path column is read, so no file content is touched.
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .load(path)
-        .select("path")
+def scan_files(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
+    """Each ``*.csv`` below ``path`` with its header line, and whether a quoted cell of it holds a line break.
+
+    One distributed aggregate over the lines of all files, which are split like any text. A line
+    break lies inside quotes only after a line with an odd number of them.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    try:
+        lines = files.text(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no CSV files below {path}") from missing
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    # Within a task the ids follow the lines; a file begins in one task.
+    place = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    rows = lines.select(
+        F.col("_metadata.file_path").alias("file"), "value", place.alias("place"), (quotes % 2).alias("odd")
     )
-    found = sorted(row.path for row in files.collect())
-    if not found:
+    found = rows.groupBy("file").agg(F.min_by("value", "place").alias("header"), F.max("odd").alias("odd"))
+    # The path comes as a URL.
+    table = [(unquote(r["file"]), r["header"], r["odd"] == 1) for r in found.collect()]
+    if not table:
         raise FileNotFoundError(f"no CSV files below {path}")
-    return found
+    return sorted(table)
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    first = spark.read.text(_literal(path)).head()
-    if first is None:
+def _header(path: str, line: str) -> tuple[str, ...]:
+    cells = tuple(next(csv.reader([line.lstrip("\ufeff")]), ()))
+    if not cells:
         raise ValueError(f"no header line in {path}")
-    return tuple(next(csv.reader([first.value.lstrip("\ufeff")])))
+    return cells
 
 
 def _is_text(value: Column) -> Column:
@@ -79,7 +97,7 @@ def _literal(path: str) -> str:
 
 
 def _read_files(
-    spark: SparkSession, files: list[str], header: tuple[str, ...], multiline: bool
+    spark: SparkSession, files: list[str], header: tuple[str, ...], multiline: bool, places: bool
 ) -> DataFrame:
     """Files of one header as text columns; a row with more cells than the header is an error."""
     names = unique_names(header)
@@ -97,49 +115,75 @@ def _read_files(
     asked = F.coalesce(F.length(quoted(names[0])), F.lit(0)) >= 0
     over = F.col(broken).isNotNull() & (cells > len(names)) & asked
     refusal = F.raise_error(F.concat(F.lit("row with more cells than its header: "), broken))
+    where = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(PIECE)]
+    raw = raw.select("*", *(where if places else []))
     checked = raw.where(F.when(over, refusal.cast("boolean")).otherwise(True))
-    return checked.select(*[F.when(~quoted(n).isin(*MISSING), quoted(n)).alias(n) for n in names])
+    cells = [F.when(~quoted(n).isin(*MISSING), quoted(n)).alias(n) for n in names]
+    return checked.select(*cells, *([FILE, PIECE] if places else []))
 
 
 def read_flows(
-    spark: SparkSession, path: str, numeric: Sequence[str] | None = None, multiline: bool = True
+    spark: SparkSession,
+    path: str,
+    numeric: Sequence[str] | None = None,
+    multiline: bool | None = None,
+    places: bool = False,
 ) -> DataFrame:
     """All ``*.csv`` below ``path`` as one table, columns matched by trimmed name.
 
     A file is read with its own header: one reader over files whose headers
     differ would put values under the wrong names. Files are grouped by header,
-    so the plan has one scan per distinct header, not per file.
+    so the plan has one scan per distinct header, not per file. One pass over the lines finds all headers.
 
     A column becomes double when every value present in every file is a number,
     which takes one extra pass; name the ``numeric`` columns to save it.
 
     A row with more cells than its header is an error, one with fewer is filled
-    with nulls. Quoted cells may hold line breaks; for that a file is read in one
-    task. Without such cells, ``multiline=False`` lets large files be split. Files
-    whose name starts with ``_`` or ``.`` are hidden, as everywhere in Spark.
+    with nulls. Quoted cells may hold line breaks: the same pass tells which files have such, and only those are
+    read in one task each, all others are split. ``multiline`` decides for all of them instead. Files
+    whose name starts with ``_`` or ``.`` are hidden, as everywhere in Spark, and so are empty ones.
+
+    With ``places`` there are two more columns, from which :func:`number_records` makes ids.
     """
-    paths = _list_csv(spark, path)
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        headers = list(pool.map(lambda p: _header(spark, p), paths))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, header in zip(paths, headers):
-        groups.setdefault(header, []).append(file)
-
-    frames = [_read_files(spark, files, header, multiline) for header, files in groups.items()]
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for file, line, breaks in scan_files(spark, path):
+        whole = breaks if multiline is None else multiline
+        groups.setdefault((_header(file, line), whole), []).append(file)
+
+    frames = [_read_files(spark, files, header, whole, places) for (header, whole), files in groups.items()]
     merged = merge_by_name(frames)
+    names = [n for n in merged.columns if n not in (FILE, PIECE)]
 
     if numeric is None:
         is_text = merged.agg(
-            *[
-                F.coalesce(F.bool_or(_is_text(quoted(n))), F.lit(False)).alias(n)
-                for n in merged.columns
-            ]
+            *[F.coalesce(F.bool_or(_is_text(quoted(n))), F.lit(False)).alias(n) for n in names]
         ).first()
-        numeric = [n for n, text in zip(merged.columns, is_text) if not text]
+        numeric = [n for n, text in zip(names, is_text) if not text]
     chosen = set(numeric)
     return merged.select(
-        *[
-            quoted(n).try_cast("double").alias(n) if n in chosen else quoted(n).alias(n)
-            for n in merged.columns
-        ]
+        *[quoted(n).try_cast("double").alias(n) if n in chosen else quoted(n).alias(n) for n in names],
+        *([FILE, PIECE] if places else []),
+    )
+
+
+def number_records(records: DataFrame, name: str = "flow_id") -> DataFrame:
+    """``records``, written, with ``name``: their numbers from 0 in the order of file and place in it.
+
+    ``records`` come from :func:`read_flows` with ``places`` and may have been filtered, not shuffled. The numbers
+    do not depend on how files were split or dealt out to tasks. A piece of a file is read in a row by one
+    task, so only one row for each piece is needed to place it.
+    """
+    rows = stage(records.withColumn("__row", F.monotonically_increasing_id()), "records")
+    pieces = stage(
+        rows.groupBy(FILE, PIECE).agg(F.count("*").alias("__n"), F.min("__row").alias("__from")), "pieces"
     )
+    # Files first, then the pieces of each: a window holds one row for a file, or for a piece of one.
+    files = pieces.groupBy(FILE).agg(F.sum("__n").alias("__n"))
+    earlier = Window.orderBy(FILE).rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select(FILE, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__files"))
+    inner = Window.partitionBy(FILE).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__n").over(inner), F.lit(0)).alias("__pieces")
+    starts = pieces.select(FILE, PIECE, "__from", before).join(files, FILE)
+    starts = starts.select(FILE, PIECE, (F.col("__files") + F.col("__pieces") - F.col("__from")).alias("__shift"))
+    numbered = rows.join(stage(starts, "starts"), [FILE, PIECE])
+    return numbered.withColumn(name, F.col("__row") + F.col("__shift")).drop(FILE, PIECE, "__row", "__shift")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skewprobe.functions.vectors import search_cast
+from skewprobe.operators.groups import assign_groups, fit_groups, summarise
 from skewprobe.operators.sampling import sample_per_group
+from skewprobe.session import stage
 
 # The names of the query workloads.
 WORKLOADS = ("uniform", "skewed")
@@ -98,22 +100,30 @@ def load_workload(
 
 
 def write_index(
-    path: str, base: DataFrame, centroids: DataFrame, warmup_rows: int = 0
+    path: str, base: DataFrame, centroids: DataFrame, warmup_rows: int = 0, groups: int = 0
 ) -> None:
-    """The base laid out by ``part``, its centroids, and rows to warm up pruned searches.
+    """The base laid out by ``part``, its centroids, and what pruned searches start from.
 
     The rebalance hint lets the adaptive planner split a hot partition over
     several files and merge small ones, so files stay even under skew. A search
     that visits few partitions then reads only their folders. The warm-up rows,
     ``warmup_rows`` per partition, take one more pass here and save one in every
-    pruned search.
+    pruned search. With ``groups``, up to so many groups of alike rows in each partition have
+    folders and a summary of their own, see :mod:`skewprobe.operators.groups`.
     """
-    base.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(
+    folders = ["part"]
+    if groups:
+        pivots = stage(fit_groups(base, groups), "pivots")
+        base = assign_groups(base, pivots, groups)
+        folders.append("cell")
+    base.hint("rebalance", *folders).write.mode("overwrite").partitionBy(*folders).parquet(
         f"{path}/parts"
     )
     centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+    parts, _ = load_index(base.sparkSession, path)
+    if groups:
+        summarise(parts, pivots).write.mode("overwrite").parquet(f"{path}/groups")
     if warmup_rows:
-        parts, _ = load_index(base.sparkSession, path)
         sample = sample_per_group(parts, "part", "vec_id", warmup_rows)
         sample.write.mode("overwrite").parquet(f"{path}/warmup")
 
@@ -122,6 +132,11 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/parts"), spark.read.parquet(f"{path}/centroids")
 
 
+def load_groups(spark: SparkSession, path: str) -> DataFrame:
+    """The group summaries of an index written with ``groups``."""
+    return spark.read.parquet(f"{path}/groups")
+
+
 def load_warmup(spark: SparkSession, path: str) -> DataFrame:
     """The ``sample`` of a pruned search over this index."""
     return spark.read.parquet(f"{path}/warmup")

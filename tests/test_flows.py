@@ -2,13 +2,14 @@ import math
 
 import numpy as np
 import pytest
-from helpers import hits
+from helpers import brute, frame, hits, same_hits, vectors
+from pyspark.sql import functions as F
 
 from skewprobe.operators import clean, features
 from skewprobe.operators.metrics import imbalance, load_by, throughput
 from skewprobe.plans import search
 from skewprobe.plans.preprocess import preprocess
-from skewprobe.plans.report import Run, run_report
+from skewprobe.plans.report import Run, measure, run_report
 from skewprobe.sources import (
     export_labels,
     load_index,
@@ -19,6 +20,7 @@ from skewprobe.sources import (
     trim_header,
     write_index,
 )
+from skewprobe.sources.flows import FILE, PIECE, scan_files
 
 
 @pytest.fixture
@@ -71,6 +73,67 @@ def test_a_row_with_too_many_cells_is_an_error(spark, tmp_path, multiline, last)
         read_flows(spark, str(tmp_path), ["Dur"], multiline).count()
 
 
+def test_only_files_with_quoted_breaks_are_read_whole(spark, tmp_path, monkeypatch):
+    (tmp_path / "a b").mkdir()
+    lines = "".join(f'{i},"x ""{i}"", y",A\n' for i in range(4000))
+    (tmp_path / "a b" / "plain%20é.csv").write_text("Dur,Note,Label\n" + lines)
+    (tmp_path / "quoted.csv").write_text('Dur,Note,Label\n9001,"two\nlines",A\n')
+    (tmp_path / "empty.csv").write_text("")
+    found = {path.rsplit("/", 1)[1]: (line, breaks) for path, line, breaks in scan_files(spark, str(tmp_path))}
+    assert found == {"plain%20é.csv": ("Dur,Note,Label", False), "quoted.csv": ("Dur,Note,Label", True)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        flows = read_flows(spark, str(tmp_path), numeric=["Dur"], places=True)
+        pieces = flows.groupBy(FILE).agg(F.countDistinct(PIECE).alias("n")).collect()
+        notes = {int(r.Dur): r.Note for r in flows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # The large file is split though nobody asked for it; the other is one piece.
+    assert sorted(r.n > 4 for r in pieces) == [False, True]
+    assert notes == {**{i: f'x "{i}", y' for i in range(4000)}, 9001: "two\nlines"}
+
+
+def test_headers_take_one_job(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"f{i}.csv").write_text(f"Dur,Label\n{i},A\n" if i % 2 else f"Label,Dur\nA,{i}\n")
+    context = spark.sparkContext
+    context.setJobGroup("headers", "headers")
+    try:
+        flows = read_flows(spark, str(tmp_path), numeric=["Dur"])
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("headers")) <= 2
+    assert sorted(r.Dur for r in flows.collect()) == list(range(40))
+
+
+def test_rows_have_the_same_ids_however_files_are_split(spark, tmp_path):
+    raw = tmp_path / "raw"
+    (raw / "day").mkdir(parents=True)
+    for n, name in enumerate(("b.csv", "day/a.csv", "c.csv")):
+        rows = [f"{n}.{i},{'' if i % 5 == 0 else i},{'DoS' if i % 3 else 'BENIGN'}" for i in range(3000)]
+        (raw / name).write_text("x,y,Label\n" + "\n".join(rows) + "\n")
+    seen = []
+    for size in ("128m", "8k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k" if size == "8k" else "4m")
+        try:
+            out = str(tmp_path / size)
+            preprocess(spark, str(raw), out, size=50).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        clean = spark.read.parquet(f"{out}/clean")
+        ids = {r.flow_id: (r.x, r.y) for r in clean.collect()}
+        loads = spark.read.parquet(f"{out}/workloads").select("workload", "q_id").collect()
+        seen.append((ids, sorted(map(tuple, loads))))
+    assert seen[0] == seen[1]
+    ids = seen[0][0]
+    assert sorted(ids) == list(range(7200))
+    # In the order of the file and the place in it.
+    by_id = [ids[i] for i in sorted(ids)]
+    assert by_id[:4] == [(0.1, 1.0), (0.2, 2.0), (0.3, 3.0), (0.4, 4.0)] and by_id[-1] == (1.2999, 2999.0)
+
+
 def test_no_csv_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_flows(spark, str(tmp_path))
@@ -188,3 +251,18 @@ def test_run_report_with_times(spark):
     assert rows["queries", -1] == 2 and rows["shard_imbalance", -1] == 1.5
     assert rows["shard_load", 0] == 6 and rows["pruned", 1] == 2
     assert rows["qps", -1] == 1.0 and rows["p95_latency", -1] == pytest.approx(1.45)
+
+
+def test_a_measured_search_fills_the_report(spark):
+    b, q = vectors(200, dim=8, seed=41), vectors(30, dim=8, seed=42)
+    qs, base = frame(spark, q, id="q_id", vec="qv"), frame(spark, b)
+    done = measure(qs, lambda some: search.full_search(some, base, 5), batches=3)
+    same_hits(hits(done.hits), brute(q, b, 5))
+    times = {r.q_id: (r.batch, r.elapsed_s) for r in done.durations.collect()}
+    assert set(times) == set(range(30)) and all(t > 0 for _, t in times.values())
+    assert len({t for t in times.values()}) == len({i for i, _ in times.values()}) > 1
+    rows = {r.metric: r.value for r in run_report([Run("full", "uniform", qs, durations=done.durations)]).collect()}
+    assert 0 < rows["mean_latency"] <= rows["p99_latency"] and rows["p95_latency"] <= rows["p99_latency"]
+    assert rows["qps"] == pytest.approx(30 / sum(t for _, t in times.values()))
+    none = measure(qs.limit(0), lambda some: search.full_search(some, base, 5))
+    assert none.hits.count() == none.durations.count() == 0
