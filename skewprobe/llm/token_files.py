@@ -172,13 +172,15 @@ def write_token_files(
 
     Every whole text is encoded without special tokens of the tokenizer's own and followed by
     ``end`` if that is given. Null and empty texts have no ids but ``end``. Null doc ids come first; rows of equal
-    ids are ordered by text, and repeated rows are written each. Other columns are not read. An empty
-    table writes a table without files.
+    ids are ordered by a hash of the text, then by the text, and repeated rows are written each. Other columns are not
+    read. An empty table writes a table without files.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = (F.col("id").asc_nulls_first(), F.col("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    # Bounds of the ranges are sampled to the driver, so they hold numbers and no texts.
+    order = (F.col("id").asc_nulls_first(), F.col("hash"))
     ranged = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
-    ranged = ranged.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    ranged = ranged.sortWithinPartitions(*order, "text").select("id", "text", F.spark_partition_id().alias("part"))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, ids, held, seq, part = [], [], 0, 0, 0
