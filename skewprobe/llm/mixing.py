@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewprobe.llm.common import replaced, word_count
+from skewprobe.operators.order import numbered
 from skewprobe.session import stage
 
 # No document is taken more than so many times.
@@ -96,9 +97,9 @@ def mix(
     Size is the number of words; a null or empty text has 0. A null source is a
     source of its own, the last. ``copies`` is at most ``most``; ``taken`` is
     ``copies * size``. Documents without words are taken once where their source
-    has no rest to draw, and otherwise like any other. Of repeated rows, each counts; they
-    draw the same number, and which of them is taken makes no difference. Reruns
-    agree. An empty table gives an empty one. A source whose rest is smaller than its
+    has no rest to draw, and otherwise like any other. Of repeated rows, each counts. Rows of a source
+    with equal ids (null is an id) draw the same number; of rows with equal ids and sizes at the end of a draw as many
+    are taken as fit, whichever of them. Reruns agree in what each id takes. An empty table gives an empty one. A source whose rest is smaller than its
     first document may stay below it by half of that document at most. Columns of
     ``docs`` with the names of the result are replaced.
     """
@@ -127,33 +128,49 @@ def mix(
     )
     cut = stage(reached, "mix-cuts")
 
-    # Only the documents of the cut bin, about 1 in `bins`, are ranked singly.
+    # Only the documents of the cut bin, about 1 in `bins`, are ranked singly; those that tie as one.
     order = Window.partitionBy("source").orderBy("__place", "doc_id", "size")
-    near = _by_source(drawn, cut).where("__bin = __cut")
-    running = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    closer = F.col("__below") + running - F.col("size") / 2 <= F.col("__rest")
-    last = (
-        near.withColumn("__in", closer)
-        .groupBy(F.col("source").alias("__s"))
-        .agg(
-            F.first("__cut").alias("__cut"),
-            F.max(F.when(F.col("__in"), F.struct("__place", "doc_id", "size"))).alias("__last"),
-        )
-    )
-    bounds = plan.withColumnRenamed("__s", "source").join(
-        stage(last, "mix-bounds"), F.col("source").eqNullSafe(F.col("__s")), "left"
+    near = _by_source(drawn, cut).where("__bin = __cut").groupBy("source", "__place", "doc_id", "size").agg(
+        F.count("*").alias("tied"), F.first("__cut").alias("__cut"),
+        F.first("__below").alias("below"), F.first("__rest").alias("rest"),
+    )
+    words = F.col("size") * F.col("tied")
+    before = F.col("below") + F.sum(words).over(order.rowsBetween(Window.unboundedPreceding, 0)) - words
+    # A document is taken if half of it still fits: so many of those that tie.
+    fit = F.floor((F.col("rest") - F.col("before")) / F.nullif("size", F.lit(0)) + F.lit(0.5))
+    fit = F.when(F.col("size") == 0, F.when(F.col("before") <= F.col("rest"), F.col("tied")).otherwise(0)).otherwise(fit)
+    near = near.withColumn("before", before)
+    near = near.withColumn("fit", F.greatest(F.least(fit, F.col("tied")), F.lit(0)).cast("long"))
+    last = near.groupBy(F.col("source").alias("__s")).agg(
+        F.first("__cut").alias("__cut"),
+        F.max(F.when(F.col("fit") > 0, F.struct("__place", "doc_id", "size", "fit", "tied"))).alias("__end"),
     )
+    last = last.select(
+        "__s", "__cut", F.expr("struct(__end.__place, __end.doc_id, __end.size)").alias("__last"),
+        F.when(F.col("__end.fit") < F.col("__end.tied"), F.col("__end.fit")).alias("__fit"),
+    )
+    last = stage(last.withColumn("__last", F.when(F.col("__last.__place").isNotNull(), F.col("__last"))), "mix-bounds")
+    bounds = plan.withColumnRenamed("__s", "source").join(last, F.col("source").eqNullSafe(F.col("__s")), "left")
     bounds = stage(bounds.drop("__s").withColumnRenamed("source", "__s"), "mix-plan")
 
     docs = replaced(docs.withColumn("__prefer", liking), {"size": size})
     known = _drawn(docs, bounds, seed, bins)
     own = F.struct("__place", "doc_id", "size")
+    split = F.col("__fit").isNotNull() & (F.col("__bin") == F.col("__cut")) & (own == F.col("__last"))
+    split = F.coalesce(split, F.lit(False))
     extra = (
         F.when(F.col("__bin").isNull(), F.lit(False))
         .when(F.col("__cut").isNull(), F.lit(True))
         .otherwise((F.col("__bin") < F.col("__cut")) | (F.col("__bin") == F.col("__cut")) & (own <= F.col("__last")))
     )
-    copies = F.col("__whole") + F.coalesce(extra, F.lit(False)).cast("int")
+    known = known.withColumn("__extra", F.coalesce(extra, F.lit(False)))
+    if last.where("__fit is not null").limit(1).count():
+        # Rows that tie at the end of a draw, of which only some fit.
+        some = numbered(known.where(split), ["source"], "__number")
+        some = some.withColumn("__extra", F.col("__number") <= F.col("__fit")).drop("__number")
+        known = known.where(~split).unionByName(some)
+    extra = F.col("__extra")
+    copies = F.col("__whole") + extra.cast("int")
     out = replaced(
         known,
         {

@@ -56,7 +56,7 @@ WITH docs AS (
                / 4503599627370496.0::DOUBLE AS u FROM docs) d
   JOIN ratios r ON d.source IS NOT DISTINCT FROM r.source
 ), ranked AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY quotient, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM drawn
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY quotient, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto FROM drawn
 )
 SELECT doc_id, size, source_size, target,
   CAST((whole + CASE WHEN quotient IS NOT NULL AND upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
