@@ -45,8 +45,7 @@ CELLS = 1 << 15
 # Sums below this are scaled up; only their ratios over the longest piece matter.
 SMALL = 1e-150
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
-# Fixed values of two well-known mixing functions of 32 and 64 bits.
-MIX32 = (np.uint32(0x7FEB352D), np.uint32(0x846CA68B))
+# Fixed values of a well-known mixing function of 64 bits.
 MIX64 = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -228,14 +227,23 @@ def _filter(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, ...]:
     return ways, upto, ids.transpose(1, 2, 0)[there], every[there]
 
 
-def random_unit(key: np.ndarray) -> np.ndarray:
-    """A number in (0, 1) for each 32-bit key."""
-    z = key ^ (key >> np.uint32(16))
-    z *= MIX32[0]
-    z ^= z >> np.uint32(15)
-    z *= MIX32[1]
-    z ^= z >> np.uint32(16)
-    return (z + 0.5) * 2.0**-32
+def mixed(z: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that looks random."""
+    z = z ^ (z >> np.uint64(30))
+    z *= MIX64[0]
+    z ^= z >> np.uint64(27)
+    z *= MIX64[1]
+    z ^= z >> np.uint64(31)
+    return z
+
+
+def random_unit(key: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) for each 64-bit row key and mixed position.
+
+    Positions are mixed before they meet the key, so rows whose keys are near each other, or differ
+    by a few bits, share no run of draws, shifted or not.
+    """
+    return ((mixed(key ^ position) >> np.uint64(11)) + 0.5) * 2.0**-53
 
 
 def sample_ids(texts: list[str], keys: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
@@ -268,12 +276,13 @@ def _sample(texts: list[str], keys: np.ndarray, pieces: Pieces) -> list[np.ndarr
     start = np.cumsum(left) - left
     first = np.cumsum(many) - many
     start -= np.repeat(start[np.minimum(first, len(start) - 1)], many)
-    key = np.repeat(random_seed(keys.astype(np.uint64)), many) + start.astype(np.uint32)
+    key = np.repeat(mixed(keys.astype(np.uint64)), many)
+    spot = mixed(np.arange(1, int((start + left).max()) + 2, dtype=np.uint64) * MULTIPLIER)
 
     live = np.arange(len(unit))
     taken, steps = [], np.zeros(len(unit), np.int32)
     while len(live):
-        drawn = random_unit(key + left.astype(np.uint32))
+        drawn = random_unit(key, spot[start + left])
         way = lattice.first[base + left - 1]
         over = np.flatnonzero(lattice.upto[way] <= drawn)
         while len(over):
@@ -283,7 +292,7 @@ def _sample(texts: list[str], keys: np.ndarray, pieces: Pieces) -> list[np.ndarr
         steps[live] += 1
         left -= lattice.length[way]
         more = left > 0
-        live, left, base, key = live[more], left[more], base[more], key[more]
+        live, left, base, key, start = live[more], left[more], base[more], key[more], start[more]
     # Drawn from the end: the last drawn piece of an occurrence is its first.
     to = np.cumsum(steps)
     ids = np.zeros(int(to[-1]), np.int32)
@@ -293,12 +302,6 @@ def _sample(texts: list[str], keys: np.ndarray, pieces: Pieces) -> list[np.ndarr
     return [_bytes_out(x, pieces) for x in np.split(ids, np.cumsum(total)[:-1])]
 
 
-def random_seed(key: np.ndarray) -> np.ndarray:
-    z = (key ^ (key >> np.uint64(30))) * MIX64[0]
-    z = (z ^ (z >> np.uint64(27))) * MIX64[1]
-    return (z >> np.uint64(32)).astype(np.uint32)
-
-
 def _bytes_out(ids: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Put byte pieces in the place of characters without a piece."""
     if (ids >= 0).all():
