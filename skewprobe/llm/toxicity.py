@@ -7,22 +7,24 @@ kernel is scaled by the lengths and raised to a power, which keeps it a kernel a
 
 Strings are the units of a text: its words without marks, letters that stand apart
 joined, long ones in overlapping windows. A text is as toxic as its worst units.
-Labels exist for texts only, so training is by witnesses: units that are frequent in
-toxic texts and rare in others start as positive, and only those that remain the worst
-of some toxic text stay positive.
+Labels exist for texts only, so training is by witnesses: units that far more toxic texts hold
+than chance would have it start as positive, and only those that remain the worst
+of some toxic text stay positive. Equal texts count as one.
 
 Nyström landmarks, chosen among the units of both sides, map a unit to its
 kernel values with them; the machine is linear there, and a logistic curve
 turns the two worst margins of a text into a score.
 
 The machine is fitted on the driver, on a sample of at most ``docs_per_class`` labelled
-texts of each class; class shares are counted on all labels.
+texts of each class and on at most ``positives`` and ``negatives`` units of them; class shares are counted on all labels.
+Where no unit tells the classes apart nothing is fitted: a warning says so, and no text reaches a score of 0.5.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,8 +42,11 @@ from skewprobe.session import stage
 DECAY, SPAN, POWER = 0.7, 6, 3
 LANDMARKS = 192
 DOCS_PER_CLASS = 2500
-# Units taken to the driver: the most telling ones, and others dealt by a hash.
+#: Units taken to the driver: the most telling ones, and those of clean texts, half of them the most frequent
+#: and half dealt by a hash.
 POSITIVES, NEGATIVES = 1500, 30000
+#: No score of a model that could not be fitted is higher, so nothing counts as toxic.
+UNFITTED = 0.49
 ROUNDS = 4
 REGULAR = 1e-3
 # Units whose margin is so close to the worst of their text are witnesses with it.
@@ -50,15 +55,16 @@ TOGETHER = 0.5
 LONG, WINDOW, STRIDE = 24, 16, 8
 CHARS = 1 << 20
 UNITS_AT_ONCE = 1 << 13
-# Units whose margins a task remembers from earlier texts.
-REMEMBERED = 1 << 17
+# Words whose margins a task remembers from earlier texts.
+REMEMBERED = 1 << 19
 # Texts that are scored at once.
 ROWS = 1000
 SYMBOLS = 64
 NOTHING = -2.0  # the margin of a unit that is not there
-APART = re.compile(r"(?<!\S)\w(?:[\W_]+\w){2,}(?!\S)")
+# Letters and marks have no character in common, and marks are never given back: linear on any text.
+APART = re.compile(r"(?<!\S)[^\W_](?:[\W_]++[^\W_]){2,}(?!\S)")
 MARKS = re.compile(r"[\W_]+")
-UNITS = "unit string, before string, toxic int"
+UNITS = "unit string, toxic int"
 
 
 def units_of(text: str) -> list[str]:
@@ -153,15 +159,6 @@ class Model:
     prior: float
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
-    def _recalled(self, units: list[str]) -> np.ndarray:
-        """Margins, summed anew only for units not met lately; most words come again."""
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = units
-        self.known.update(zip(new, self.margins(new).tolist(), strict=True))
-        return np.array([self.known[u] for u in units])
-
     def margins(self, units: list[str]) -> np.ndarray:
         # Kernel values of a few thousand units at a time.
         blocks = [units[a : a + UNITS_AT_ONCE] for a in range(0, len(units), UNITS_AT_ONCE)]
@@ -179,37 +176,47 @@ class Model:
         return np.concatenate(out)
 
     def _worst(self, texts: list[str]) -> np.ndarray:
-        number: dict[str, int] = defaultdict(count().__next__)
-        parts = [np.array(list(map(number.__getitem__, units_of(t))), np.int64) for t in texts]
-        cut = [windows(u) for u in number]
-        names: dict[str, int] = defaultdict(count().__next__)
-        flat = np.array([names[w] for ws in cut for w in ws], np.int64)
-        owner = np.repeat(np.arange(len(cut)), [len(ws) for ws in cut])
-        margin = np.full(len(cut), NOTHING)
-        if len(flat):
-            np.maximum.at(margin, owner, self._recalled(list(names))[flat])
+        words = [units_of(text) for text in texts]
+        self._learn(set().union(*words))
         out = np.full((len(texts), 2), NOTHING)
-        for i, part in enumerate(parts):
-            top = np.sort(margin[part])[-2:]
+        for i, mine in enumerate(words):
+            margins = np.fromiter(map(self.known.__getitem__, mine), float, len(mine))
+            top = np.sort(margins if len(mine) <= 2 else np.partition(margins, len(mine) - 2)[-2:])
             out[i, : len(top)] = top[::-1]
         return out
 
+    def _learn(self, words: set[str]) -> None:
+        """The margin of every word is known afterwards; most words come again."""
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = words
+        new = list(new)
+        cut = [windows(w) for w in new]
+        number: dict[str, int] = defaultdict(count().__next__)
+        flat = np.array([number[w] for ws in cut for w in ws], np.int64)
+        margin = np.full(len(new), NOTHING)
+        if len(flat):
+            owner = np.repeat(np.arange(len(new)), [len(ws) for ws in cut])
+            np.maximum.at(margin, owner, self.margins(list(number))[flat])
+        self.known.update(zip(new, margin.tolist(), strict=True))
+
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.kernel is None:
-            return np.full(len(texts), self.prior)
+            return np.full(len(texts), min(self.prior, UNFITTED))
         worst = self.worst(texts)
         return 1 / (1 + np.exp(-np.clip(worst @ self.curve[:2] + self.curve[2], -500, 500)))
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS,
-    landmarks: int = LANDMARKS, seed: int = 11,
+    docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS, positives: int = POSITIVES,
+    negatives: int = NEGATIVES, landmarks: int = LANDMARKS, seed: int = 11,
 ) -> Model:
     """A model from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, toxic``).
 
     Labels other than 0 and 1 and null ids are left out; of several labels of a document the
-    highest counts. Without texts of both classes the model gives every text the share of
-    toxic labels (0 without labels).
+    highest counts. Without texts of both classes, or without a unit that tells them apart, nothing can be
+    fitted: there is a warning, and the model gives every text the share of toxic labels, 0.49 at most.
     """
     known = (
         labels.where("toxic in (0, 1) and doc_id is not null")
@@ -225,42 +232,40 @@ def train(
     sample = stage(sample.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic"), "toxic-texts")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return Model(None, np.zeros(0), 0.0, np.zeros(3), prior)
+        return _unfitted(prior, "there are no labelled texts of both classes")
 
     def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
-                found = [w for u in units_of(text) for w in windows(u)]
-                if not found:
-                    continue
-                first = dict(zip(reversed(found), reversed(["", *found[:-1]]), strict=True))
-                yield pd.DataFrame(
-                    {"unit": list(first), "before": list(first.values()), "toxic": np.full(len(first), toxic, np.int32)}
-                )
-
-    # What copies of a text repeat comes after the same unit, and counts once.
-    contexts = sample.select("text", "toxic").mapInPandas(explode, UNITS).distinct()
-    counted = contexts.groupBy("unit").agg(
+                found = list({w for u in set(units_of(text)) for w in windows(u)})
+                yield pd.DataFrame({"unit": found, "toxic": np.full(len(found), toxic, np.int32)})
+
+    # Copies of a text are one witness.
+    texts = sample.select("text", "toxic").distinct()
+    counted = texts.mapInPandas(explode, UNITS).groupBy("unit").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
     )
     counted = stage(counted, "toxic-units")
     sums = counted.agg(F.count("*"), F.sum("bad"), F.sum("good")).first()
     if not sums[1] or not sums[2]:
-        return Model(None, np.zeros(0), 0.0, np.zeros(3), prior)
+        return _unfitted(prior, "the texts of a class have no words")
     share, n = sums[1] / (sums[1] + sums[2]), F.col("bad") + F.col("good")
-    # The Chernoff bound of seeing so many toxic contexts by chance, as -log: with that of all
+    # The Chernoff bound of meeting so many toxic texts by chance, as -log: with that of all
     # units together a unit has to be above chance, however few or many texts there are.
     telling = F.col("bad") * F.log(F.col("bad") / n / share) + F.when(
         F.col("good") > 0, F.col("good") * F.log(F.col("good") / n / (1 - share))
     ).otherwise(0.0)
-    # And at least halfway from the share that chance gives to all of its contexts.
+    # And at least halfway from the share that chance gives to all of its texts.
     more = F.col("bad") > (1 + share) / 2 * n
     best = counted.where("bad > 0").withColumn("telling", telling)
     best = best.where((F.col("telling") > math.log(sums[0])) & more)
-    best = best.orderBy(F.desc("telling"), "unit").limit(POSITIVES).toPandas()
-    other = counted.where("good > 0").orderBy(F.xxhash64(F.lit(seed), "unit"), "unit").limit(NEGATIVES).toPandas()
+    best = best.orderBy(F.desc("telling"), "unit").limit(positives).toPandas()
+    clean = counted.where("good > 0")
+    common = clean.orderBy(F.desc("good"), "unit").limit(negatives // 2).toPandas()
+    dealt = clean.orderBy(F.xxhash64(F.lit(seed), "unit"), "unit").limit(negatives - negatives // 2).toPandas()
+    other = pd.concat([common, dealt]).drop_duplicates("unit")
     if not len(best) or not len(other):
-        return Model(None, np.zeros(0), 0.0, np.zeros(3), prior)
+        return _unfitted(prior, "no unit tells the classes apart")
     other = other[~other["unit"].isin(best["unit"])]
     model = _fit(best, other, landmarks, prior, seed)
 
@@ -274,6 +279,11 @@ def train(
     return _calibrate(sample, model, sizes, shares)
 
 
+def _unfitted(prior: float, why: str) -> Model:
+    warnings.warn(f"no toxicity model was fitted: {why}; no text is judged toxic", stacklevel=3)
+    return Model(None, np.zeros(0), 0.0, np.zeros(3), prior)
+
+
 def _witnesses(sample: DataFrame, model: Model, best: pd.DataFrame) -> np.ndarray:
     names = best["unit"].tolist()
     margin = dict(zip(names, model.margins(names).tolist(), strict=True))
