@@ -15,12 +15,13 @@ through, which the count then drops, and never holds a frequent one back.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -41,10 +42,11 @@ UNKNOWN = "und"
 # Bits of a filter for each key, and at most: 128 MB go to each executor.
 KEY_BITS, MOST_BITS = 16, 1 << 30
 SEED = 42
-# Phrases a task holds before it hands on their counts, and words in the chunks it takes at a time.
-HELD = 1 << 18
+# Words in the chunks that a task takes at a time.
+HELD = 1 << 19
 SALTS = 64
 BREAK = re.compile(rb"[.,;:!?\n-\r]+")
+Phrases = Callable[[str, "Tokens"], "Counted"]
 CHUNKS = "lang string, chunk string, own int"
 COUNTS = "lang string, phrase string, n long"
 
@@ -110,9 +112,10 @@ class Filter:
     def __init__(self, frequent: DataFrame):
         keys = frequent.count()
         self.bits = 1 << min(max(KEY_BITS * keys, 64).bit_length(), MOST_BITS.bit_length() - 1)
-        key = F.concat_ws("\n", "lang", "phrase")
-        spots = F.explode(F.array(*[F.xxhash64(F.concat(key, F.lit("\n" * i))) for i in range(2)]))
-        at = frequent.select(spots.alias("h")).select(F.expr(f"h & {self.bits - 1}L").alias("at"))
+        mask = f"{self.bits - 1}L"
+        # Two places from both halves of one hash.
+        hashed = frequent.select(F.xxhash64(F.concat_ws("\n", "lang", "phrase")).alias("h"))
+        at = hashed.select(F.explode(F.expr(f"array(h & {mask}, shiftrightunsigned(h, 32) & {mask})")).alias("at"))
         words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
             F.bit_or(F.expr("shiftleft(1L, int(at & 63))")).alias("set")
         )
@@ -121,99 +124,132 @@ class Filter:
         table[found["word"].to_numpy()] = found["set"].to_numpy()
         self.table: Broadcast = frequent.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
-    def passes(self, lang: str, phrases: list[bytes]) -> set[bytes]:
-        """Those that may be frequent: all that are, and few others."""
-        if not phrases:
-            return set()
-        table, head = self.table.value, lang.encode() + b"\n"
-        ok = np.ones(len(phrases), bool)
-        for i in range(2):
-            tail = b"\n" * i
-            h = np.array([xxhash.xxh64_intdigest(head + p + tail, SEED) for p in phrases], np.uint64)
-            at = h & np.uint64(self.bits - 1)
+    def passes(self, lang: str, phrases: pa.Array) -> np.ndarray:
+        """Which of them may be frequent: all that are, and few others."""
+        table, head, mask = self.table.value, lang.encode() + b"\n", np.uint64(self.bits - 1)
+        h = np.array([xxhash.xxh64_intdigest(head + p, SEED) for p in phrases.to_pylist()], np.uint64)
+        ok = np.ones(len(h), bool)
+        for at in (h & mask, (h >> np.uint64(32)) & mask):
             ok &= (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return {p for p, good in zip(phrases, ok.tolist(), strict=True) if good}
+        return ok
 
 
-def _pieces(chunk: bytes, own: int) -> Iterator[tuple[list[bytes], int]]:
-    """The pieces of a chunk, each with the number of its own words."""
-    for piece in chunk.split(b"\n"):
-        words = piece.split(b" ")
-        mine = min(own, len(words))
-        own -= mine
-        if mine:
-            yield words, mine
+@dataclass
+class Tokens:
+    """Words of many chunks of one language in a row, with a break between pieces and chunks."""
 
+    names: pa.Array  # the different words
+    word: np.ndarray  # their numbers; the break is -1
+    times: np.ndarray  # how often the chunk of each word occurs, 0 for words that are not its own
 
-Phrases = Callable[[str, list[tuple[list[bytes], int]]], Iterator[bytes]]
 
+def tokens_of(chunks: pa.Array, owns: np.ndarray, times: np.ndarray) -> Tokens:
+    # Pieces end at a line feed; as a word of its own it is the break, also after every chunk.
+    text = pc.replace_substring(chunks, b"\n", b" \n ")
+    text = pc.binary_join_element_wise(text, b"\n", b" ")
+    split = pc.split_pattern(text, b" ")
+    coded = split.flatten().dictionary_encode()
+    word = coded.indices.to_numpy().astype(np.int64)
+    gap = pc.index(coded.dictionary, pa.scalar(b"\n", pa.binary())).as_py()
+    broken = word == gap
+    # The number of each word in its chunk; the own ones come first.
+    sizes = np.diff(split.offsets.to_numpy())
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    before = np.cumsum(~broken) - ~broken
+    own = before - before[start] < np.repeat(owns, sizes)
+    return Tokens(coded.dictionary, np.where(broken, -1, word), np.where(own & ~broken, np.repeat(times, sizes), 0))
 
-def _count(chunks: DataFrame, phrases: Phrases, least: int, name: str) -> DataFrame:
-    """Phrases with at least ``least`` occurrences.
 
-    ``phrases(lang, pieces)`` gives the phrases that begin with an own word of the pieces, all at once.
-    """
+def _distinct(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the first of each key, the number of each key, and the sum of its times."""
+    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    return first, number, np.bincount(number, times, len(first)).astype(np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-        for batch in batches:
-            # Chunks that occur equally often are counted together.
-            alike: dict[tuple[str, int], list] = {}
-            chunk_bytes = batch.column("chunk").cast(pa.binary()).to_pylist()
-            others = (batch.column(c).to_pylist() for c in ("lang", "own", "times"))
-            for chunk, lang, own, times in zip(chunk_bytes, *others, strict=True):
-                alike.setdefault((lang, times), []).extend(_pieces(chunk, own))
-            for (lang, times), pieces in alike.items():
-                total = held.setdefault(lang, Counter())
-                if times == 1:
-                    total.update(phrases(lang, pieces))
-                else:
-                    for phrase, n in Counter(phrases(lang, pieces)).items():
-                        total[phrase] += n * times
-            if sum(map(len, held.values())) >= HELD:
-                yield from _counted(held)
-                held = {}
-        yield from _counted(held)
 
-    found = chunks.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return stage(found.where(F.col("n") >= least), name)
+Counted = Iterator[tuple[pa.Array, np.ndarray]]
+
+
+def _words(lang: str, t: Tokens) -> Counted:
+    own = t.word >= 0
+    n = np.bincount(t.word[own], t.times[own], len(t.names)).astype(np.int64)
+    yield t.names, n
 
 
-def _counted(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    for lang, total in held.items():
-        columns = [pa.array([lang] * len(total), pa.string()), _strings(list(total)), pa.array(list(total.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
+def _frequent_pairs(lang: str, t: Tokens, words_ok: Filter) -> tuple[np.ndarray, np.ndarray]:
+    """Where two frequent words stand together, and a key for them."""
+    ok = np.append(words_ok.passes(lang, t.names), False)  # the last one stands for the break
+    good = ok[t.word]
+    at = np.flatnonzero(good[:-1] & good[1:])
+    return at, t.word[at] * len(t.names) + t.word[at + 1]
 
 
-def _words(lang: str, pieces: list[tuple[list[bytes], int]]) -> Iterator[bytes]:
-    return (w for words, mine in pieces for w in words[:mine])
+def _joined(t: Tokens, at: np.ndarray, size: int) -> pa.Array:
+    """The phrases of ``size`` words that begin at the places ``at``."""
+    return pc.binary_join_element_wise(*[t.names.take(pa.array(t.word[at + i])) for i in range(size)], b" ")
 
 
 def _pairs(words_ok: Filter) -> Phrases:
-    def phrases(lang: str, pieces: list) -> Iterator[bytes]:
-        ok = words_ok.passes(lang, list({w for words, _ in pieces for w in words}))
-        for words, mine in pieces:
-            for i, (a, b) in enumerate(zip(words, words[1:])):
-                if i < mine and a in ok and b in ok:
-                    yield a + b" " + b
+    def phrases(lang: str, t: Tokens) -> Counted:
+        at, key = _frequent_pairs(lang, t, words_ok)
+        first, _, n = _distinct(key, t.times[at])
+        yield _joined(t, at[first], 2), n
 
     return phrases
 
 
-def _longer(pairs_ok: Filter, longest: int) -> Phrases:
-    def phrases(lang: str, pieces: list) -> Iterator[bytes]:
-        pairs = [[a + b" " + b for a, b in zip(words, words[1:])] for words, _ in pieces]
-        ok = pairs_ok.passes(lang, list({p for ps in pairs for p in ps}))
-        for (words, mine), mark in zip(pieces, pairs, strict=True):
-            for i in range(min(mine, len(words) - 2)):
-                for size in range(3, longest + 1):
-                    if i + size > len(words) or mark[i + size - 2] not in ok or mark[i] not in ok:
-                        break
-                    yield b" ".join(words[i : i + size])
+def _longer(words_ok: Filter, pairs_ok: Filter, longest: int) -> Phrases:
+    def phrases(lang: str, t: Tokens) -> Counted:
+        at, key = _frequent_pairs(lang, t, words_ok)
+        first, number, _ = _distinct(key, t.times[at])
+        good = pairs_ok.passes(lang, _joined(t, at[first], 2))[number]
+        # A number for the frequent pair that begins at each place, else -1.
+        pair = np.full(len(t.word), -1, np.int64)
+        pair[at[good]] = number[good]
+        here, name = at[good], number[good]
+        for size in range(3, longest + 1):
+            more = here + size - 2
+            keep = pair[more] >= 0
+            here, key = here[keep], name[keep] * len(t.names) + t.word[more[keep] + 1]
+            first, name, n = _distinct(key, t.times[here])
+            yield _joined(t, here[first], size), n
 
     return phrases
 
 
+def _count(chunks: DataFrame, phrases: Phrases, least: int, name: str) -> DataFrame:
+    """Phrases with at least ``least`` occurrences.
+
+    ``phrases`` gives the different phrases that begin with an own word of the chunks, with their occurrences.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, words = [], 0
+        for batch in batches:
+            held.append(batch)
+            words += pc.sum(batch.column("own")).as_py() or 0
+            if words >= HELD:
+                yield from _counted(held, phrases)
+                held, words = [], 0
+        if held:
+            yield from _counted(held, phrases)
+
+    found = chunks.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return stage(found.where(F.col("n") >= least), name)
+
+
+def _counted(held: list[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(held).combine_chunks()
+    for lang in pc.unique(table["lang"]).to_pylist():
+        mine = table.filter(pc.equal(table["lang"], lang)).combine_chunks()
+        chunks = mine["chunk"].combine_chunks().cast(pa.binary())
+        tokens = tokens_of(chunks, mine["own"].to_numpy(), mine["times"].to_numpy())
+        for names, n in phrases(lang, tokens):
+            met = np.flatnonzero(n)
+            found = names.take(pa.array(met)).cast(pa.string(), safe=False)
+            columns = [pa.array([lang] * len(met), pa.string()), found, pa.array(n[met], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
+
+
 def phrase_counts(
     docs: DataFrame, longest: int = LONGEST, least: int = LEAST, trigger: int = TRIGGER
 ) -> tuple[DataFrame, DataFrame]:
@@ -225,9 +261,10 @@ def phrase_counts(
     total = stage(chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("times")).alias("n")), "phrase-words")
     found = [_count(chunks, _words, least, "phrases-1")]
     if longest > 1:
-        found.append(_count(chunks, _pairs(Filter(found[-1])), least, "phrases-2"))
+        words_ok = Filter(found[0])
+        found.append(_count(chunks, _pairs(words_ok), least, "phrases-2"))
     if longest > 2:
-        found.append(_count(chunks, _longer(Filter(found[-1]), longest), least, "phrases-3"))
+        found.append(_count(chunks, _longer(words_ok, Filter(found[1]), longest), least, "phrases-3"))
     counts = found[0]
     for more in found[1:]:
         counts = counts.unionByName(more)
