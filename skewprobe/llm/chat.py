@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
 The turns of a conversation are collected as structs, sorted, adjacent turns of
-one role are merged by an array aggregation, and the blocks are concatenated.
+one role are merged by array aggregation, and the blocks are concatenated. Arrays are cut and
+joined, never grown or sliced turn by turn, so the work is about linear in the turns.
 
 The format of a block is ``<|role|>text<|end|>``, with ``<|next|>`` between the
 texts of merged turns. Control strings inside roles and texts are escaped
@@ -21,7 +22,8 @@ NEXT, END = "<|next|>", "<|end|>"
 CONTROL = ("<|", "|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 MARK = "~"
 CODES = "abcdefghijklmnopqrstuvwxyz"
-TURN = "struct<turn:bigint,role:string,text:string>"
+# Elements that running sums and cuts of a long text take together.
+RUN = 256
 
 
 def escape(text: Column, control: tuple[str, ...] = CONTROL) -> Column:
@@ -70,66 +72,61 @@ def format_chats(
         ),
     )
     grouped = grouped.select("conv_id", safe.alias("turns"))
-    merged = F.aggregate("turns", _no_blocks(), _merge)
-    blocks = grouped.select("conv_id", merged.alias("blocks"))
-    # Each block as its pieces; the text pieces alternate with marks.
-    pieces = F.flatten(F.transform("blocks", _pieces))
-    blocks = blocks.select("conv_id", pieces.alias("pieces"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<start:int,length:int>>").alias("spans"))
-    spans = F.aggregate("pieces", start, _span, lambda s: s["spans"])
+    # A turn opens a block where the role changes, and ends the one before; else it goes on with it.
+    # Text pieces alternate with marks.
+    turn = F.col("turns")
+    pieces = F.flatten(F.transform(turn, lambda t, i: _pieces(t, F.get(turn, i - 1), i)))
+    end = F.array(_piece(F.lit(END), F.lit(False)))
+    blocks = grouped.select("conv_id", F.concat(pieces, end).alias("pieces"))
+    lengths = F.transform("pieces", lambda p: F.length(p["text"]))
+    blocks = blocks.withColumn("starts", running_sums(lengths))
+    spans = F.zip_with(
+        "pieces",
+        "starts",
+        lambda p, at: F.when(p["learn"], F.struct(at.alias("start"), F.length(p["text"]).alias("length"))),
+    )
     return blocks.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),
-        spans.alias("loss"),
+        F.filter(spans, lambda s: s.isNotNull()).alias("loss"),
     )
 
 
-def _no_blocks() -> Column:
-    return F.expr("array()").cast("array<struct<role:string,learn:boolean,texts:array<string>>>")
+def _runs(items: Column) -> Column:
+    """The array in runs of :data:`RUN`; the last may be shorter."""
+    runs = F.sequence(F.lit(0), F.ceil(F.size(items) / RUN).cast("int") - 1)
+    cut = F.transform(runs, lambda i: F.slice(items, i * RUN + 1, RUN))
+    return F.when(F.size(items) > 0, cut).otherwise(F.slice(cut, 1, 0))
 
 
-def _merge(blocks: Column, turn: Column) -> Column:
-    """Append the turn to the last block if it has the same role, else as a block."""
-    last = F.element_at(blocks, -1)
-    same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == turn["role"])
-    more = F.struct(
-        turn["role"].alias("role"),
-        turn["learn"].alias("learn"),
-        F.concat(last["texts"], F.array(turn["text"])).alias("texts"),
+def _sums_before(numbers: Column) -> Column:
+    """For each number the sum of those before it; for short arrays."""
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("sums"))
+    return F.aggregate(
+        numbers,
+        start,
+        lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["sums"], s["at"]).alias("sums")),
+        lambda s: s["sums"],
     )
-    new = F.struct(turn["role"].alias("role"), turn["learn"].alias("learn"), F.array(turn["text"]).alias("texts"))
-    return F.when(
-        same, F.concat(F.slice(blocks, 1, F.size(blocks) - 1), F.array(more))
-    ).otherwise(F.concat(blocks, F.array(new)))
 
 
-def _piece(text: Column, learn: Column) -> Column:
-    return F.struct(text.alias("text"), learn.alias("learn"))
+def running_sums(numbers: Column) -> Column:
+    """For each number the sum of those before it: within runs, then over the sums of the runs."""
+    runs = _runs(numbers)
+    totals = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x))
+    inner = F.transform(runs, _sums_before)
+    return F.flatten(F.zip_with(inner, _sums_before(totals), lambda sums, at: F.transform(sums, lambda x: x + at)))
 
 
-def _pieces(block: Column) -> Column:
-    head = F.array(_piece(F.concat(F.lit(OPEN), block["role"], F.lit(CLOSE)), F.lit(False)))
-    body = F.flatten(
-        F.transform(
-            block["texts"],
-            lambda t, i: F.array(
-                _piece(F.when(i > 0, F.lit(NEXT)).otherwise(F.lit("")), F.lit(False)),
-                _piece(t, block["learn"]),
-            ),
-        )
-    )
-    return F.concat(head, body, F.array(_piece(F.lit(END), F.lit(False))))
+def _piece(text: Column, learn: Column) -> Column:
+    return F.struct(text.alias("text"), learn.alias("learn"))
 
 
-def _span(state: Column, piece: Column) -> Column:
-    length = F.length(piece["text"])
-    span = F.struct(state["at"].alias("start"), length.alias("length"))
-    return F.struct(
-        (state["at"] + length).alias("at"),
-        F.when(piece["learn"], F.concat(state["spans"], F.array(span)))
-        .otherwise(state["spans"])
-        .alias("spans"),
-    )
+def _pieces(turn: Column, last: Column, i: Column) -> Column:
+    """The mark before a turn, and its text."""
+    head = F.concat(F.lit(OPEN), turn["role"], F.lit(CLOSE))
+    mark = F.when(i == 0, head).when(turn["role"] == last["role"], F.lit(NEXT)).otherwise(F.concat(F.lit(END), head))
+    return F.array(_piece(mark, F.lit(False)), _piece(turn["text"], turn["learn"]))
 
 
 def read_chats(formatted: Column, control: tuple[str, ...] = CONTROL) -> Column:
@@ -149,5 +146,18 @@ def read_chats(formatted: Column, control: tuple[str, ...] = CONTROL) -> Column:
 
 def read_loss(formatted: Column, loss: Column, control: tuple[str, ...] = CONTROL) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    texts = F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]), control))
-    return F.array_join(texts, "")
+
+    # A long text is cut once for each run of spans, since a cut counts characters from the start.
+    def region(run: Column) -> Column:
+        first, last = F.get(run, F.lit(0)), F.element_at(run, -1)
+        text = F.substring(formatted, first["start"] + 1, last["start"] + last["length"] - first["start"])
+        return F.struct(run.alias("run"), first["start"].alias("from"), text.alias("text"))
+
+    def texts(part: Column) -> Column:
+        cut = F.transform(
+            part["run"],
+            lambda s: unescape(F.substring(part["text"], s["start"] - part["from"] + 1, s["length"]), control),
+        )
+        return F.array_join(cut, "")
+
+    return F.array_join(F.transform(F.transform(_runs(loss), region), texts), "")
