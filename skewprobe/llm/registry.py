@@ -19,7 +19,7 @@ from skewprobe.llm.mixing import mix
 from skewprobe.llm.pages import main_text
 from skewprobe.llm.phrases import collocations
 from skewprobe.llm.pieces import decode_ids, encode_texts
-from skewprobe.llm.simhash import simhash_groups
+from skewprobe.llm.simhash import simhash_ids
 from skewprobe.llm.token_files import read_token_files, token_file_folder, write_token_files
 from skewprobe.llm.toxicity import score_docs, train
 from skewprobe.llm.urls import RULES, judge_urls
@@ -71,7 +71,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return simhash_groups(docs, words=3).select("doc_id", "fingerprint", "component_id")
+    return simhash_ids(docs, words=3)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

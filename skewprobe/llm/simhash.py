@@ -116,6 +116,18 @@ def simhash_groups(
     return replaced(out, named).drop("__fp", "__root", "__id", "__heads")
 
 
+def simhash_ids(
+    docs: DataFrame, words: int = 3, distance: int = DISTANCE, groups: tuple[int, ...] = GROUPS
+) -> DataFrame:
+    """``doc_id``, ``fingerprint`` and ``component_id`` of each row, as in :func:`simhash_groups`.
+
+    Without the other columns the texts are read and hashed once.
+    """
+    slim, classes = _classes(docs, words, distance, groups)
+    named = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return slim.join(classes, slim["fp"] == classes["__f"]).select("doc_id", named, F.col("__id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, words: int, distance: int = DISTANCE, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """``docs`` with one document of each component: the one that names it.
 
@@ -128,7 +140,10 @@ def keep_one(docs: DataFrame, words: int, distance: int = DISTANCE, groups: tupl
     return single.unionByName(several).drop("__fp", "__root", "__id", "__heads")
 
 
-def _classified(docs: DataFrame, words: int, distance: int, groups: tuple[int, ...]) -> DataFrame:
+def _classes(
+    docs: DataFrame, words: int, distance: int, groups: tuple[int, ...]
+) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of each row, and the component of each fingerprint, both written."""
     slim = stage(docs.select("doc_id", simhash(F.col("text"), words).alias("fp")), "fingerprints")
     nodes = slim.groupBy("fp").agg(F.min("doc_id").alias("first"))
     nodes = stage(nodes, "distinct-fingerprints")
@@ -150,8 +165,14 @@ def _classified(docs: DataFrame, words: int, distance: int, groups: tuple[int, .
         F.col("fp").alias("__f"), F.col("root").alias("__root"),
         F.col("id").alias("__id"), F.col("heads").alias("__heads"),
     )
+    return slim, stage(classes, "classes")
+
+
+def _classified(docs: DataFrame, words: int, distance: int, groups: tuple[int, ...]) -> DataFrame:
+    _, classes = _classes(docs, words, distance, groups)
+    # Hashed again: that costs less than to send the texts along.
     rows = docs.withColumn("__fp", simhash(F.col("text"), words))
-    return rows.join(stage(classes, "classes"), F.col("__fp") == F.col("__f"), "left").drop("__f")
+    return rows.join(classes, F.col("__fp") == F.col("__f"), "left").drop("__f")
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, groups: tuple[int, ...] = GROUPS) -> DataFrame:
