@@ -40,7 +40,9 @@ def _long_enough(key: bytes, least: int) -> bool:
     return len(key) >= least and (len(key) >= 4 * least or len(key.decode()) >= least)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, distinct: bool = False
+) -> DataFrame:
     """``docs`` with the common lines taken out of ``text``; adds ``n_lines`` and ``n_dropped``.
 
     A line ends at a line feed. Lines whose key has at least ``min_chars`` code
@@ -49,7 +51,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
 
     A null or empty text is one empty line. A text of which nothing is left
     becomes empty, and a null text too. Every row is a document: a repeated row
-    counts again, also under the same id. No id is read, so null ids do no harm. Columns named like
+    counts again, also under the same id. With ``distinct`` equal texts count as one document, so that a text
+    with many copies keeps its lines. No id is read, so null ids do no harm. Columns named like
     the result are replaced. An empty table gives an empty one.
     """
     doc = F.md5(F.coalesce("text", F.lit("")))
@@ -71,7 +74,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
             )
 
     keys = stage(docs.select(doc.alias("doc"), "text").mapInArrow(explode, KEYS), "line-keys")
-    counts = keys.groupBy("a", "b").agg(F.count("*").alias("n"))
+    met = keys.distinct() if distinct else keys
+    counts = met.groupBy("a", "b").agg(F.count("*").alias("n"))
     common = stage(counts.where(F.col("n") >= min_docs).select("a", "b"), "common-lines")
     # A set per text: what copies of a text repeat is combined before it is sent.
     drops = (
