@@ -57,7 +57,12 @@ def judge_urls(
     mine = best.select(
         F.col("host").alias("__h"), F.col("path").alias("__p"), F.col("best").alias("__best")
     )
-    joined = pages.join(mine, (pages["host"] == F.col("__h")) & (pages["path"] == F.col("__p")), "left")
+    # No rule fits an empty host: such rows are dealt out, and meet nothing.
+    apart = F.when(F.col("host") == "", F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)) + 1).otherwise(0)
+    spread = pages.withColumn("__apart", apart)
+    mine = mine.withColumn("__none", F.lit(0))
+    same = (spread["host"] == F.col("__h")) & (spread["path"] == F.col("__p"))
+    joined = spread.join(mine, same & (spread["__apart"] == F.col("__none")), "left")
     out = replaced(
         joined,
         {
@@ -65,7 +70,7 @@ def judge_urls(
             "verdict": F.coalesce(F.col("__best.action"), F.lit(default)),
         },
     )
-    return out.drop("__h", "__p", "__best")
+    return out.drop("__h", "__p", "__best", "__apart", "__none")
 
 
 def _labels(host: Column) -> Column:
