@@ -8,6 +8,9 @@ enough directions is verified with its true distance. A query is done in a
 block once the k-th verified distance is within the radius of the windows: a
 row closer than that radius is in each window with a known probability, so that it
 misses the collision threshold with a small known probability.
+
+A few blocks are searched first. The k-th distance found there is at least the final one, so no
+window of any other block grows beyond it.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ FIRST, GROWTH = 0.9, 1.12
 # That distance: the median over some rows of the block of their distance to the row at this place.
 PLACE, PROBES = 11, 16
 BLOCK_ROWS = 4096
+# Blocks that are searched first.
+FIRST_BLOCKS = 2
 INDEX = "block long, n int, ids binary, rows binary, places binary, order binary, typical double"
 HITS = "query_id long, vec_id long, score double"
 
@@ -46,7 +51,7 @@ def build_index(
 ) -> DataFrame:
     """The written index: a row for each block of rows, with its sorted arrays.
 
-    Every usable row is in it once. Rows are dealt to blocks by a hash, so a label
+    Every usable row is in it once. Rows are dealt to blocks by a hash of id and vector, so a label
     or a run of equal vectors is not together.
     """
     rows = staged_vectors(df, vec_id, vector, "search-rows")
@@ -54,7 +59,7 @@ def build_index(
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
 
     def build(key: tuple[int], part: pd.DataFrame) -> pd.DataFrame:
-        # Equal vectors share a block; it is cut where they make it too long.
+        # Repeated rows share a block; it is cut where they make it too long.
         pieces = [part[at : at + 2 * block_rows] for at in range(0, len(part), 2 * block_rows)]
         return pd.DataFrame([_block(key[0], piece, count, seed) for piece in pieces])
 
@@ -66,7 +71,8 @@ def _block(block: int, part: pd.DataFrame, count: int, seed: int) -> dict:
     shadow = (rows @ directions(rows.shape[1], count, seed)).T.astype(np.float32)
     order = shadow.argsort(1, kind="stable").astype(np.uint16)
     probes = rows[:: max(1, len(rows) // PROBES)][:PROBES]
-    apart = np.sqrt(np.maximum(((probes[:, None] - rows[None]) ** 2).sum(2), 0))
+    squares = (rows * rows).sum(1)
+    apart = np.sqrt(np.maximum(squares[:: max(1, len(rows) // PROBES)][:PROBES, None] + squares - 2 * probes @ rows.T, 0))
     typical = float(np.median(np.sort(apart, 1)[:, min(PLACE, len(rows)) - 1]))
     return {
         "block": block, "n": len(part), "ids": part["id"].to_numpy(np.int64).tobytes(),
@@ -105,7 +111,8 @@ def search(
     results = []
     for block in range(blocks):
         some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toPandas()
-        found = index.mapInPandas(_searcher(some, k, count, seed), HITS)
+        bounds = _bounds(index.where(F.col("block") < FIRST_BLOCKS), some, k, count, seed)
+        found = index.mapInPandas(_searcher(some, bounds, k, count, seed), HITS)
         results.append(stage(_ranked(found, k), "search-hits"))
     out = results[0]
     for more in results[1:]:
@@ -120,7 +127,18 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _searcher(asked: pd.DataFrame, k: int, count: int, seed: int):
+def _bounds(index: DataFrame, asked: pd.DataFrame, k: int, count: int, seed: int) -> np.ndarray:
+    """For each query the k-th distance among the rows of some blocks, without a bound if they are fewer."""
+    bounds = np.full(len(asked), np.inf)
+    found = _ranked(index.mapInPandas(_searcher(asked, bounds, k, count, seed), HITS), k)
+    last = found.where(F.col("rank") == k).select("query_id", "score").toPandas()
+    order = np.argsort(asked["query_id"].to_numpy(np.int64))
+    at = order[np.searchsorted(asked["query_id"].to_numpy(np.int64), last["query_id"], sorter=order)]
+    bounds[at] = last["score"]
+    return bounds
+
+
+def _searcher(asked: pd.DataFrame, bounds: np.ndarray, k: int, count: int, seed: int):
     ids = asked["query_id"].to_numpy(np.int64)
     rows = rows_of(asked["q"])
 
@@ -131,7 +149,7 @@ def _searcher(asked: pd.DataFrame, k: int, count: int, seed: int):
         for frame in frames:
             for block in frame.itertuples(index=False):
                 own = Block(block, count)
-                found = own.nearest(ids, rows, shadow, k)
+                found = own.nearest(ids, rows, shadow, k, bounds)
                 yield pd.DataFrame(
                     {
                         "query_id": np.repeat(ids, [len(near) for near, _ in found]),
@@ -157,21 +175,23 @@ class Block:
         self.least = math.floor(count * inside - SAFETY * math.sqrt(count * inside * (1 - inside)))
 
     def nearest(
-        self, queries: np.ndarray, rows: np.ndarray, shadow: np.ndarray, k: int
+        self, queries: np.ndarray, rows: np.ndarray, shadow: np.ndarray, k: int, bounds: np.ndarray
     ) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids and distances found for each query, nearest first."""
+        """Ids and distances found for each query, nearest first; rows beyond its bound are of no use."""
         # Where all rows are equal, a millionth of the length of the query.
         length = np.sqrt((rows * rows).sum(1))
-        radius = np.maximum(np.maximum(self.typical * FIRST, 1e-6 * length), 1e-300)
+        least = np.maximum(1e-6 * length, 1e-300)
+        most = np.maximum(bounds, least)
+        radius = np.minimum(np.maximum(self.typical * FIRST, least), most)
         lower, upper = self._windows(shadow, radius)
         states = [_State(self, *x) for x in zip(queries, rows, lower.T, upper.T, strict=True)]
-        live = [i for i, s in enumerate(states) if not s.verify(self, k, radius[i])]
+        live = [i for i, s in enumerate(states) if not s.verify(self, k, radius[i]) and radius[i] < most[i]]
         while live:
-            radius[live] *= GROWTH
+            radius[live] = np.minimum(radius[live] * GROWTH, most[live])
             lower, upper = self._windows(shadow[live], radius[live])
             for i, a, b in zip(live, lower.T, upper.T, strict=True):
                 states[i].grow(self, a, b)
-            live = [i for i in live if not states[i].verify(self, k, radius[i])]
+            live = [i for i in live if not states[i].verify(self, k, radius[i]) and radius[i] < most[i]]
         return [(s.near, s.score) for s in states]
 
     def _windows(self, shadow: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
