@@ -33,8 +33,9 @@ BLOCK = 512
 PIVOTS, PIVOT_ROWS = 1024, 4096
 # Cells of a replication table that a task works out at once.
 FLAGS = 1 << 24
-# Products in single precision err by less; what is closer is summed in double.
-MARGIN = 1e-5
+# A product of unit vectors in single precision errs by less than so many roundings for each dimension; what
+# is closer is summed in double.
+ROUNDINGS = 4
 # Room for the rounding of distances in the bounds.
 SLACK = 1e-9
 FOUND = "u long, v long, n long"
@@ -173,9 +174,10 @@ class Layout:
             part = slice(at, at + step)
             own_cell = cell[part]
             chunk = self.first[own_cell] + (mix[part] % self.chunks[own_cell].astype(np.uint64)).astype(int)
-            left = self.replicas(rows[part], own_cell)[:, self.cell_of]
-            left &= np.arange(size) >= chunk[:, None]
-            right = self.meet[:, own_cell].T[:, self.cell_of] & (np.arange(size) < chunk[:, None])
+            # The bounds hold for both sides of a pair: it goes to the lower chunk's task with the higher one.
+            near = self.replicas(rows[part], own_cell)[:, self.cell_of]
+            left = near & (np.arange(size) >= chunk[:, None])
+            right = near & (np.arange(size) < chunk[:, None])
             for own, to, of in zip(chunk, left, right, strict=True):
                 out.append(
                     np.concatenate([2 * (own * size + np.flatnonzero(to)), 2 * (np.flatnonzero(of) * size + own) + 1])
@@ -183,7 +185,7 @@ class Layout:
         return out
 
     def replicas(self, rows: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """Cells of an equal or higher number that may hold a partner of each vector."""
+        """Cells that may hold a partner of each vector."""
         apart = _distances(rows, self.pivots)
         own = apart[np.arange(len(rows)), cell]
         triangle = apart <= own[:, None] + 2 * self.eps + SLACK
@@ -192,7 +194,7 @@ class Layout:
         plane = (apart**2 - own[:, None] ** 2) / (2 * gap) <= self.eps + 1e-6
         near = triangle & plane & self.meet[cell]
         near[np.arange(len(rows)), cell] = True
-        return near & (np.arange(len(self.pivots)) >= cell[:, None])
+        return near
 
 
 def join_chunks(left: pd.DataFrame, right: pd.DataFrame, same: bool, cosine: float) -> pd.DataFrame:
@@ -203,13 +205,14 @@ def join_chunks(left: pd.DataFrame, right: pd.DataFrame, same: bool, cosine: flo
     n, m = np.zeros(len(ids)), np.zeros(len(others))
     u = v = np.zeros(0, np.int64)
     a32, b32 = a.astype(np.float32), b.astype(np.float32)
+    margin = ROUNDINGS * (a.shape[1] + 8) * 2.0**-24 if a.size else 0.0
     for at in range(0, len(ids) if len(others) else 0, BLOCK):
         score = a32[at : at + BLOCK] @ b32.T
-        i, j = np.nonzero(score >= cosine - MARGIN)
+        i, j = np.nonzero(score >= cosine - margin)
         near = score[i, j]
         i += at
         keep = i < j if same else np.ones(len(i), bool)
-        unsure = np.flatnonzero(keep & (near < cosine + MARGIN))
+        unsure = np.flatnonzero(keep & (near < cosine + margin))
         keep[unsure] = np.einsum("ij,ij->i", a[i[unsure]], b[j[unsure]]) >= cosine
         i, j = i[keep], j[keep]
         n += np.bincount(i, weights[j], len(ids))
