@@ -145,6 +145,43 @@ def test_mixing_meets_targets(spark):
     assert half[half["doc_id"] % 2 == 0]["copies"].mean() > 2 * half[half["doc_id"] % 2 == 1]["copies"].mean()
 
 
+@pytest.mark.parametrize("ids", [[7] * 100, [None] * 100, [7] * 60 + [None] * 40])
+def test_mixing_meets_targets_with_equal_ids(spark, ids):
+    """Of rows that draw the same number as many are taken as fit."""
+    rows = [(i, "w " * 10, "a") for i in ids] + [(1000, "w " * 1000, "b")]
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("a", 0.375), ("b", 0.625)], "source string, weight double")
+    out = mix(table, weights)
+    taken = {r.source: (r.target, r.s, r.n) for r in out.groupBy("source").agg(
+        F.first("target").alias("target"), F.sum("taken").alias("s"), F.count("*").alias("n")).collect()}
+    assert taken["a"][0] == 750 and taken["a"][2] == 100 and abs(taken["a"][1] - 750) <= 10
+    repeated = mix(table, weights)
+    assert sorted(r.copies for r in repeated.collect()) == sorted(r.copies for r in out.collect())
+
+
+def test_long_chats_take_linear_time(spark):
+    turns = spark.range(32_000).selectExpr(
+        "1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id, '<|') as text"
+    )
+    out = chat.format_chats(turns)
+    back = out.select(
+        F.size(chat.read_chats(F.col("formatted"))).alias("n"), F.size("loss").alias("m"),
+        F.md5(chat.read_loss(F.col("formatted"), F.col("loss"))).alias("d"),
+    ).first()
+    import hashlib
+
+    want = "".join(f"t{i}<|" for i in range(1, 32_000, 2))
+    assert tuple(back) == (32_000, 16_000, hashlib.md5(want.encode()).hexdigest())
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        row = spark.range(1).select(
+            chat.running_sums(F.expr(f"transform(slice(sequence(0, {n}), 1, {n}), x -> int(x % 7))")).alias("s")
+        ).first()
+        assert row.s == [sum(x % 7 for x in range(i)) for i in range(n)]
+
+
 def test_chats(spark):
     turns = spark.createDataFrame(
         [(1, 2, "user", "b", 0), (1, 1, "user", "a~0<|end|>", 0), (1, 3, "assistant", None, 0), (1, 3, "assistant", "x<|next|>|>", 0),
@@ -197,6 +234,60 @@ def test_vector_groups(spark):
     )
 
 
+@pytest.mark.parametrize(("rank", "dim"), [(8, 64), (64, 64)])
+def test_recall_over_many_blocks(spark, rank, dim, monkeypatch):
+    """Rows near a plane of few dimensions, and rows without structure, in some twenty blocks."""
+    from skewprobe.llm import collision_search
+
+    ship(spark)
+    rng = np.random.default_rng(rank)
+    x = rng.standard_normal((5000, rank)) @ rng.standard_normal((rank, dim)) + 0.01 * rng.standard_normal((5000, dim))
+    x[4000:4300] = x[17]
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = search(table, table.where("vec_id % 100 = 0"), k=10, block_rows=256).toPandas()
+    hit = total = 0
+    for q in range(0, 5000, 100):
+        apart = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(5000), apart)) if i != q][:10]
+        mine = found[found["query_id"] == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 11))
+        hit += (mine["score"].to_numpy() <= apart[want[-1]] * (1 + 1e-9)).sum()
+        total += 10
+    assert hit / total >= 0.9
+    # A bound from the first blocks leaves fewer rows to measure.
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:600])], "vec_id long, embedding array<double>")
+    block = next(collision_search.build_index(rows, block_rows=600).toPandas().itertuples(index=False))
+    own = collision_search.Block(block, collision_search.DIRECTIONS)
+    seen = []
+    monkeypatch.setattr(collision_search._State, "verify", _counted(collision_search._State.verify, seen))
+    shadow = x[:1] @ collision_search.directions(dim, collision_search.DIRECTIONS, 7)
+    near = np.sort(np.sqrt(((x - x[0]) ** 2).sum(1)))[10]
+    for bound in (np.inf, near):
+        own.nearest(np.array([0]), x[:1], shadow, 10, np.array([bound]))
+        seen.append(None)
+    open_, bounded = (max(n) for n in _cut(seen))
+    assert bounded <= open_
+
+
+def _counted(verify, seen):
+    def call(state, *args):
+        out = verify(state, *args)
+        seen.append(int(state.seen.sum()))
+        return out
+
+    return call
+
+
+def _cut(items):
+    out = [[]]
+    for x in items:
+        if x is None:
+            out.append([])
+        else:
+            out[-1].append(x)
+    return [x for x in out if x]
+
+
 def test_search_edges(spark):
     ship(spark)
     rows = [(0, [0.0, 1.0], ""), (1, [0.0, 1.0], ""), (2, [0.0, 1.0], ""), (3, [3.0, 5.0], ""), (4, None, ""), (5, [0.0, 0.0], ""), (None, [1.0, 1.0], "")]
@@ -215,6 +306,37 @@ def test_pieces(docs, empty):
     assert pieces.encode_texts(empty, MODEL).count() == 0
 
 
+def test_long_units(monkeypatch):
+    """In windows as a whole: the same ids where both ways are open, and any length in bounded memory."""
+    loaded = pieces.load_pieces(MODEL, 1.0)
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyzé梦")
+    texts = ["".join(rng.choice(letters, n)) + " and " + "".join(rng.choice(letters, n)) for n in (300, 700, 1500)]
+    keys = np.array([5, 6, 7], np.uint64)
+    monkeypatch.setattr(pieces, "WINDOW", 64)
+    windows = pieces.sample_ids(texts, keys, loaded)
+    monkeypatch.setattr(pieces, "LONG_UNIT", 1 << 20)
+    whole = pieces.sample_ids(texts, keys, loaded)
+    for a, b, text in zip(windows, whole, texts, strict=True):
+        assert a.tolist() == b.tolist()
+        assert b"".join(loaded.text[i] for i in a)[1:].decode() == text
+
+
+def test_a_line_without_spaces():
+    loaded = pieces.load_pieces(MODEL, 1.0)
+    text = "".join(np.random.default_rng(4).choice(list("abcdefghij"), 300_000))
+    (ids,) = pieces.sample_ids([text], np.array([9], np.uint64), loaded)
+    assert b"".join(loaded.text[i] for i in ids)[1:].decode() == text
+
+
+def test_near_keys_share_no_draws():
+    positions = pieces.spots(0, 2000)
+    draws = [pieces.random_unit(pieces.mixed(np.array([k], np.uint64)), positions) for k in range(200)]
+    flat = np.concatenate(draws)
+    assert len(np.unique(flat)) == len(flat)
+    assert abs(flat.mean() - 0.5) < 0.005 and abs(np.corrcoef(draws[0][1:], draws[1][:-1])[0, 1]) < 0.1
+
+
 def test_pieces_follow_the_lattice():
     """Sampled paths occur as often as the weights of all paths say."""
     model = pieces.load_pieces(MODEL, 1.0)
@@ -308,3 +430,81 @@ def test_toxicity(spark, docs, empty):
     assert score[0] > 0.5
     prior = toxicity.train(table, labels.where("toxic = 0"))
     assert prior.scores(["x"]).tolist() == [0.0]
+
+
+def brute_kernel(a, b):
+    """Shared triples in order, gaps allowed, by all choices of three places."""
+    from itertools import combinations
+
+    def weights(s):
+        found = {}
+        for places in combinations(range(len(s)), 3):
+            span = places[-1] - places[0] + 1
+            if span <= toxicity.SPAN:
+                key = "".join(s[i] for i in places)
+                found[key] = found.get(key, 0.0) + toxicity.DECAY**span
+        return found
+
+    def scale(s):
+        every = [places for places in combinations(range(len(s)), 3) if places[-1] - places[0] < toxicity.SPAN]
+        return sum(toxicity.DECAY ** (2 * (p[-1] - p[0] + 1)) for p in every) ** 0.5
+
+    x, y = weights(a), weights(b)
+    return (sum(w * y.get(k, 0.0) for k, w in x.items()) / (scale(a) * scale(b))) ** toxicity.POWER
+
+
+def test_kernel_and_margins_against_brute_force():
+    marks = ["idiot", "abcabc", "moron", "xyz"]
+    units = ["idiot", "idxiot", "i9diot", "aabbcc", "zzz", "moronmoron", "xyz"]
+    kernel = toxicity.Kernel(marks)
+    want = np.array([[brute_kernel(u, m) for m in marks] for u in units])
+    assert np.allclose(kernel.values(units), want, rtol=1e-4, atol=1e-6)
+    weight = np.array([0.5, -1.0, 2.0, 0.25])
+    model = toxicity.Model(kernel, weight, -0.1, np.array([1.0, 0.5, 0.0]), 0.5)
+    assert np.allclose(model.margins(units), want @ weight - 0.1, rtol=1e-4, atol=1e-5)
+    # The two worst units of a text, each occurrence counted.
+    best = np.sort(want[[0, 4, 0]] @ weight - 0.1)[::-1]
+    assert np.allclose(model.worst(["idiot zzz idiot"])[0], best[:2], atol=1e-5)
+
+
+@pytest.mark.parametrize("text", ["name: " + "_" * 10_000 + end for end in (".", "a", "\n", " x")] + ["a " * 50_000 + "!x", "a" + "." * 100_000])
+def test_marks_in_a_row_take_linear_time(text):
+    import time
+
+    start = time.perf_counter()
+    toxicity.units_of(text)
+    assert time.perf_counter() - start < 1
+
+
+def test_letters_apart():
+    assert "idiot" in toxicity.units_of("you i.d_i o-t !") and "idiot" in toxicity.units_of("I D I O T")
+
+
+@pytest.mark.parametrize("share", [0.5, 0.1])
+def test_insults_after_few_words(spark, share):
+    """Toxic texts that all carry the insult in one phrase, which clean ones use as well."""
+    ship(spark)
+    rng = np.random.default_rng(5)
+    fill = [f"word{i}" for i in range(400)]
+    bad, good = ["moronix", "scumbagg", "loserly"], ["teacher", "neighbour", "student"]
+    rows = []
+    for i in range(600):
+        toxic = int(i < 600 * share)
+        end = rng.choice(bad if toxic else good)
+        tail = f"you are an {end}" if toxic or i % 2 else "it rains"
+        rows.append((i, " ".join(rng.choice(fill, 29)) + " " + tail, toxic))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert model.kernel is not None
+    found = toxicity.score_docs(table, model).collect()
+    said = [(r.toxic, r.toxicity >= 0.5) for r in found]
+    assert np.mean([b for t, b in said if t]) > 0.95 and np.mean([b for t, b in said if not t]) < 0.05
+
+
+def test_an_unfitted_model_drops_nothing(spark):
+    ship(spark)
+    rows = [(i, "the same words", 1) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    with pytest.warns(UserWarning, match="no toxicity model"):
+        model = toxicity.train(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert max(r.toxicity for r in toxicity.score_docs(table, model).collect()) < 0.5
