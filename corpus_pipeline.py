@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from skewprobe.llm.lines import dedup_lines
 from skewprobe.llm.mixing import mix
 from skewprobe.llm.pieces import encode_texts
-from skewprobe.llm.similar import keep_one
+from skewprobe.llm.simhash import keep_one
 from skewprobe.llm.toxicity import score_docs, train
 from skewprobe.session import ship, stage
 
 TOXIC = 0.5
 MIN_DOCS = 10
-# Shingles of the near-duplicate stage, in words, and the Jaccard similarity from which texts are near-duplicates.
-WORDS = 5
-SIMILARITY = 0.8
+# Shingles of the near-duplicate stage, in words, and the differing bits up to which fingerprints link.
+WORDS = 3
+DISTANCE = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -35,16 +35,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines of many documents; ``n_chars`` follows the text."""
+    """Texts without the lines of many different texts; ``n_chars`` follows the text.
+
+    Copies count as one document here: they are for the next stage, which needs what they share.
+    """
     ship(spark)
-    kept = dedup_lines(docs, MIN_DOCS).drop("n_lines", "n_dropped")
+    kept = dedup_lines(docs, MIN_DOCS, distinct=True).drop("n_lines", "n_dropped")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: linked fingerprints."""
     ship(spark)
-    return keep_one(docs, WORDS, SIMILARITY).select(*docs.columns)
+    return keep_one(docs, WORDS, DISTANCE).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
