@@ -197,8 +197,10 @@ class Model:
         flat = np.array([number[w] for ws in cut for w in ws], np.int64)
         margin = np.full(len(new), NOTHING)
         if len(flat):
-            owner = np.repeat(np.arange(len(new)), [len(ws) for ws in cut])
-            np.maximum.at(margin, owner, self.margins(list(number))[flat])
+            # Windows come word by word; a word without any has no run.
+            many = np.array([len(ws) for ws in cut])
+            own = np.flatnonzero(many)
+            margin[own] = np.maximum.reduceat(self.margins(list(number))[flat], (np.cumsum(many) - many)[own])
         self.known.update(zip(new, margin.tolist(), strict=True))
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -238,6 +240,8 @@ def train(
         for frame in frames:
             for text, toxic in zip(frame["text"], frame["toxic"], strict=True):
                 found = list({w for u in set(units_of(text)) for w in windows(u)})
+                if not found:
+                    continue
                 yield pd.DataFrame({"unit": found, "toxic": np.full(len(found), toxic, np.int32)})
 
     # Copies of a text are one witness.
