@@ -19,9 +19,9 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -37,11 +37,15 @@ LETTER = r"[^\W\d_]"
 SPACE_MARK = "▁"
 # Characters whose lattices are built at once; a longer text is taken whole.
 CHARS = 1 << 20
+# Characters of units whose lattice a task keeps for later texts.
+KNOWN_CHARS = 1 << 19
 SIEVE = 18
 # Rows that are handed on at once.
 ROWS = 500
 # Positions that are filtered at once.
 CELLS = 1 << 15
+# Longer units are sampled alone, in windows of so many characters: their memory does not grow with them.
+LONG_UNIT, WINDOW = 1 << 8, 1 << 14
 # Sums below this are scaled up; only their ratios over the longest piece matter.
 SMALL = 1e-150
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -60,6 +64,7 @@ class Pieces:
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     byte_weight: float
     unit: re.Pattern
+    known: Known = field(default_factory=lambda: Known(), repr=False)
 
 
 def unit_pattern(pieces: list[str]) -> re.Pattern:
@@ -140,12 +145,40 @@ class Lattice:
     its ways begin at ``first`` of that number, the last of them has the chance 1.
     """
 
+    sizes: np.ndarray
     base: np.ndarray
     first: np.ndarray
     upto: np.ndarray
     piece: np.ndarray
     length: np.ndarray
 
+    def joined(self, other: Lattice) -> Lattice:
+        parts = {
+            "base": other.base + len(self.first),
+            "first": other.first + np.int32(len(self.upto)),
+        }
+        names = ("sizes", "base", "first", "upto", "piece", "length")
+        return Lattice(*[np.concatenate([getattr(self, n), parts.get(n, getattr(other, n))]) for n in names])
+
+
+@dataclass
+class Known:
+    """The lattice of units that a task has met; most units come again."""
+
+    number: dict[str, int] = field(default_factory=dict)
+    lattice: Lattice | None = None
+
+    def extended(self, number: dict[str, int], pieces: Pieces) -> Lattice:
+        """The lattice of all units of ``number``, which begins with those known; kept while it is small."""
+        units = list(islice(number, len(self.number), None))
+        lattice = self.lattice
+        if units:
+            new = filter_forward(units, pieces)
+            lattice = new if lattice is None else lattice.joined(new)
+            if len(lattice.first) <= KNOWN_CHARS:
+                self.number, self.lattice = dict(number), lattice
+        return lattice
+
 
 def filter_forward(units: list[str], pieces: Pieces) -> Lattice:
     sizes = np.array([len(u) for u in units])
@@ -166,7 +199,7 @@ def filter_forward(units: list[str], pieces: Pieces) -> Lattice:
             done += len(edges[0])
             found.append(edges)
     upto, piece, length = (np.concatenate(x) for x in zip(*found, strict=True))
-    return Lattice(base, first, upto, piece, length)
+    return Lattice(sizes.astype(np.int32), base, first, upto, piece, length)
 
 
 def _filter(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, ...]:
@@ -258,26 +291,60 @@ def sample_ids(texts: list[str], keys: np.ndarray, pieces: Pieces) -> list[np.nd
 
 
 def _sample(texts: list[str], keys: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
-    number: dict[str, int] = defaultdict(count().__next__)
-    parts = []
-    for text in texts:
+    # Fragments of texts between their long units, which are sampled one by one.
+    fragments: list[tuple[list[str], int, int]] = []
+    order: list[list[tuple[int, str | None, int]]] = []
+    for row, text in enumerate(texts):
         # The mark of the first word; an empty text has no pieces.
         found = pieces.unit.findall(" " + text) if text else []
-        parts.append(np.array(list(map(number.__getitem__, found)), np.int64))
-    if not number:
-        return [np.zeros(0, np.int32) for _ in texts]
-    units = list(number)
-    lattice = filter_forward(units, pieces)
-    many = np.array([len(p) for p in parts])
-    unit = np.concatenate(parts)
-    left = np.array([len(u) for u in units], np.int32)[unit]
+        mine, at, start, first = [], 0, 0, 0
+        long = max(map(len, found), default=0) > LONG_UNIT
+        for i, unit in enumerate(found if long else ()):
+            if len(unit) > LONG_UNIT:
+                mine.append((len(fragments), None, 0))
+                fragments.append((found[first:i], row, start))
+                mine.append((row, unit, at))
+                first, start = i + 1, at + len(unit)
+            at += len(unit)
+        mine.append((len(fragments), None, 0))
+        fragments.append((found[first:], row, start))
+        order.append(mine)
+    rows = np.array([row for _, row, _ in fragments], np.int64)
+    starts = np.array([start for _, _, start in fragments], np.int64)
+    sampled = _sample_units([units for units, _, _ in fragments], starts, keys.astype(np.uint64)[rows], pieces)
+    out = []
+    for mine in order:
+        if len(mine) == 1:
+            out.append(sampled[mine[0][0]])
+            continue
+        out.append(
+            np.concatenate(
+                [sampled[i] if unit is None else sample_long(unit, at, int(keys[i]), pieces) for i, unit, at in mine]
+            )
+        )
+    return out
+
+
+def _sample_units(
+    parts: list[list[str]], starts: np.ndarray, keys: np.ndarray, pieces: Pieces
+) -> list[np.ndarray]:
+    """Ids of each run of units, which begins at ``starts`` of its text."""
+    known = pieces.known
+    number: dict[str, int] = defaultdict(count(len(known.number)).__next__, known.number)
+    found = [np.array(list(map(number.__getitem__, part)), np.int64) for part in parts]
+    if not sum(map(len, found)):
+        return [np.zeros(0, np.int32) for _ in parts]
+    lattice = known.extended(number, pieces)
+    many = np.array([len(p) for p in found])
+    unit = np.concatenate(found)
+    left = lattice.sizes[unit]
     base = lattice.base[unit].astype(np.int32)
-    # Where each occurrence starts in its own text, mixed with the seed of the row.
+    # Where each occurrence starts in its own text.
     start = np.cumsum(left) - left
     first = np.cumsum(many) - many
-    start -= np.repeat(start[np.minimum(first, len(start) - 1)], many)
-    key = np.repeat(mixed(keys.astype(np.uint64)), many)
-    spot = mixed(np.arange(1, int((start + left).max()) + 2, dtype=np.uint64) * MULTIPLIER)
+    start += np.repeat(starts - start[np.minimum(first, len(start) - 1)], many)
+    key = np.repeat(mixed(keys), many)
+    spot = spots(0, int((start + left).max()))
 
     live = np.arange(len(unit))
     taken, steps = [], np.zeros(len(unit), np.int32)
@@ -302,6 +369,99 @@ def _sample(texts: list[str], keys: np.ndarray, pieces: Pieces) -> list[np.ndarr
     return [_bytes_out(x, pieces) for x in np.split(ids, np.cumsum(total)[:-1])]
 
 
+def spots(low: int, high: int) -> np.ndarray:
+    """The mixed positions from ``low`` to ``high``, both included."""
+    return mixed(np.arange(low + 1, high + 2, dtype=np.uint64) * MULTIPLIER)
+
+
+def sample_long(unit: str, start: int, key: int, pieces: Pieces) -> np.ndarray:
+    """Ids of one long unit, by the same rules, in windows.
+
+    The sums at a position need those of the positions within the longest piece only. The
+    forward pass keeps these at the start of every window; the backward pass filters each window again from
+    there, the last one first, and draws while it is in the window.
+    """
+    codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), "<u4")
+    reach = max(pieces.tables)
+    kept, tail = [], np.array([1.0])
+    for at in range(0, len(codes), WINDOW):
+        kept.append(tail)
+        tail = _window(codes, at, min(at + WINDOW, len(codes)), tail, reach, pieces)[0]
+    seed = mixed(np.array([key], np.int64).view(np.uint64))
+    out, left = [], len(codes)
+    for at, tail in zip(reversed(range(0, len(codes), WINDOW)), reversed(kept), strict=True):
+        end = min(at + WINDOW, len(codes))
+        _, first, upto, piece, length = _window(codes, at, end, tail, reach, pieces)
+        draws = random_unit(seed, spots(start + at, start + end)).tolist()
+        while left > at:
+            way = first[left - at - 1]
+            while upto[way] <= draws[left - at]:
+                way += 1
+            out.append(piece[way])
+            left -= length[way]
+    return _bytes_out(np.array(out[::-1], np.int32), pieces)
+
+
+def _window(codes: np.ndarray, start: int, end: int, tail: np.ndarray, reach: int, pieces: Pieces) -> tuple:
+    """The ways into the positions after ``start`` up to ``end``, and the sums of the last ``reach`` positions.
+
+    ``tail`` are the sums up to ``start``, of which only the ratios matter.
+    """
+    low = max(0, start - reach + 1)
+    text = codes[low:end].astype(np.uint64)
+    at, ids, weights, sizes = [], [], [], []
+    rolled, done = np.zeros(len(text), np.uint64), 0
+    for length in sorted(pieces.tables):
+        if length > len(text):
+            break
+        while done < length:
+            rolled = rolled[: len(text) - done] * MULTIPLIER + text[done:] + np.uint64(1)
+            done += 1
+        place, there, keys, own, weight = pieces.tables[length]
+        bits = _sieve(rolled)
+        spot = np.flatnonzero(there[bits])
+        slot = place[bits[spot]]
+        several = np.flatnonzero(slot < 0)
+        slot[several] = np.minimum(keys.searchsorted(rolled[spot[several]]), len(keys) - 1)
+        hit = keys[slot] == rolled[spot]
+        # The position after the piece, in the whole unit.
+        after, slot = spot[hit] + length + low, slot[hit]
+        new = after > start
+        at.append(after[new])
+        ids.append(own[slot[new]])
+        weights.append(weight[slot[new]])
+        sizes.append(np.full(int(new.sum()), length))
+    # A character without a piece is written as its bytes.
+    known = np.zeros(end - start, bool)
+    if 1 in pieces.tables:
+        known[at[0] - start - 1] = True
+    lone = np.flatnonzero(~known)
+    code = codes[start + lone].astype(np.int64)
+    at.append(start + lone + 1)
+    ids.append(np.where(code < 128, pieces.byte[np.minimum(code, 127)], -code))
+    weights.append(np.full(len(lone), pieces.byte_weight))
+    sizes.append(np.ones(len(lone), np.int64))
+    at, ids, weights, sizes = (np.concatenate(x) for x in (at, ids, weights, sizes))
+    order = np.lexsort((sizes, at))
+    many = np.bincount(at - start - 1, minlength=end - start)
+    first = (np.cumsum(many) - many).tolist()
+    weight, size, ways = weights[order].tolist(), sizes[order].tolist(), many.tolist()
+    # Sums before this window, then those in it; the last one is that of the position before.
+    sums, upto = tail.tolist(), [0.0] * len(weight)
+    for a, n in zip(first, ways, strict=True):
+        total = 0.0
+        for way in range(a, a + n):
+            total += weight[way] * sums[-size[way]]
+            upto[way] = total
+        for way in range(a, a + n - 1):
+            upto[way] /= total
+        upto[a + n - 1] = 1.0
+        sums.append(total)
+        if total < SMALL:
+            sums[-reach:] = [x / total for x in sums[-reach:]]
+    return np.array(sums[-reach:]), first, upto, ids[order].tolist(), size
+
+
 def _bytes_out(ids: np.ndarray, pieces: Pieces) -> np.ndarray:
     """Put byte pieces in the place of characters without a piece."""
     if (ids >= 0).all():
