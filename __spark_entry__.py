@@ -72,7 +72,9 @@ class Fixture:
 
     @cached_property
     def split(self) -> tuple[DataFrame, DataFrame]:
-        return sampling.stratified_split(self.vectors)
+        """Base and held-out vectors, written once as the searches would find them."""
+        roles = stage(sampling.split_roles(self.vectors), "roles")
+        return tuple(roles.where(F.col("role") == r).drop("role") for r in ("base", "query"))
 
     @property
     def base(self) -> DataFrame:

@@ -157,11 +157,15 @@ def routed_topk(
 def attach_vectors(hits: DataFrame, queries: DataFrame, base: DataFrame) -> DataFrame:
     """Hits with both vectors, ``qv`` and ``bv``, for :mod:`skewprobe.functions.vectors`.
 
-    The hits are written first: they are few, and knowing so Catalyst sends them
-    to the rows instead of shuffling the stored vectors.
+    The hits are written first. While they are few, Catalyst knows so and sends them to the rows. With more of
+    them both sides are shuffled; the planner then drops rows that are no hits by a Bloom filter on the ids of the hits
+    before the exchange, where the stored table is large enough to be worth it
+    (``spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold``, 10 GB by default).
     """
     rows = base.select("vec_id", F.col("embedding").alias("bv"))
-    return stage(hits, "hits").join(rows, "vec_id").join(queries.select("q_id", "qv"), "q_id")
+    # Every hit has a score. The planner makes a filter only from a side that it takes for selective.
+    found = stage(hits, "hits").where(F.col("score") >= F.lit(float("-inf")))
+    return found.join(rows, "vec_id").join(queries.select("q_id", "qv"), "q_id")
 
 
 def routed_candidates(routes: DataFrame, base: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def quotas(labels, fraction):
 def direct(request, monkeypatch):
     """Both ways to a rank: by histogram, and directly for small groups."""
     narrow = order.order_statistics
-    for module in ("sampling", "partition"):
+    for module in ("order", "partition"):
         monkeypatch.setattr(
             f"skewprobe.operators.{module}.order_statistics",
             lambda *a, **k: narrow(*a, **k, bins=4, direct=request.param),

@@ -241,6 +241,29 @@ def test_a_row_with_a_bad_component_is_left_out_alone(spark, bad):
     same_hits(hits(found), expected)
 
 
+def test_rows_that_are_no_hits_stay_out_of_the_exchange(spark, tmp_path):
+    """With many hits both sides are shuffled, the stored one behind a Bloom filter of the hits' ids."""
+    b, q = vectors(3000, dim=4, seed=51), vectors(20, dim=4, seed=52)
+    frame(spark, b).write.parquet(str(tmp_path / "base"))
+    base, qs = spark.read.parquet(str(tmp_path / "base")), frame(spark, q, id="q_id", vec="qv")
+    hits_ = search.full_search(qs, base, 5)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = search.attach_vectors(hits_, qs, base)
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        rows = joined.collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert "might_contain" in plan
+    assert len(rows) == 100 and all(np.allclose(r.bv, b[r.vec_id]) for r in rows)
+
+
 def test_shards_without_rows_have_a_load(spark):
     q, sharded = frame(spark, vectors(4), id="q_id", vec="qv"), random_shards(frame(spark, vectors(3)), 5)
     loads = search.sharded_search(q, sharded, shards=5).loads
