@@ -40,6 +40,9 @@ TILE_PAIRS, TILE_ROWS = 1 << 18, 1024
 # Below this share of live pairs, single pairs are cheaper than a full product.
 SPARSE_SHARE = 0.05
 
+# Bytes of a visit without thresholds: a query and a partition.
+VISIT_BYTES = 16
+
 SCHEMA = "q_id long, part int, vec_id long, score double, block int, load long, pruned long"
 ARROW_SCHEMA = pa.schema(
     [
@@ -150,7 +153,7 @@ def by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def query_blocks(
     queries: DataFrame, id: str = "q_id", vector: str = "qv",
-    visits: DataFrame | None = None, visit_bytes: int = 16, extra: int = 0,
+    visits: DataFrame | None = None, visit_bytes: int = VISIT_BYTES, extra: int = 0,
 ) -> Iterator[QueryBlock]:
     """The query set in blocks of at most the broadcast bound.
 

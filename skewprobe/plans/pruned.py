@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,26 +163,20 @@ def prewarm_per_query(
     return kth_threshold(hits, ("q_id",), k, strict=True)
 
 
-def _raise(thr: np.ndarray, block: QueryBlock, found: DataFrame) -> None:
-    """Raise thresholds by those of ``found``, at most one row for each query."""
-    table = found.select("q_id", "thr").toArrow()
-    where = block.positions(table["q_id"].to_numpy())
-    thr[where] = np.maximum(thr[where], table["thr"].to_numpy())
-
-
 def _raise_by_query(thr: np.ndarray, block: QueryBlock, hits: DataFrame, k: int) -> None:
     """Raise each query's threshold to the k-th score among ``hits``, once it has ``k``."""
-    _raise(thr, block, kth_threshold(hits, ("q_id",), k, strict=True))
+    table = kth_threshold(hits, ("q_id",), k, strict=True).toArrow()
+    where = block.positions(table["q_id"].to_numpy())
+    thr[where] = np.maximum(thr[where], table["thr"].to_numpy())
 
 
 def _kth_by_pair(scanned: DataFrame, k: int, strict: bool) -> DataFrame:
-    """k-th local score of each (query, partition), written: one number per pair."""
-    return stage(kth_threshold(hits_of(scanned), ("q_id", "part"), k, strict), "kth")
+    """k-th local score of each (query, partition): one number per pair."""
+    return kth_threshold(hits_of(scanned), ("q_id", "part"), k, strict)
 
 
-def _by_pair(found: DataFrame, block: QueryBlock) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _by_pair(table: pa.Table, block: QueryBlock) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Thresholds per partition, as query positions and values."""
-    table = found.select("q_id", "part", "thr").toArrow()
     where = block.positions(table["q_id"].to_numpy())
     values = table["thr"].to_numpy()
     for p, rows in by_part(table["part"].to_numpy()):
@@ -307,7 +302,7 @@ def dimension_search(
         else:
             for b in range(1, n_blocks):
                 partial = scan(whole, Probes(block, None, limits), k, ranges, b, bound)
-                for _, where, values in _by_pair(_kth_by_pair(partial, k, strict=False), block):
+                for _, where, values in _by_pair(_kth_by_pair(partial, k, strict=False).toArrow(), block):
                     limits[where, b] = values
         if groups is not None:
             # Pairs below the threshold never leave the tasks, so they are counted from the summaries.
@@ -366,31 +361,43 @@ def _stage_pass(
     mode: str,
     bound: str,
     final: bool = True,
-) -> tuple[DataFrame, list[DataFrame]]:
+    written: bool = True,
+) -> tuple[DataFrame, list[DataFrame], np.ndarray]:
     """Search the visited partitions.
 
-    Returns the written scan, and written tables ``q_id, part, thr`` of what the thresholds rise to;
-    without ``final`` they leave out what the last scores add.
+    Returns the written scan; tables ``q_id, part, thr`` of what the thresholds rise to, if they are to be
+    ``written``; and the highest threshold of each query. Without ``final`` they leave out what the last scores add.
     """
     n = len(ranges)
     limits = {p: np.repeat(thr[:, None], n, axis=1) for p, (_, thr) in visits.items()}
     raised: list[DataFrame] = []
+    highest = np.full(len(block.ids), -np.inf)
+
+    def found(scanned: DataFrame, strict: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        kth = _kth_by_pair(scanned, k, strict)
+        if written:
+            kth = stage(kth, "kth")
+            raised.append(kth)
+        for p, where, values in _by_pair(kth.select("q_id", "part", "thr").toArrow(), block):
+            highest[where] = np.maximum(highest[where], values)
+            yield p, where, values
 
     def probes() -> Probes:
         return Probes(block, {p: (where, limits[p]) for p, (where, _) in visits.items()})
 
     if mode == "compat":
         for b in range(1, n):
-            partial = scan(base, probes(), k, ranges, b, bound)
-            raised.append(_kth_by_pair(partial, k, strict=False))
-            for p, where, values in _by_pair(raised[-1], block):
+            for p, where, values in found(scan(base, probes(), k, ranges, b, bound), strict=False):
                 at = np.searchsorted(visits[p][0], where)
                 limits[p][at, b:] = np.maximum(limits[p][at, b:], values[:, None])
     slack = SLACK if mode == "exact" else 0.0
     done = stage(scan(base, probes(), k, ranges, None, bound, slack, True), "scan")
-    if final:
-        raised.append(_kth_by_pair(done, k, strict=mode == "exact"))
-    return done, raised
+    if final and written:
+        raised.append(stage(_kth_by_pair(done, k, strict=mode == "exact"), "kth"))
+    elif final:
+        for _ in found(done, strict=mode == "exact"):
+            pass
+    return done, raised, highest
 
 
 def _visits(where: np.ndarray, parts: np.ndarray, thr: np.ndarray) -> Visits:
@@ -427,7 +434,7 @@ def dimension_pipeline(
         table = own.toArrow()
         where = block.positions(table["q_id"].to_numpy())
         visits = _visits(where, table["part"].to_numpy(), table["thr"].to_numpy())
-        done, raised = _stage_pass(base, block, visits, ranges, k, mode, bound)
+        done, raised, _ = _stage_pass(base, block, visits, ranges, k, mode, bound)
         hits.append(topk(hits_of(done), ("q_id", "part"), k))
         counts.append(counts_of(done))
         rises = union_or_empty(raised, base, THRESHOLDS).groupBy("q_id", "part").agg(F.max("thr").alias("__to"))
@@ -526,14 +533,12 @@ def full_pipeline(
             visits = _visits(where[now], parts[now], thr[where[now]])
             # The k-th of the merged hits, below, covers that of the exact mode.
             carry = mode == "compat" and rank < last
-            done, raised = _stage_pass(base, block, visits, ranges, k, mode, bound, carry)
+            done, _, highest = _stage_pass(base, block, visits, ranges, k, mode, bound, carry, False)
             found.append(hits_of(done))
             counts.append(counts_of(done))
             if rank < last:
-                merged = kth_threshold(union_or_empty(found, base, HITS), ("q_id",), k, strict=True)
-                rises = [merged, *[r.select("q_id", "thr") for r in raised]]
-                rises = union_or_empty(rises, base, "q_id long, thr double")
-                _raise(thr, block, rises.groupBy("q_id").agg(F.max("thr").alias("thr")))
+                thr = np.maximum(thr, highest)
+                _raise_by_query(thr, block, union_or_empty(found, base, HITS), k)
         if found:
             hits.append(topk(union_or_empty(found, base, HITS), ("q_id",), k))
     return Pruned(union_or_empty(hits, base, HITS), _summed(counts, base))

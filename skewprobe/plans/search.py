@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from skewprobe.operators.metrics import fill_loads
 from skewprobe.operators.scan import (
+    VISIT_BYTES,
     Probes,
     QueryBlock,
     by_part,
@@ -138,15 +139,20 @@ def routed_topk(
     routes: DataFrame,
     k: int = TOP_K,
     keys: Sequence[str] = ("q_id", "part"),
+    most: int | None = None,
 ) -> DataFrame:
     """The best ``k`` rows of each routed (query, partition), or of each query.
 
     Pairs each query with the rows of its partitions only, inside the scan. The
-    rows of a hot partition stay spread over the tasks that read it.
+    rows of a hot partition stay spread over the tasks that read it. The visits of a block are sent along with its
+    queries, so they count for its size: name the ``most`` that a query has to save counting them.
     """
     found = []
-    # The visits of a block are sent along with its queries, so they count for its size.
-    for block in query_blocks(queries, visits=routes):
+    if most is None:
+        blocks = query_blocks(queries, visits=routes)
+    else:
+        blocks = query_blocks(queries, extra=VISIT_BYTES * most)
+    for block in blocks:
         table = block.own(routes).select("q_id", "part").toArrow()
         where = block.positions(table["q_id"].to_numpy())
         visits = open_visits(where, table["part"].to_numpy())
@@ -194,6 +200,6 @@ def ivf_search(
     nprobe: int = NPROBE,
 ) -> Search:
     """Search the partitions each query is routed to; ``base`` carries ``part``."""
-    routes = stage(route(queries, centroids, nprobe), "routes")
-    hits = routed_topk(queries, base, routes, k, ("q_id",))
+    routes = route(queries, centroids, nprobe)
+    hits = routed_topk(queries, base, routes, k, ("q_id",), nprobe)
     return Search(hits, scan_loads(routes, base, centroids))
