@@ -38,7 +38,7 @@ SPACE_MARK = "▁"
 # Characters whose lattices are built at once; a longer text is taken whole.
 CHARS = 1 << 20
 # Characters of units whose lattice a task keeps for later texts.
-KNOWN_CHARS = 1 << 19
+KNOWN_CHARS = 1 << 18
 SIEVE = 18
 # Rows that are handed on at once.
 ROWS = 500

@@ -56,7 +56,7 @@ LONG, WINDOW, STRIDE = 24, 16, 8
 CHARS = 1 << 20
 UNITS_AT_ONCE = 1 << 13
 # Words whose margins a task remembers from earlier texts.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 # Texts that are scored at once.
 ROWS = 1000
 SYMBOLS = 64
@@ -379,6 +379,8 @@ def toxicity(text: Column, model: Model) -> Column:
         for texts in batches:
             for a in range(0, max(len(texts), 1), ROWS):
                 yield pd.Series(model.scores([t or "" for t in texts.iloc[a : a + ROWS]]))
+        # The worker goes on with other tasks.
+        model.known.clear()
 
     return score(text)
 
