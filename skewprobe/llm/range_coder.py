@@ -2,9 +2,11 @@
 
 Three predictions are mixed for each id: the id that last followed the two ids
 before (order 2), the one that last followed the id before (order 1), and the
-frequencies of the ids (order 0). The weights of the mixture are learned while
-coding, for every pair of confidences of the two contexts. Both contexts,
-confidences and weights start anew with each block, so a block needs only the frequencies to be read.
+counts of the ids (order 0). Order 0 counts what it has coded in the block; an id
+new to it is coded by the frequencies in the file. The weights of the mixture are learned while
+coding: of orders 2 and 1 for every pair of their confidences, of counted against new ids for
+every length of the counts. Contexts, confidences, counts and weights start anew
+with each block, so a block needs only the frequencies to be read.
 
 All blocks advance together, one id each, as vectors; encoding and
 decoding run the same model. A number in a block is the rank of an id in the
@@ -24,6 +26,8 @@ UNIT = 16  # bits of a mixing weight
 LEAST = 64
 TOP = (1 << UNIT) - LEAST
 RATE = 5
+#: Lengths of the counts, as powers of two, that have a weight of their own.
+LENGTHS = 24
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LOW32 = np.uint64(0xFFFFFFFF)
 W32, W16 = np.uint64(32), np.uint64(UNIT)
@@ -79,19 +83,121 @@ class Mixer:
         self.last[:n] = rank.astype(np.uint64) + np.uint64(1)
 
 
+class Counts:
+    """The ids that order 0 has coded in a block and how often, for many blocks.
+
+    Ids of about equal count (up to the next power of two) make a class. A class is
+    as likely as its ids have counts, and its ids are equally likely; so a count costs
+    no more than finding a place in a list. Ids go by numbers of the caller's.
+    """
+
+    def __init__(self, lanes: int, longest: int):
+        self.classes = max(1, int(longest).bit_length())
+        # Of n coded ids at most n >> k have a count of 2 ** k.
+        room = longest >> np.arange(self.classes)
+        self.offset = np.cumsum(room) - room
+        self.wide, self.room = longest + 1, int(room.sum())
+        small = np.int16 if longest < 1 << 15 else np.int32
+        self.ids = np.zeros(lanes * self.room, small)
+        self.count = np.zeros(lanes * self.wide, small)
+        self.place = np.zeros(lanes * self.wide, small)
+        self.many = np.zeros(lanes * self.classes, np.int64)
+        self.mass = np.zeros((lanes, self.classes), np.int64)
+        self.total = np.zeros(lanes, np.int64)
+        # Chance of a counted id, by the length of the counts.
+        self.states = np.arange(lanes) * LENGTHS
+        self.weight = np.full(lanes * LENGTHS, 1 << (UNIT - 1), np.int32)
+
+    def split(self, width0: np.ndarray) -> np.ndarray:
+        """The part of the widths of order 0 that is for counted ids; none where nothing is counted."""
+        n = len(width0)
+        self.state = self.states[:n] + np.frexp(self.total[:n])[1]
+        self.w = self.weight[self.state]
+        inner = np.minimum(np.maximum((width0 * self.w) >> UNIT, 1), width0 - 1)
+        return inner * (self.total[:n] > 0)
+
+    def class_of(self, lane: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Class of a counted id; the mass of the classes before it and its own; its place and the ids there."""
+        at = lane * self.wide + number
+        k = np.frexp(self.count[at])[1] - 1
+        row, mass = np.arange(len(lane)), self.mass[lane]
+        have = mass[row, k]
+        before = np.cumsum(mass, axis=1)[row, k] - have
+        return k, before, have, self.place[at], self.many[lane * self.classes + k]
+
+    def find_class(self, lane: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The class that holds a part of the mass; the mass before it and its own; its ids."""
+        row, mass = np.arange(len(lane)), self.mass[lane]
+        to = np.cumsum(mass, axis=1)
+        k = (to <= target[:, None]).sum(1)
+        have = mass[row, k]
+        return k, to[row, k] - have, have, self.many[lane * self.classes + k]
+
+    def number_at(self, lane: np.ndarray, k: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return self.ids[lane * self.room + self.offset[k] + place]
+
+    def learn(self, lane: np.ndarray, number: np.ndarray, counted: np.ndarray) -> None:
+        """Count ids in the lanes where order 0 has coded; ``counted`` tells those that were met before."""
+        w = self.w[lane]
+        moved = w + ((np.where(counted, TOP, LEAST) - w) >> RATE)
+        # Without counts there is no choice to learn from.
+        self.weight[self.state[lane]] = np.where(self.total[lane] > 0, moved, w)
+        self.total[lane] += 1
+        at = lane * self.wide + number
+        c = self.count[at]
+        self.count[at] = c + 1
+        grown = (c & (c + 1)) == 0  # the count was the last of its class
+        stays = ~grown
+        self.mass[lane[stays], np.frexp(c[stays])[1] - 1] += 1
+        left = grown & counted
+        self._leave(lane[left], at[left], c[left])
+        lane, at, c = lane[grown], at[grown], c[grown]
+        k = np.frexp(c)[1]
+        own = lane * self.classes + k
+        place = self.many[own]
+        self.ids[lane * self.room + self.offset[k] + place] = number[grown]
+        self.place[at] = place
+        self.many[own] += 1
+        self.mass[lane, k] += c + 1
+
+    def _leave(self, lane: np.ndarray, at: np.ndarray, c: np.ndarray) -> None:
+        """Take ids out of their class; the last of the list takes the free place."""
+        k = np.frexp(c)[1] - 1
+        own = lane * self.classes + k
+        self.many[own] -= 1
+        self.mass[lane, k] -= c
+        start, place = lane * self.room + self.offset[k], self.place[at]
+        last = self.ids[start + self.many[own]]
+        self.ids[start + place] = last
+        self.place[lane * self.wide + last] = place
+
+
+def _own_numbers(turned: np.ndarray) -> np.ndarray:
+    """For each place of each block, one number for each different rank of the block, from 0."""
+    longest, lanes = turned.shape
+    order = np.argsort(turned, axis=0, kind="stable")
+    ordered = np.take_along_axis(turned, order, 0)
+    fresh = np.ones((longest, lanes), bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    out = np.empty((longest, lanes), np.int32)
+    np.put_along_axis(out, order, np.cumsum(fresh, axis=0, dtype=np.int32) - 1, 0)
+    return out
+
+
 def encode_blocks(ranks: np.ndarray, sizes: np.ndarray, start: np.ndarray, bits: int) -> list[np.ndarray]:
     """Words of each block. ``ranks`` has a row per block, the longest first.
 
     ``start`` holds the cumulative frequencies of the ranks, ``2 ** bits`` in all.
     """
     lanes, longest = ranks.shape
-    mixer = Mixer(lanes)
+    mixer, counts = Mixer(lanes), Counts(lanes, longest)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0), np.uint64)
     words = np.zeros((lanes, longest + 4), np.uint32)
     used = np.zeros(lanes, np.int64)
     first, width0 = start[:-1].astype(np.uint64), np.diff(start).astype(np.uint64)
     live = np.searchsorted(-sizes, -np.arange(longest), "left")
     turned = np.ascontiguousarray(ranks.T)
+    own, every = _own_numbers(turned), np.arange(lanes)
     for t in range(longest):
         n = int(live[t])
         rank = turned[t, :n]
@@ -99,34 +205,51 @@ def encode_blocks(ranks: np.ndarray, sizes: np.ndarray, start: np.ndarray, bits:
         is2 = rank == p2
         is1 = (rank == p1) & ~is2
         is0 = ~(is1 | is2)
-        begin = np.where(is2, 0, np.where(is1, width2, width1 + width2)).astype(np.uint64)
-        width = np.where(is2, width2, np.where(is1, width1, (1 << UNIT) - width1 - width2)).astype(np.uint64)
-        old, part = low[:n], span[:n] >> W16
-        new = old + begin * part
-        size = width * part
-        lost = new < old
-        if lost.any():
-            _carry(words, used, np.flatnonzero(lost))
+        inner = width1 + width2
+        width_met = counts.split((1 << UNIT) - inner)
+        number = own[t, :n]
+        met = is0 & (counts.count[every[:n] * counts.wide + number] > 0)
+        new = is0 & ~met
+        begin = np.where(is2, 0, np.where(is1, width2, np.where(met, inner, inner + width_met))).astype(np.uint64)
+        rest = (1 << UNIT) - inner - width_met
+        width = np.where(is2, width2, np.where(is1, width1, np.where(met, width_met, rest))).astype(np.uint64)
+        part = span[:n] >> W16
+        _narrow(low, span, every[:n], begin * part, width * part, words, used)
+        at = np.flatnonzero(met)
+        _, before, have, place, many = counts.class_of(at, number[at])
+        part = span[at] // counts.total[at].astype(np.uint64)
+        each = have.astype(np.uint64) * part // many.astype(np.uint64)
+        begin = before.astype(np.uint64) * part + place.astype(np.uint64) * each
+        _narrow(low, span, at, begin, each, words, used)
+        at = np.flatnonzero(new)
+        part = span[at] >> np.uint64(bits)
+        _narrow(low, span, at, first[rank[at]] * part, width0[rank[at]] * part, words, used)
         at = np.flatnonzero(is0)
-        part = size[at] >> np.uint64(bits)
-        moved = new[at] + first[rank[at]] * part
-        lost = at[moved < new[at]]
-        if len(lost):
-            _carry(words, used, lost)
-        new[at] = moved
-        size[at] = width0[rank[at]] * part
+        counts.learn(at, number[at], met[at])
         mixer.learn(rank)
-        full = np.flatnonzero(size <= LOW32)
-        words[full, used[full]] = (new[full] >> W32).astype(np.uint32)
-        used[full] += 1
-        new[full] <<= W32
-        size[full] <<= W32
-        low[:n], span[:n] = new, size
     words[np.arange(lanes), used] = (low >> W32).astype(np.uint32)
     words[np.arange(lanes), used + 1] = (low & LOW32).astype(np.uint32)
     return [w[: u + 2] for w, u in zip(words, used, strict=True)]
 
 
+def _narrow(
+    low: np.ndarray, span: np.ndarray, at: np.ndarray, begin: np.ndarray, size: np.ndarray,
+    words: np.ndarray, used: np.ndarray,
+) -> None:
+    """Narrow the intervals of the lanes ``at`` and hand out the words that are settled."""
+    old = low[at]
+    new = old + begin
+    lost = at[new < old]
+    if len(lost):
+        _carry(words, used, lost)
+    low[at], span[at] = new, size
+    full = at[size <= LOW32]
+    words[full, used[full]] = (low[full] >> W32).astype(np.uint32)
+    used[full] += 1
+    low[full] <<= W32
+    span[full] <<= W32
+
+
 def _carry(words: np.ndarray, used: np.ndarray, lanes: np.ndarray) -> None:
     """Add one to the words that are already out."""
     at = used[lanes] - 1
@@ -139,7 +262,7 @@ def _carry(words: np.ndarray, used: np.ndarray, lanes: np.ndarray) -> None:
 def decode_blocks(words: np.ndarray, sizes: np.ndarray, start: np.ndarray, bits: int) -> np.ndarray:
     """The ranks of each block; ``words`` has a row per block, padded, the longest block first."""
     lanes, longest = len(sizes), int(sizes.max(initial=0))
-    mixer = Mixer(lanes)
+    mixer, counts = Mixer(lanes), Counts(lanes, longest)
     flat, wide = words.ravel(), words.shape[1]
     at_word = np.arange(lanes) * wide + 2
     code = (words[:, 0].astype(np.uint64) << W32) | words[:, 1].astype(np.uint64)
@@ -148,7 +271,19 @@ def decode_blocks(words: np.ndarray, sizes: np.ndarray, start: np.ndarray, bits:
     symbol = np.repeat(np.arange(len(width0), dtype=np.int32), width0.astype(np.int64))
     most = np.uint64((1 << bits) - 1)
     out = np.zeros((longest, lanes), np.int32)
+    # Ranks in the order in which order 0 met them, which is their number.
+    ranks, known, every = np.zeros((lanes, longest + 1), np.int32), np.zeros(lanes, np.int64), np.arange(lanes)
     live = np.searchsorted(-sizes, -np.arange(longest), "left")
+
+    def step(at: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        code[at] -= begin
+        span[at] = size
+        full = at[size <= LOW32]
+        # A damaged block may ask for more words than there are; its checksum tells.
+        code[full] = (code[full] << W32) | flat[np.minimum(at_word[full], len(flat) - 1)].astype(np.uint64)
+        at_word[full] += 1
+        span[full] <<= W32
+
     for t in range(longest):
         n = int(live[t])
         p1, p2, width1, width2 = mixer.predict(n)
@@ -156,23 +291,38 @@ def decode_blocks(words: np.ndarray, sizes: np.ndarray, start: np.ndarray, bits:
         value = (code[:n] // part).astype(np.int64)
         is2 = value < width2
         inner = width1 + width2
+        width_met = counts.split((1 << UNIT) - inner)
         is0 = value >= inner
-        begin = np.where(is2, 0, np.where(is0, inner, width2)).astype(np.uint64)
-        width = np.where(is2, width2, np.where(is0, (1 << UNIT) - inner, width1)).astype(np.uint64)
-        left = code[:n] - begin * part
-        size = width * part
+        new = value >= inner + width_met
+        met = is0 & ~new
+        begin = np.where(is2, 0, np.where(~is0, width2, np.where(met, inner, inner + width_met))).astype(np.uint64)
+        rest = (1 << UNIT) - inner - width_met
+        width = np.where(is2, width2, np.where(~is0, width1, np.where(met, width_met, rest))).astype(np.uint64)
+        step(every[:n], begin * part, width * part)
         rank = np.where(is2, p2, p1)
-        at = np.flatnonzero(is0)
-        part = size[at] >> np.uint64(bits)
-        found = symbol[np.minimum(left[at] // part, most).astype(np.int64)]
-        left[at] -= first[found] * part
-        size[at] = width0[found] * part
+        number = np.zeros(n, np.int64)
+        at = np.flatnonzero(met)
+        total = counts.total[at].astype(np.uint64)
+        part = span[at] // total
+        target = np.minimum(code[at] // part, total - np.uint64(1)).astype(np.int64)
+        k, before, have, many = counts.find_class(at, target)
+        many = many.astype(np.uint64)
+        each = have.astype(np.uint64) * part // many
+        start_of = before.astype(np.uint64) * part
+        place = np.minimum((code[at] - start_of) // each, many - np.uint64(1))
+        step(at, start_of + place * each, each)
+        number[at] = counts.number_at(at, k, place.astype(np.int64))
+        rank[at] = ranks[at, number[at]]
+        at = np.flatnonzero(new)
+        part = span[at] >> np.uint64(bits)
+        found = symbol[np.minimum(code[at] // part, most).astype(np.int64)]
+        step(at, first[found] * part, width0[found] * part)
         rank[at] = found
+        number[at] = known[at]
+        ranks[at, known[at]] = found
+        known[at] += 1
+        at = np.flatnonzero(is0)
+        counts.learn(at, number[at], met[at])
         mixer.learn(rank)
         out[t, :n] = rank
-        full = np.flatnonzero(size <= LOW32)
-        left[full] = (left[full] << W32) | flat[at_word[full]].astype(np.uint64)
-        at_word[full] += 1
-        size[full] <<= W32
-        code[:n], span[:n] = left, size
     return out.T

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from skewprobe.llm.range_coder import decode_blocks, encode_blocks
 from skewprobe.session import shared_dir
 
-MAGIC, VERSION = b"SKTF", 1
+MAGIC, VERSION = b"SKTF", 2
 HEAD = struct.Struct("<4s5I")
 BLOCK_IDS = 2048
 FILE_IDS = 1 << 22
