@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,10 @@ from skewprobe.operators.scan import DECIMALS, matrix, query_blocks
 # Partitions by default, and k-means restarts.
 NUM_PARTS = 4
 RESTARTS = 10
+# A run ends when no centroid moves further; runs that look for their starts side by side; rows compared at once.
+TOLERANCE = 1e-4
+STARTS_AT_ONCE = 4
+LLOYD_ROWS = 1 << 12
 
 
 def random_shards(
@@ -70,26 +74,92 @@ def fit_centroids(
     """k-means centroids ``part``, ``c``: the cheapest of several seeded runs.
 
     The outcome depends on how the input is partitioned, so write the centroids
-    and let queries read them. Each iteration passes over the whole input; on a
-    very large one, fit on a :func:`uniform_sample` of it.
+    and let queries read them. Every run has the starts that MLlib gives for its seed and moves
+    its centroids as MLlib does, but one pass over the rows serves all runs that still move.
     """
     points = base.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    # Every run passes over the same rows; kept by the executors, they are computed once, and
-    # again where an executor is lost.
+    # All passes are over the same rows; kept by the executors, they are computed once, and
+    # again where an executor is lost. MLlib needs them as its own vectors, later passes as stored.
     points = points.persist(StorageLevel.MEMORY_AND_DISK)
     points.count()
 
-    def fit(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4).fit(points)
+    runs = [KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=TOLERANCE) for i in range(restarts)]
 
-    # Most of a pass is waiting for its tasks, so the runs go on side by side.
-    with ThreadPoolExecutor(max_workers=restarts) as pool:
-        best = min(pool.map(fit, range(restarts)), key=lambda m: m.summary.trainingCost)
+    def start(run: KMeans) -> np.ndarray:
+        return np.array(run.fit(points, {run.maxIter: 0}).clusterCenters())
+
+    # Each run keeps numbers for every row while it starts, so only some start side by side.
+    with ThreadPoolExecutor(max_workers=min(restarts, STARTS_AT_ONCE)) as pool:
+        centres = list(pool.map(start, runs))
+    points.unpersist()
+    points = base.select(vector).persist(StorageLevel.MEMORY_AND_DISK)
+    cost, moving = [0.0] * restarts, list(range(restarts))
+    for _ in range(max_iter):
+        if not moving:
+            break
+        sums = _lloyd_sums(points, {i: centres[i] for i in moving})
+        for i in list(moving):
+            # A centroid without rows stays where it is.
+            new = centres[i].copy()
+            for j, (n, total) in sums[i][1].items():
+                new[j] = total / n
+            if (((new - centres[i]) ** 2).sum(axis=1) <= TOLERANCE**2).all():
+                moving.remove(i)
+            centres[i], cost[i] = new, sums[i][0]
     points.unpersist()
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
+    best = min(range(restarts), key=cost.__getitem__)
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres[best])]
     return base.sparkSession.createDataFrame(rows, "part int, c array<double>")
 
 
+def _lloyd_sums(
+    points: DataFrame, centres: dict[int, np.ndarray]
+) -> dict[int, tuple[float, dict[int, tuple[int, np.ndarray]]]]:
+    """For each run its cost, and for each of its centroids that has rows their number and sum."""
+    shared = points.sparkSession.sparkContext.broadcast(centres)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, stacked = list(shared.value), np.concatenate(list(shared.value.values()))
+        ends = np.cumsum([len(c) for c in shared.value.values()])
+        lengths = np.einsum("ij,ij->i", stacked, stacked)
+        many, sums = np.zeros(len(stacked), np.int64), np.zeros(stacked.shape)
+        cost = np.zeros(len(stacked))
+        for batch in batches:
+            rows = matrix(batch.column(0)).astype(np.float64, copy=False)
+            for lo in range(0, len(rows), LLOYD_ROWS):
+                chunk = rows[lo : lo + LLOYD_ROWS]
+                squares = np.einsum("ij,ij->i", chunk, chunk)
+                far = lengths[:, None] - 2.0 * (stacked @ chunk.T)
+                mine = np.zeros(far.shape)
+                for end, c in zip(ends, shared.value.values(), strict=True):
+                    own = far[end - len(c) : end]
+                    first = own.argmin(axis=0)
+                    mine[end - len(c) + first, np.arange(len(chunk))] = 1.0
+                    cost[end - 1] += np.maximum(own.min(axis=0) + squares, 0.0).sum()
+                sums += mine @ chunk
+                many += mine.sum(axis=1).astype(np.int64)
+        run = np.repeat(runs, [len(c) for c in shared.value.values()])
+        part = np.concatenate([np.arange(len(c)) for c in shared.value.values()])
+        columns = [pa.array(run, pa.int32()), pa.array(part, pa.int32()), pa.array(many), pa.array(cost)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(sums))], names=["run", "part", "n", "cost", "total"])
+
+    sums = points.mapInArrow(add_up, "run int, part int, n long, cost double, total array<double>")
+    # One row for each task and centroid is added up.
+    found = sums.groupBy("run", "part").agg(
+        F.sum("n").alias("n"), F.sum("cost").alias("cost"),
+        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
+    ).collect()
+    shared.unpersist()
+    out = {}
+    for i in centres:
+        mine = sorted((row for row in found if row["run"] == i), key=lambda row: row["part"])
+        out[i] = (
+            sum(row["cost"] for row in mine),
+            {row["part"]: (row["n"], np.array(row["total"])) for row in mine if row["n"]},
+        )
+    return out
+
+
 def assign_nearest(
     base: DataFrame, centroids: DataFrame, vector: str = "embedding"
 ) -> DataFrame:

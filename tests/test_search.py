@@ -3,9 +3,12 @@ import re
 import numpy as np
 import pytest
 from helpers import brute, frame, hits, same_hits, vectors
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from skewprobe.functions import scores_of
+from skewprobe.operators import partition
 from skewprobe.operators.partition import (
     assign_nearest,
     fit_centroids,
@@ -268,3 +271,27 @@ def test_shards_without_rows_have_a_load(spark):
     q, sharded = frame(spark, vectors(4), id="q_id", vec="qv"), random_shards(frame(spark, vectors(3)), 5)
     loads = search.sharded_search(q, sharded, shards=5).loads
     assert {r.part: r.load for r in loads.collect()} == {0: 4, 1: 4, 2: 4, 3: 0, 4: 0}
+
+
+def test_kmeans_runs_share_their_passes(spark, monkeypatch):
+    """The best of MLlib's own runs, with no pass over the rows for a single run but for its start."""
+    rng = np.random.default_rng(5)
+    b = rng.normal(size=(400, 6)) + rng.integers(0, 4, (400, 1))
+    base = frame(spark, b).repartition(3, "vec_id").cache()
+    features = base.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")).cache()
+    # Equal partitions, so that the starts are equal.
+    models = [KMeans(k=4, seed=partition.SEED + i, maxIter=300, tol=1e-4).fit(features) for i in range(3)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    alone = []
+
+    class Noted(KMeans):
+        def _fit(self, dataset):
+            model = super()._fit(dataset)
+            alone.append(model.summary.numIter)
+            return model
+
+    monkeypatch.setattr(partition, "KMeans", Noted)
+    centroids = fit_centroids(base, 4, restarts=3)
+    assert alone == [0, 0, 0]
+    found = np.array([r["c"] for r in centroids.orderBy("part").collect()])
+    assert np.allclose(found, np.array(best.clusterCenters()), atol=1e-9)
