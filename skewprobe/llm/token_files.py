@@ -21,8 +21,9 @@ import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ BLOCK_IDS = 2048
 FILE_IDS = 1 << 22
 # Texts that are tokenized together, by characters.
 CHARS = 1 << 22
+# Characters of the parts whose ids a task keeps for later texts.
+KNOWN_CHARS = 1 << 21
 DOCS = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u4")])
 RANKS = np.dtype([("id", "<u4"), ("n", "<u4")])
 BLOCKS = np.dtype([("n", "<u4"), ("words", "<u4"), ("crc", "<u4")])
@@ -56,23 +59,46 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def tokenize(texts: list[str], tokenizer, end: int | None) -> list[np.ndarray]:
+@dataclass
+class Parts:
+    """The ids of parts that a task has met; most parts come again. Forgotten together once they are many."""
+
+    number: dict[str, int] = field(default_factory=lambda: defaultdict(count().__next__))
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    chars: int = 0
+
+    def learn(self, tokenizer) -> None:
+        """Encode the parts that were numbered since the last time."""
+        new = list(islice(self.number, len(self.sizes), None))
+        encoded = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum()))
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+        self.chars += sum(map(len, new))
+
+
+def tokenize(texts: list[str], tokenizer, end: int | None, known: Parts | None = None) -> list[np.ndarray]:
     """Ids of each whole text, then ``end``.
 
     The byte-level pattern always breaks before a space that stands before another
-    character, so such parts are encoded once for all their occurrences.
+    character, so such parts are encoded once for all their occurrences; those in ``known``,
+    which is of the same tokenizer, not again.
     """
+    known = Parts() if known is None else known
     out, start, held = [], 0, 0
     for stop, text in enumerate(texts, 1):
         held += len(text)
         if held >= CHARS or stop == len(texts):
-            out += _tokenize(texts[start:stop], tokenizer, end)
+            out += _tokenize(texts[start:stop], tokenizer, end, known)
             start, held = stop, 0
+            if known.chars > KNOWN_CHARS:
+                known.__init__()
     return out
 
 
-def _tokenize(texts: list[str], tokenizer, end: int | None) -> list[np.ndarray]:
-    number: dict[str, int] = defaultdict(count().__next__)
+def _tokenize(texts: list[str], tokenizer, end: int | None, known: Parts) -> list[np.ndarray]:
+    number = known.number
     parts = []
     for text in texts:
         if ODD_SPACE.search(text):
@@ -81,9 +107,8 @@ def _tokenize(texts: list[str], tokenizer, end: int | None) -> list[np.ndarray]:
             continue
         head, *rest = text.split(" ")
         parts.append(np.array([number[head], *map(number.__getitem__, [" " + w for w in rest])], np.int64))
-    encoded = [e.ids for e in tokenizer.encode_batch_fast(list(number), add_special_tokens=False)]
-    sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-    flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum()))
+    known.learn(tokenizer)
+    sizes, flat = known.sizes, known.flat
     first = np.cumsum(sizes) - sizes
     out = []
     for part in parts:
@@ -184,7 +209,7 @@ def write_token_files(
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, ids, held, seq, part = [], [], 0, 0, 0
-        loaded = load_tokenizer(tokenizer)
+        loaded, met = load_tokenizer(tokenizer), Parts()
 
         def done() -> pd.DataFrame:
             row = (part, seq, len(names), held, pack(names, ids, block_ids))
@@ -194,7 +219,7 @@ def write_token_files(
             part = int(frame["part"].iloc[0]) if len(frame) else part
             known = [None if pd.isna(x) else int(x) for x in frame["id"]]
             for a in range(0, len(frame), 1000):
-                found = tokenize(frame["text"].iloc[a : a + 1000].tolist(), loaded, end)
+                found = tokenize(frame["text"].iloc[a : a + 1000].tolist(), loaded, end, met)
                 for name, x in zip(known[a : a + 1000], found, strict=True):
                     names.append(name)
                     ids.append(x)

@@ -379,6 +379,27 @@ def test_parts_of_texts_have_the_ids_of_the_whole():
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_parts_met_before_are_not_encoded_again(monkeypatch):
+    tokenizer, given = token_files.load_tokenizer(BPE), []
+
+    class Noted:
+        def encode_batch_fast(self, parts, **settings):
+            given.extend(parts)
+            return tokenizer.encode_batch_fast(parts, **settings)
+
+    texts = ["one two three", "two three  one", "", "one two three four"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    known = token_files.Parts()
+    for text, ids in zip(texts * 2, want * 2, strict=True):
+        assert token_files.tokenize([text], Noted(), None, known)[0].tolist() == ids
+    assert len(given) == len(set(given)) == 6
+    # Forgotten once there are many, and found anew.
+    monkeypatch.setattr(token_files, "KNOWN_CHARS", 9)
+    for text, ids in zip(texts, want, strict=True):
+        assert token_files.tokenize([text], Noted(), None, known)[0].tolist() == ids
+        assert known.chars <= 9
+
+
 @pytest.mark.parametrize("block", [1, 7, 64, 2048])
 def test_packing(block):
     rng = np.random.default_rng(block)
