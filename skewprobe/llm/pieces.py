@@ -36,9 +36,9 @@ COARSE = r" *[^ \n]+|\n| +"
 LETTER = r"[^\W\d_]"
 SPACE_MARK = "▁"
 # Characters whose lattices are built at once; a longer text is taken whole.
-CHARS = 1 << 20
+CHARS = 1 << 18
 # Characters of units whose lattice a task keeps for later texts.
-KNOWN_CHARS = 1 << 18
+KNOWN_CHARS = 1 << 17
 SIEVE = 18
 # Rows that are handed on at once.
 ROWS = 500

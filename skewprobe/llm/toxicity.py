@@ -54,7 +54,7 @@ TOGETHER = 0.5
 # Longer units are cut into windows.
 LONG, WINDOW, STRIDE = 24, 16, 8
 CHARS = 1 << 20
-UNITS_AT_ONCE = 1 << 13
+UNITS_AT_ONCE = 1 << 12
 # Words whose margins a task remembers from earlier texts.
 REMEMBERED = 1 << 18
 # Texts that are scored at once.

@@ -400,6 +400,20 @@ def test_parts_met_before_are_not_encoded_again(monkeypatch):
         assert known.chars <= 9
 
 
+def test_margins_hold_kernel_values_of_few_units():
+    import tracemalloc
+
+    units = [f"{i:05d}word" for i in range(1 << 14)]
+    kernel = toxicity.Kernel(units[:192])
+    model = toxicity.Model(kernel, np.ones(192), 0.0, np.array([1.0, 0.5, 0.0]), 0.1)
+    tracemalloc.start()
+    margins = model.margins(units)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    assert np.allclose(margins[-9:], model.margins(units[-9:]), rtol=1e-12)
+
+
 @pytest.mark.parametrize("block", [1, 7, 64, 2048])
 def test_packing(block):
     rng = np.random.default_rng(block)
