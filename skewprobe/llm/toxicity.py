@@ -55,6 +55,8 @@ TOGETHER = 0.5
 LONG, WINDOW, STRIDE = 24, 16, 8
 CHARS = 1 << 20
 UNITS_AT_ONCE = 1 << 12
+# Triples that are looked up, or added up, at once.
+TRIPLES = 1 << 17
 # Words whose margins a task remembers from earlier texts.
 REMEMBERED = 1 << 18
 # Texts that are scored at once.
@@ -100,6 +102,11 @@ def _triples(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
             yield (a * SYMBOLS + b) * SYMBOLS + c, DECAY ** (last + 1)
 
 
+def _triples_of(size: int) -> int:
+    """How many triples a unit of ``size`` characters has."""
+    return sum((size - last) * (last - 1) for last in range(2, min(SPAN, size)))
+
+
 def _scale(size: int) -> float:
     """The root of the summed squares of all weights: depends on the length alone."""
     total = sum(
@@ -114,7 +121,11 @@ class Kernel:
 
     landmarks: list[str]
     row: np.ndarray = field(init=False)
-    table: np.ndarray = field(init=False)
+    #: Where the landmarks of a row begin, how many these are, their numbers and weights: few share a triple.
+    first: np.ndarray = field(init=False)
+    many: np.ndarray = field(init=False)
+    column: np.ndarray = field(init=False)
+    weight: np.ndarray = field(init=False)
 
     def __post_init__(self):
         seen: dict[int, dict[int, float]] = {}
@@ -125,27 +136,47 @@ class Kernel:
                     mine = seen.setdefault(t, {})
                     mine[j] = mine.get(j, 0.0) + weight / scale
         self.row = np.zeros(SYMBOLS**3, np.int32)
-        self.table = np.zeros((len(seen) + 1, len(self.landmarks)), np.float32)
-        for i, (t, values) in enumerate(sorted(seen.items()), 1):
+        rows = sorted(seen.items())
+        for i, (t, _) in enumerate(rows, 1):
             self.row[t] = i
-            self.table[i, list(values)] = list(values.values())
+        self.many = np.array([0, *[len(values) for _, values in rows]], np.int64)
+        self.first = np.cumsum(self.many) - self.many
+        self.column = np.array([j for _, values in rows for j in values], np.int64)
+        self.weight = np.array([x for _, values in rows for x in values.values()], np.float32)
 
     def values(self, units: list[str]) -> np.ndarray:
         out = np.zeros((len(units), len(self.landmarks)), np.float32)
         sizes = np.array([len(u) for u in units], int)
         for size in np.unique(sizes[sizes >= 3]):
             members = np.flatnonzero(sizes == size)
-            for at in range(0, len(members), 2048):
-                part = members[at : at + 2048]
-                codes = _codes([units[i] for i in part], int(size))
-                total = np.zeros((len(part), len(self.landmarks)), np.float32)
-                for triple, weight in _triples(codes):
-                    rows = self.row[triple]
-                    for p in range(rows.shape[1]):
-                        hit = np.flatnonzero(rows[:, p])
-                        total[hit] += np.float32(weight) * self.table[rows[hit, p]]
-                out[part] = total / np.float32(_scale(int(size)))
-        return out**POWER
+            step = max(1, TRIPLES // _triples_of(int(size)))
+            for at in range(0, len(members), step):
+                part = members[at : at + step]
+                found = list(_triples(_codes([units[i] for i in part], int(size))))
+                rows = np.concatenate([self.row[triple] for triple, _ in found], 1)
+                weight = np.repeat(np.array([w for _, w in found], np.float32), [t.shape[1] for t, _ in found])
+                unit, place = np.nonzero(rows)
+                out[part] = self._sums(len(part), unit, rows[unit, place], weight[place]) / np.float32(_scale(int(size)))
+        flat = out.ravel()
+        there = np.flatnonzero(flat)
+        flat[there] = flat[there] ** POWER
+        return out
+
+    def _sums(self, n: int, unit: np.ndarray, row: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The weights of the triples ``row`` of each unit, for every landmark that has them, summed in their order."""
+        total = np.zeros(n * len(self.landmarks), np.float32)
+        many = self.many[row]
+        upto = np.cumsum(many)
+        start = 0
+        while start < len(row):
+            done = upto[start] - many[start]
+            stop = max(start + 1, int(np.searchsorted(upto, done + TRIPLES, "right")))
+            m = many[start:stop]
+            entry = np.repeat(self.first[row[start:stop]] - (upto[start:stop] - m - done), m) + np.arange(m.sum())
+            to = np.repeat(unit[start:stop] * len(self.landmarks), m) + self.column[entry]
+            np.add.at(total, to, np.repeat(weight[start:stop], m) * self.weight[entry])
+            start = stop
+        return total.reshape(n, -1)
 
 
 @dataclass

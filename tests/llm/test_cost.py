@@ -1,8 +1,11 @@
 """What a stage holds and how often it runs, apart from its rows."""
 
+import pickle
+
 import numpy as np
+import pytest
 
-from skewprobe.llm import simhash
+from skewprobe.llm import simhash, toxicity
 from skewprobe.llm.components import components
 
 
@@ -40,3 +43,35 @@ def test_plan_counts_in_few_jobs(spark, monkeypatch):
     for group, halves in zip(plan.groups, plan.counts, strict=True):
         for half, hist in zip(simhash._halves(group), halves, strict=True):
             assert (hist == np.bincount(simhash.pick(fps.view(np.uint64), half).astype(np.int64), minlength=len(hist))).all()
+
+
+def _plain(unit: str, landmark: str) -> float:
+    """The kernel by its definition."""
+
+    def triples(text):
+        out = {}
+        for c in range(2, len(text)):
+            for a in range(max(0, c - toxicity.SPAN + 1), c - 1):
+                for b in range(a + 1, c):
+                    key = text[a] + text[b] + text[c]
+                    out[key] = out.get(key, 0.0) + toxicity.DECAY ** (c - a + 1)
+        return out
+
+    x, y = triples(unit), triples(landmark)
+    both = sum(x[k] * y.get(k, 0.0) for k in x)
+    return (both / toxicity._scale(len(unit)) / toxicity._scale(len(landmark))) ** toxicity.POWER
+
+
+@pytest.mark.parametrize("bound", [1, 50, 1 << 17])
+def test_kernel_is_sparse(monkeypatch, bound):
+    """Only the weights that are there are held; sums are the same however they are cut."""
+    monkeypatch.setattr(toxicity, "TRIPLES", bound, raising=False)
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), n)) for n in (3, 4, 5, 6, 9, 16, 24) for _ in range(8)]
+    kernel = toxicity.Kernel(words[::2])
+    got = kernel.values([*words, "ab", "zzzz"])
+    want = [[_plain(u, v) for v in words[::2]] for u in words]
+    np.testing.assert_allclose(got[: len(words)], want, rtol=1e-4, atol=1e-9)
+    assert not got[len(words) :].any()
+    wide = toxicity.Kernel(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 10)) for _ in range(192)])
+    assert len(pickle.dumps(wide)) < 2_000_000
