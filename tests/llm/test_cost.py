@@ -7,6 +7,7 @@ import pytest
 
 from skewprobe.llm import simhash, toxicity
 from skewprobe.llm.components import components
+from skewprobe.session import ship
 
 
 def test_links_run_once(spark):
@@ -75,3 +76,26 @@ def test_kernel_is_sparse(monkeypatch, bound):
     assert not got[len(words) :].any()
     wide = toxicity.Kernel(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 10)) for _ in range(192)])
     assert len(pickle.dumps(wide)) < 2_000_000
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """Long texts go to a worker a few at a time; a setting of the session's own stays."""
+    ship(spark)
+    wide = spark.range(0, 300, 1, 1).selectExpr("repeat(cast(id % 10 as string), 100000) as text")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    got = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 30_000_000 and max(got) < 10_000_000
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "1000000")
+        ship.__wrapped__(spark)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.set(key, before)
