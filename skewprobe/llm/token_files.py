@@ -23,10 +23,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain, count, islice
+from itertools import chain, compress, count, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,13 +42,17 @@ FILE_IDS = 1 << 22
 # Texts that are tokenized together, by characters.
 CHARS = 1 << 22
 # Characters of the parts whose ids a task keeps for later texts.
-KNOWN_CHARS = 1 << 21
+KNOWN_CHARS = 1 << 22
 DOCS = np.dtype([("id", "<i8"), ("known", "u1"), ("n", "<u4")])
 RANKS = np.dtype([("id", "<u4"), ("n", "<u4")])
 BLOCKS = np.dtype([("n", "<u4"), ("words", "<u4"), ("crc", "<u4")])
 FILES = "part int, seq int, n_docs long, n_ids long, payload binary"
 #: A space that does not simply stand before a character.
 ODD_SPACE = re.compile(r" \s| $")
+#: A part that begins with the only space in it, before another character.
+PLAIN_PART = r"\A [^\s\pZ\pC][^ ]*\z"
+#: From how many parts on they are strung together for the tokenizer, and how many to a string.
+MANY_PARTS, JOINED_PARTS = 1000, 200
 
 
 @lru_cache(maxsize=2)
@@ -71,13 +77,65 @@ class Parts:
     def learn(self, tokenizer) -> None:
         """Encode the parts that were numbered since the last time."""
         new = list(islice(self.number, len(self.sizes), None))
-        encoded = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum()))
+        sizes, flat = _encode(new, tokenizer)
         self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
         self.chars += sum(map(len, new))
 
 
+def _encode(parts: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each part has, and the ids of all. Many parts are strung together for the tokenizer."""
+    if len(parts) >= MANY_PARTS:
+        column = pa.array(parts, pa.large_string())
+        joins = pc.match_substring_regex(column, PLAIN_PART).to_numpy(zero_copy_only=False)
+        found = _encode_joined(column.filter(joins), tokenizer)
+        if found is not None:
+            others, their = _encode_each(list(compress(parts, ~joins)), tokenizer)
+            sizes = np.zeros(len(parts), np.int64)
+            sizes[joins], sizes[~joins] = found[0], others
+            joined, flat = np.repeat(joins, sizes), np.zeros(int(sizes.sum()), np.int32)
+            flat[joined], flat[~joined] = found[1], their
+            return sizes, flat
+    return _encode_each(parts, tokenizer)
+
+
+def _encode_each(parts: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    encoded = [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+    return sizes, np.fromiter(chain.from_iterable(encoded), np.int32, int(sizes.sum()))
+
+
+def _encode_joined(column: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray] | None:
+    """As ``_encode_each``, a few hundred parts in one string; each part begins with a space that the pattern breaks before.
+
+    Where a part ends is found from the bytes of the ids. None if a part does not end with an id, as with
+    tokenizers that are not of bytes.
+    """
+    parts = _strings(column)
+    strings = ["".join(parts[a : a + JOINED_PARTS]) for a in range(0, len(parts), JOINED_PARTS)]
+    flat = _encode_each(strings, tokenizer)[1]
+    ends = np.cumsum(_id_bytes(tokenizer).take(flat))
+    want = np.cumsum(pc.binary_length(column).to_numpy())
+    at = np.searchsorted(ends, want)
+    if len(parts) and (at[-1] != len(ends) - 1 or (ends[at] != want).any()):
+        return None
+    return np.diff(at, prepend=-1), flat
+
+
+def _strings(column: pa.Array) -> list[str]:
+    # Several times as fast as ``to_pylist``, which makes an Arrow scalar of each.
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+@lru_cache(maxsize=2)
+def _id_bytes(tokenizer) -> np.ndarray:
+    """The bytes of each id: one for every character of a byte-level token."""
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values(), default=-1) + 1, np.int64)
+    for token, i in vocab.items():
+        out[i] = len(token)
+    return out
+
+
 def tokenize(texts: list[str], tokenizer, end: int | None, known: Parts | None = None) -> list[np.ndarray]:
     """Ids of each whole text, then ``end``.
 
@@ -98,25 +156,40 @@ def tokenize(texts: list[str], tokenizer, end: int | None, known: Parts | None =
 
 
 def _tokenize(texts: list[str], tokenizer, end: int | None, known: Parts) -> list[np.ndarray]:
+    # A text with odd spaces is one part, its first.
+    odd = [k for k, text in enumerate(texts) if ODD_SPACE.search(text)]
+    plain = list(texts)
+    for k in odd:
+        plain[k] = ""
+    pieces = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+    first, words = pieces.offsets.to_numpy()[:-1].astype(np.int64), pieces.flatten()
+    heads = _strings(words.take(pa.array(first)))
+    for k in odd:
+        heads[k] = texts[k]
+    coded = words.dictionary_encode()
+    part = coded.indices.to_numpy().astype(np.int64)
+    later = np.ones(len(part), bool)
+    later[first] = False
+    # Each different word is looked up once.
+    used = np.flatnonzero(np.bincount(part[later], minlength=len(coded.dictionary)))
     number = known.number
-    parts = []
-    for text in texts:
-        if ODD_SPACE.search(text):
-            # The whole text as one part.
-            parts.append(np.array([number[text]], np.int64))
-            continue
-        head, *rest = text.split(" ")
-        parts.append(np.array([number[head], *map(number.__getitem__, [" " + w for w in rest])], np.int64))
+    own = np.zeros(len(coded.dictionary), np.int64)
+    own[used] = [number[" " + w] for w in _strings(coded.dictionary.take(pa.array(used)))]
+    part = own[part]
+    part[first] = [number[w] for w in heads]
     known.learn(tokenizer)
-    sizes, flat = known.sizes, known.flat
-    first = np.cumsum(sizes) - sizes
-    out = []
-    for part in parts:
-        n = sizes[part]
-        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        ids = flat[np.repeat(first[part], n) + inner]
-        out.append(ids if end is None else np.append(ids, end))
-    return out
+    sizes, flat = known.sizes, known.flat.astype(np.int64)
+    if end is not None:
+        # One more part after each text.
+        ends = np.append(first[1:], len(part))
+        part = np.insert(part, ends, len(sizes))
+        first = first + np.arange(len(first))
+        sizes, flat = np.append(sizes, 1), np.append(flat, end)
+    n = sizes.take(part)
+    to = np.cumsum(n)
+    at = np.repeat((np.cumsum(sizes) - sizes).take(part) - (to - n), n)
+    at += np.arange(len(at))
+    return np.split(flat.take(at), to[first[1:] - 1])
 
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray], block: int = BLOCK_IDS) -> bytes:

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties and repeated rows, empty tables and clashing names."""
 
+import zlib
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -400,6 +402,56 @@ def test_parts_met_before_are_not_encoded_again(monkeypatch):
         assert known.chars <= 9
 
 
+def test_many_parts_are_strung_together():
+    tokenizer, given = token_files.load_tokenizer(BPE), []
+
+    class Noted:
+        def encode_batch_fast(self, parts, **settings):
+            given.extend(parts)
+            return tokenizer.encode_batch_fast(parts, **settings)
+
+        def get_vocab(self, **settings):
+            return tokenizer.get_vocab(**settings)
+
+    rng = np.random.default_rng(5)
+    ends = ["", ".", "\n", "é", "梦", "'s", "12", "<|endoftext|>", "\n\n", "\u3000"]
+    words = [f"{rng.integers(10**6):x}{ends[i % len(ends)]}" for i in range(3000)]
+    # Odd spaces, parts that are not plain, and first parts of texts, with and without a space.
+    texts = [" ".join(words[a : a + 100]) for a in range(0, 3000, 100)]
+    texts += [" " + words[0], " \u3000x", "a  b", "", "\tx y", *words[:5]]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for end, more in ((None, []), (2, [2])):
+        given.clear()
+        found = token_files.tokenize(texts, Noted(), end)
+        assert [x.tolist() for x in found] == [ids + more for ids in want]
+        assert len(given) < 100
+
+
+def test_parts_are_encoded_each_where_ids_do_not_tell_their_bytes():
+    tokenizer = token_files.load_tokenizer(BPE)
+
+    class Other:
+        def encode_batch_fast(self, parts, **settings):
+            return tokenizer.encode_batch_fast(parts, **settings)
+
+        def get_vocab(self, **settings):
+            return {token + "#": i for token, i in tokenizer.get_vocab(**settings).items()}
+
+    text = " ".join(f"{i * 7919:x}" for i in range(3000))
+    assert token_files.tokenize([text], Other(), None)[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_coded_words_stay_as_they_are():
+    """Files written before are read by the same model; blocks of unequal length, counted and new ids, all orders."""
+    at = np.arange(6 * 500, dtype=np.int64).reshape(6, 500)
+    ranks = ((at * at % 97) * (at % 7 < 4) + at * 31 % 40 * (at % 7 >= 4)).astype(np.int32)
+    ranks[5, 300:] = 0
+    sizes = np.array([500] * 5 + [300])
+    words = range_coder.encode_blocks(ranks, sizes, np.append(np.arange(97) * 600, 1 << 16), 16)
+    coded = [368144736, 2073979371, 2567006767, 486060483, 3581156308, 2224111398]
+    assert [zlib.crc32(w.astype("<u4").tobytes()) for w in words] == coded
+
+
 def test_margins_hold_kernel_values_of_few_units():
     import tracemalloc
 
