@@ -54,7 +54,7 @@ TOGETHER = 0.5
 # Longer units are cut into windows.
 LONG, WINDOW, STRIDE = 24, 16, 8
 CHARS = 1 << 20
-UNITS_AT_ONCE = 1 << 12
+UNITS_AT_ONCE = 1 << 11
 # Triples that are looked up, or added up, at once.
 TRIPLES = 1 << 17
 # Words whose margins a task remembers from earlier texts.
