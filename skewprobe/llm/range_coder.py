@@ -28,6 +28,8 @@ TOP = (1 << UNIT) - LEAST
 RATE = 5
 #: Lengths of the counts, as powers of two, that have a weight of their own.
 LENGTHS = 24
+#: Blocks whose ids are numbered at once.
+ROWS_AT_ONCE = 64
 ODD = np.uint64(0x9E3779B97F4A7C15)
 LOW32 = np.uint64(0xFFFFFFFF)
 W32, W16 = np.uint64(32), np.uint64(UNIT)
@@ -206,13 +208,16 @@ class Counts:
 
 def _own_numbers(ranks: np.ndarray) -> np.ndarray:
     """For each place of each block, one number for each different rank of the block, from 0."""
-    # Numbers of 16 bits are sorted by their digits.
-    order = np.argsort(ranks.astype(np.uint16) if ranks.max(initial=0) < 1 << 16 else ranks, axis=1, kind="stable")
-    ordered = np.take_along_axis(ranks, order, 1)
-    fresh = np.zeros(ranks.shape, np.int32)
-    fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
     out = np.empty(ranks.shape, np.int32)
-    np.put_along_axis(out, order, np.cumsum(fresh, axis=1, dtype=np.int32), 1)
+    # Numbers of 16 bits are sorted by their digits.
+    short = ranks.max(initial=0) < 1 << 16
+    for at in range(0, len(ranks), ROWS_AT_ONCE):
+        some = ranks[at : at + ROWS_AT_ONCE]
+        order = np.argsort(some.astype(np.uint16) if short else some, axis=1, kind="stable")
+        ordered = np.take_along_axis(some, order, 1)
+        fresh = np.zeros(some.shape, np.int32)
+        fresh[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        np.put_along_axis(out[at : at + ROWS_AT_ONCE], order, np.cumsum(fresh, axis=1, dtype=np.int32), 1)
     return out
 
 

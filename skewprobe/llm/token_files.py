@@ -178,13 +178,13 @@ def _tokenize(texts: list[str], tokenizer, end: int | None, known: Parts) -> lis
     part = own[part]
     part[first] = [number[w] for w in heads]
     known.learn(tokenizer)
-    sizes, flat = known.sizes, known.flat.astype(np.int64)
+    sizes, flat = known.sizes, known.flat
     if end is not None:
         # One more part after each text.
         ends = np.append(first[1:], len(part))
         part = np.insert(part, ends, len(sizes))
         first = first + np.arange(len(first))
-        sizes, flat = np.append(sizes, 1), np.append(flat, end)
+        sizes, flat = np.append(sizes, 1), np.append(flat, np.array(end, np.int32 if end < 1 << 31 else np.int64))
     n = sizes.take(part)
     to = np.cumsum(n)
     at = np.repeat((np.cumsum(sizes) - sizes).take(part) - (to - n), n)
